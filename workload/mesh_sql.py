@@ -191,3 +191,86 @@ def sql(views: str, body: str) -> str:
             if p not in parts:
                 parts.append(p)
     return "WITH " + ",".join(parts) + "\n" + body
+
+
+# ---- neighbor graph and hop resolution -------------------------------------------------
+
+PST = """
+pst AS (SELECT prefix, count(*) AS n, min(public_key) AS lo, max(public_key) AS hi FROM prefixes GROUP BY prefix)"""
+
+FEED = """
+feed AS (SELECT known, hop, direct, observer, count(*) AS cnt, coalesce(sum(snr), 0) AS ssum, count(snr) AS scnt, min(timestamp) AS fs, max(timestamp) AS ls FROM (
+  SELECT lower(d_pubkey) AS known, CASE WHEN len(path) > 0 THEN lower(path[1]) ELSE lower(observer_id) END AS hop, len(path) = 0 AS direct,
+    lower(observer_id) AS observer, snr, timestamp FROM obs JOIN tx ON transmission_id = tx.id WHERE payload_type = 4 AND d_pubkey <> ''
+  UNION ALL SELECT lower(observer_id), lower(path[len(path)]), false, lower(observer_id), snr, timestamp FROM obs WHERE len(path) > 0)
+  WHERE known <> hop GROUP BY ALL),
+cls AS (SELECT *, CASE WHEN direct THEN hop WHEN n = 1 AND n2 = 1 THEN lo WHEN n = 2 AND n2 = 1 THEN CASE WHEN lo = known THEN hi ELSE lo END END AS other
+  FROM (SELECT f.*, n, lo, hi, coalesce(n, 0) - CASE WHEN me.public_key IS NOT NULL AND starts_with(known, hop) THEN 1 ELSE 0 END AS n2,
+     coalesce(n = 1 AND me.public_key IS NOT NULL AND starts_with(known, hop), false) AS only_me
+   FROM feed f LEFT JOIN pst ON NOT direct AND hop = prefix LEFT JOIN relays me ON known = me.public_key) WHERE NOT only_me),
+gpsn AS (SELECT public_key, lat, lon FROM nodes WHERE lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0)),
+sure AS (SELECT * FROM (SELECT least(known, other) AS node_a, greatest(known, other) AS node_b, observer, cnt, ssum, scnt, fs, ls,
+    coalesce({HAV} > 500, false) AS far
+  FROM cls LEFT JOIN gpsn a ON a.public_key = least(known, other) LEFT JOIN gpsn b ON b.public_key = greatest(known, other)
+  WHERE other IS NOT NULL AND known <> other))"""
+FEED = FEED.replace("{HAV}", haversine("a.lat", "a.lon", "b.lat", "b.lon"))
+
+EDGE_COLS = ("sum(cnt)::BIGINT AS count, sum(ssum) AS snr_sum, sum(scnt)::BIGINT AS snr_count, min(fs) AS first_seen, max(ls) AS last_seen, "
+             "count(DISTINCT observer)::BIGINT AS observer_count")
+EDGES = f"""
+edges AS (SELECT node_a, node_b, {EDGE_COLS} FROM sure WHERE NOT far GROUP BY 1, 2)"""
+
+
+def score(count: str, last: str) -> str:
+    return f"(least(1e0, {count} / 100e0) * exp(greatest(({NOW} - {last}) / 3600e0, 0) * (-ln(2e0) / 168e0)))"
+
+
+def neighbors_cte(name: str = "nbr", edges: str = "edges") -> str:
+    w = f"{score('count', 'last_seen')} * least(1e0, greatest(observer_count, 1) / 3e0)"
+    return f"""{name} AS (SELECT node_a AS key, node_b AS other, {w} AS w, count FROM {edges}
+  UNION ALL SELECT node_b, node_a, {w}, count FROM {edges})"""
+
+
+def resolve_cte(pairs: str, ctx: str, name: str = "res", edges: str = "edges") -> str:
+    """CTEs that resolve ``pairs(hop, ctx)`` in contexts ``ctx(ctx, key)`` into ``res(hop, ctx, pubkey, method, score)``."""
+    n = name
+    return f"""{neighbors_cte(n + '_nbr', edges)},
+{n}_p AS (SELECT DISTINCT hop, ctx FROM {pairs}),
+{n}_near AS (SELECT ctx, other, w, count FROM (SELECT c.ctx, b.other, b.w, b.count,
+    row_number() OVER (PARTITION BY c.ctx, b.other ORDER BY b.w DESC, b.count DESC) AS r FROM {ctx} c JOIN {n}_nbr b USING (key)) WHERE r = 1),
+{n}_aff AS (SELECT p.hop, p.ctx, x.other, x.w, x.count,
+    row_number() OVER (PARTITION BY p.hop, p.ctx ORDER BY x.w DESC, x.count DESC, x.other) AS r
+  FROM {n}_p p JOIN pst ON pst.prefix = lower(p.hop) AND pst.n > 1 JOIN {n}_near x ON x.ctx = p.ctx
+  JOIN prefixes c ON c.prefix = lower(p.hop) AND c.public_key = x.other WHERE x.w > 0),
+{n}_win AS (SELECT a.hop, a.ctx, a.other, a.w FROM {n}_aff a LEFT JOIN {n}_aff b ON b.hop = a.hop AND b.ctx = a.ctx AND b.r = 2
+  WHERE a.r = 1 AND a.count >= 3 AND (b.w IS NULL OR a.w >= 3 * b.w)),
+{n}_mid AS (SELECT ctx, round(avg(g.lat), 9) AS clat, round(avg(g.lon), 9) AS clon FROM {ctx} JOIN gpsn g ON g.public_key = key
+  JOIN relays r ON r.public_key = key GROUP BY ctx) ,
+{n}_geo AS (SELECT hop, ctx, public_key AS other FROM (SELECT p.hop, p.ctx, c.public_key,
+    row_number() OVER (PARTITION BY p.hop, p.ctx ORDER BY round(sqrt(pow(radians(c.lat - clat), 2) + pow(radians(c.lon - clon) * cos(radians((clat + c.lat) / 2)), 2)), 12), c.public_key) AS r
+  FROM {n}_p p JOIN {n}_mid m ON m.ctx = p.ctx JOIN pst ON pst.prefix = lower(p.hop) AND pst.n > 1
+  JOIN prefixes c ON c.prefix = lower(p.hop) AND c.lat IS NOT NULL AND c.lon IS NOT NULL AND NOT (c.lat = 0 AND c.lon = 0)) WHERE r = 1),
+{n}_fav AS (SELECT prefix, max(CASE WHEN rg = 1 AND gps THEN public_key END) AS fg, max(CASE WHEN ra = 1 THEN public_key END) AS fa FROM (
+    SELECT prefix, public_key, lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0) AS gps,
+      row_number() OVER (PARTITION BY prefix, lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0) ORDER BY advert_count DESC, public_key) AS rg,
+      row_number() OVER (PARTITION BY prefix ORDER BY advert_count DESC, public_key) AS ra FROM prefixes) GROUP BY prefix),
+{n} AS (SELECT p.hop, p.ctx,
+    CASE WHEN pst.n = 1 THEN pst.lo ELSE coalesce(w.other, g.other, fg, fa) END AS pubkey,
+    CASE WHEN pst.n IS NULL THEN 'no_match' WHEN pst.n = 1 THEN 'unique_prefix' WHEN w.other IS NOT NULL THEN 'neighbor_affinity'
+      WHEN g.other IS NOT NULL THEN 'geo_proximity' WHEN fg IS NOT NULL THEN 'gps_preference' ELSE 'observation_count_fallback' END AS method,
+    CASE WHEN pst.n = 1 THEN 1e0 WHEN pst.n > 1 THEN coalesce(w.w, 0e0) ELSE 0e0 END AS score
+  FROM {n}_p p LEFT JOIN pst ON pst.prefix = lower(p.hop) LEFT JOIN {n}_win w ON w.hop = p.hop AND w.ctx = p.ctx
+  LEFT JOIN {n}_geo g ON g.hop = p.hop AND g.ctx = p.ctx LEFT JOIN {n}_fav f ON f.prefix = lower(p.hop))"""
+
+
+# context keys of a packet selection heads(id, sender, observer_id, path)
+def context_cte(heads: str = "heads", name: str = "hctx") -> str:
+    return f"""{name} AS (SELECT DISTINCT id, key FROM (SELECT id, lower(sender) AS key FROM {heads} WHERE sender <> ''
+  UNION ALL SELECT id, lower(observer_id) FROM {heads} WHERE length(observer_id) >= 4
+  UNION ALL SELECT id, lo FROM (SELECT id, unnest(path) AS h FROM {heads}) JOIN pst ON prefix = lower(h) AND n = 1))"""
+
+
+HEADS = """heads AS (SELECT tx.id, d_pubkey AS sender, observer_id, path FROM tx JOIN best ON best.transmission_id = tx.id)"""
+
+_PARTS.update({"pst": [NODES, PREFIXES, PST], "sure": [NODES, PREFIXES, PST, TX, OBS, FEED],
+               "edges": [NODES, PREFIXES, PST, TX, OBS, FEED, EDGES]})

@@ -11,6 +11,9 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from meshlake.operators import graph
+from meshlake.session import cut_lineage
+
 BASE = 1704067200  # 2024-01-01T00:00:00Z, start of the 30-day capture
 NOW = "2024-01-31T00:00:00Z"
 NOW_EPOCH = 1706659200
@@ -57,18 +60,30 @@ def _hops(cluster: Column, shift: Column, count: Column, size: Column) -> Column
 
 
 class MeshTables:
-    """Lazy mesh views over one data directory."""
+    """Mesh tables over one data directory.
+
+    Each table is derived from the driver's whole tables on first use and written as Parquet, as
+    an ingest job would leave it; queries then scan those files with pruning and pushdown.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    nodes = cached_property(lambda self: cut_lineage(self._nodes_view))
+    observers = cached_property(lambda self: cut_lineage(self._observers_view))
+    tx = cached_property(lambda self: cut_lineage(self._tx_view))
+    obs = cached_property(lambda self: cut_lineage(self._obs_view))
+    metrics = cached_property(lambda self: cut_lineage(self._metrics_view))
+    messages = cached_property(lambda self: cut_lineage(self._messages_view))
+    edges = cached_property(lambda self: cut_lineage(graph.neighbor_edges(self.tx, self.obs, self.nodes)))
+
     def table(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
         return df.select(*[F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz"
                            else F.col(f.name) for f in df.schema.fields])
 
-    @cached_property
-    def nodes(self) -> DataFrame:
+    @property
+    def _nodes_view(self) -> DataFrame:
         k = F.col("p_partkey")
         seen = F.lit(NOW_EPOCH) - (k % 400) * 3600
         return self.table("part").select(
@@ -85,8 +100,8 @@ class MeshTables:
             F.lit(False).alias("foreign_advert"),
         )
 
-    @cached_property
-    def observers(self) -> DataFrame:
+    @property
+    def _observers_view(self) -> DataFrame:
         s = self.table("supplier")
         n = self.table("nation")
         r = self.table("region")
@@ -138,8 +153,8 @@ class MeshTables:
                 .when(m == 7, F.col("sec") - 90000).when(m == 8, F.lit(86400) * (F.col("o") % 100))
                 .otherwise(F.when(F.col("o") % 3 == 0, F.lit(1600000000) + F.col("o") % 1000).otherwise(F.col("sec"))))
 
-    @cached_property
-    def tx(self) -> DataFrame:
+    @property
+    def _tx_view(self) -> DataFrame:
         o, c = F.col("o"), F.col("c")
         adv = F.col("ptype") == 4
         grp = F.col("ptype") == 5
@@ -247,8 +262,8 @@ class MeshTables:
             decoded.alias("decoded"), s.alias("from_pubkey"), ch.alias("channel_hash"),
         )
 
-    @cached_property
-    def obs(self) -> DataFrame:
+    @property
+    def _obs_view(self) -> DataFrame:
         o = self._orders.select("o", "sec", "size")
         li = self.table("lineitem")
         cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
@@ -288,8 +303,8 @@ class MeshTables:
         )
         return from_lines.unionByName(from_talk)
 
-    @cached_property
-    def metrics(self) -> DataFrame:
+    @property
+    def _metrics_view(self) -> DataFrame:
         e = F.col("event_id")
         up = (F.unix_seconds("ts") + F.col("user_id") * 1000) % (5 * 86400)
         return self.table("events").select(
@@ -307,8 +322,8 @@ class MeshTables:
             e.alias("seq"),
         )
 
-    @cached_property
-    def messages(self) -> DataFrame:
+    @property
+    def _messages_view(self) -> DataFrame:
         """Broker messages: a topic and a JSON payload per event."""
         e, u = F.col("event_id"), F.col("user_id")
         region = F.element_at(F.array(*[F.lit(x) for x in ("AFR", "AME", "ASI", "EUR", "MID")]), (u % 5 + 1).cast("int"))

@@ -58,14 +58,20 @@ def distance_hops(tx, obs, nodes, edges, now, observers=None, region: str | None
                     hop_type(F.col("e.a.rep"), F.col("e.b.rep")).alias("type"))
 
 
+def mean_km(dist: str = "dist") -> Column:
+    """Mean of lengths kept in hundredths of a km; summed as integers, so the order of rows cannot matter."""
+    total = F.sum(F.round(F.col(dist) * 100).cast("bigint"))
+    return F.floor(total / F.count(dist) + 0.5) / 100.0
+
+
 # the reports below read the table made by distance_hops
 
 def distance_category_stats(hops: DataFrame) -> DataFrame:
     z = lambda c: F.coalesce(half_away(c, 2), F.lit(0.0))
-    g = hops.groupBy("type").agg(F.count(F.lit(1)).alias("count"), F.avg("dist").alias("avg"), upper_median("dist").alias("median"),
+    g = hops.groupBy("type").agg(F.count(F.lit(1)).alias("count"), mean_km().alias("avg"), upper_median("dist").alias("median"),
                                  F.min("dist").alias("min"), F.max("dist").alias("max"))
     all_types = hops.sparkSession.range(1).select(F.explode(F.array(*[F.lit(t) for t in TYPES])).alias("type"))
-    return all_types.join(g, "type", "left").select("type", F.coalesce("count", F.lit(0)).alias("count"), z(F.col("avg")).alias("avg"),
+    return all_types.join(g, "type", "left").select("type", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("avg", F.lit(0.0)).alias("avg"),
                                                     z(F.col("median")).alias("median"), z(F.col("min")).alias("min"), z(F.col("max")).alias("max"))
 
 
@@ -75,7 +81,7 @@ def distance_histogram(hops: DataFrame, bins: int = 25) -> DataFrame:
 
 
 def distance_over_time(hops: DataFrame) -> DataFrame:
-    return hops.groupBy(hour_of(F.col("first_seen")).alias("hour")).agg(half_away(F.avg("dist"), 2).alias("avg"), F.count(F.lit(1)).alias("count"))
+    return hops.groupBy(hour_of(F.col("first_seen")).alias("hour")).agg(mean_km().alias("avg"), F.count(F.lit(1)).alias("count"))
 
 
 def distance_top_hops(hops: DataFrame, limit: int = 20) -> DataFrame:
@@ -100,5 +106,5 @@ def distance_top_paths(hops: DataFrame, limit: int = 20) -> DataFrame:
 
 def distance_summary(hops: DataFrame) -> DataFrame:
     z = lambda c: F.coalesce(half_away(c, 2), F.lit(0.0))
-    return hops.agg(F.count(F.lit(1)).alias("total_hops"), F.count_distinct("id").alias("total_paths"), z(F.avg("dist")).alias("avg_dist"),
+    return hops.agg(F.count(F.lit(1)).alias("total_hops"), F.count_distinct("id").alias("total_paths"), F.coalesce(mean_km(), F.lit(0.0)).alias("avg_dist"),
                     z(F.max("dist")).alias("max_dist"))

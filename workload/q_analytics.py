@@ -187,7 +187,7 @@ def _(m):
 
 @query("distance_category_stats", M.sql("best edges", _DIST + f""", r AS (SELECT type, dist, row_number() OVER (PARTITION BY type ORDER BY dist) AS rn, count(*) OVER (PARTITION BY type) AS n FROM dh),
 t AS (SELECT unnest(['R↔R', 'C↔R', 'C↔C']) AS type)
-SELECT t.type, count(dist)::BIGINT AS count, coalesce({M.half_away('round(avg(dist), 6)', 2)}, 0) AS avg, coalesce({M.half_away('max(dist) FILTER (rn = n // 2 + 1)', 2)}, 0) AS median,
+SELECT t.type, count(dist)::BIGINT AS count, coalesce(floor(sum(round(dist * 100)::BIGINT) / count(dist) + 0.5e0) / 100, 0) AS avg, coalesce({M.half_away('max(dist) FILTER (rn = n // 2 + 1)', 2)}, 0) AS median,
   coalesce({M.half_away('min(dist)', 2)}, 0) AS min, coalesce({M.half_away('max(dist)', 2)}, 0) AS max FROM t LEFT JOIN r ON r.type = t.type GROUP BY 1"""))
 def _(m):
     return D.distance_category_stats(_hops(m))
@@ -201,7 +201,7 @@ def _(m):
 
 
 @query("distance_over_time", M.sql("best edges", _DIST + f"""
-SELECT (first_seen // 3600) * 3600 AS hour, {M.half_away('avg(dist)', 2)} AS avg, count(*)::BIGINT AS count FROM dh GROUP BY 1"""))
+SELECT (first_seen // 3600) * 3600 AS hour, floor(sum(round(dist * 100)::BIGINT) / count(dist) + 0.5e0) / 100 AS avg, count(*)::BIGINT AS count FROM dh GROUP BY 1"""))
 def _(m):
     return D.distance_over_time(_hops(m))
 
@@ -222,7 +222,7 @@ def _(m):
 
 
 @query("distance_summary", M.sql("best edges", _DIST + f"""
-SELECT count(*)::BIGINT AS total_hops, count(DISTINCT id)::BIGINT AS total_paths, {M.half_away('avg(dist)', 2)} AS avg_dist, {M.half_away('max(dist)', 2)} AS max_dist FROM dh"""))
+SELECT count(*)::BIGINT AS total_hops, count(DISTINCT id)::BIGINT AS total_paths, floor(sum(round(dist * 100)::BIGINT) / count(dist) + 0.5e0) / 100 AS avg_dist, {M.half_away('max(dist)', 2)} AS max_dist FROM dh"""))
 def _(m):
     return D.distance_summary(_hops(m))
 

@@ -10,6 +10,8 @@ from meshlake.functions import names
 MAX_PATH_BYTES, MAX_PAYLOAD_BYTES, ADVERT_MIN_BYTES, NAME_BYTES = 64, 184, 100, 32
 FRAME_TYPES = {0: "REQ", 1: "RESPONSE", 2: "TXT_MSG", 3: "ACK", 4: "ADVERT", 5: "GRP_TXT", 6: "GRP_DATA", 7: "ANON_REQ",
                8: "PATH", 9: "TRACE", 10: "MULTIPART", 11: "CONTROL", 15: "RAW_CUSTOM"}
+FRAME_FIELDS = {"route_type", "payload_type", "payload_version", "path_byte", "hash_size", "hash_count", "error", "path",
+                "transport_code1", "transport_code2", "payload_hex", "_h"}
 ROLES = {1: "companion", 2: "repeater", 3: "room", 4: "sensor"}
 
 
@@ -41,6 +43,7 @@ def clean_hex(raw: Column) -> Column:
 def split_frame(df: DataFrame, raw: str = "raw_hex") -> DataFrame:
     """Adds header bits, path bytes, hops, payload hex and ``error`` (null for a sound frame)."""
     c = F.col
+    kept = df.columns
     d = df.withColumn("_h", F.lower(clean_hex(c(raw))))
     valid = c("_h").rlike("^([0-9a-f]{2})*$")
     d = d.withColumn("_len", F.when(valid, F.floor(F.length("_h") / 2).cast("int")))
@@ -64,9 +67,12 @@ def split_frame(df: DataFrame, raw: str = "raw_hex") -> DataFrame:
     hops = F.when(ok & (n > 0), F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.upper(
         hexpart(c("_h"), c("_po") + 1 + i * c("hash_size"), c("hash_size"))))).when(ok, F.array().cast("array<string>"))
     code = lambda at: F.when(ok & transport, F.upper(hexpart(c("_h"), at, 2)))
-    return d.withColumns({"path": hops, "transport_code1": code(1), "transport_code2": code(3),
-                          "payload_hex": F.when(ok, F.substr(c("_h"), (c("_start") * 2 + 1).cast("int"), F.lit(1 << 20)))}).drop(
+    d = d.withColumns({"path": hops, "transport_code1": code(1), "transport_code2": code(3),
+                       "payload_hex": F.when(ok, F.substr(c("_h"), (c("_start") * 2 + 1).cast("int"), F.lit(1 << 20)))}).drop(
         "_hb", "_po", "_pl", "_start", "_len")
+    # one generated row per frame: later expressions read finished fields and do not repeat the parsing
+    kept = [k for k in kept if k in d.columns and k not in FRAME_FIELDS]
+    return d.select(*kept, F.inline(F.array(F.struct(*[k for k in d.columns if k not in kept]))))
 
 
 def decode_frames(df: DataFrame, raw: str = "raw_hex") -> DataFrame:
@@ -111,41 +117,44 @@ def sanitize_name(name: Column) -> Column:
     return F.regexp_replace(name, r"[\x00-\x08\x0b-\x1f\x7f]", "")
 
 
-def advert_fields(p: Column) -> Column:
-    """Struct of an advert body: key, time, role flags, position, name, telemetry; ``error`` when too short."""
-    n = F.length(p) / 2
-    ok = n >= ADVERT_MIN_BYTES
-    has = n > ADVERT_MIN_BYTES
-    flags = F.when(has, uint(hexpart(p, 100, 1)).cast("int"))
-    bit = lambda b: F.coalesce(flags.bitwiseAND(b) != 0, F.lit(False))
-    kind = flags.bitwiseAND(15)
-    pos = bit(16) & (n >= 109)
-    o1 = F.when(pos, 109).otherwise(101)
-    f1 = bit(32) & (n >= o1 + 2)
-    o2 = o1 + F.when(f1, 2).otherwise(0)
-    f2 = bit(64) & (n >= o2 + 2)
-    o3 = o2 + F.when(f2, 2).otherwise(0)
-    rest = F.substr(p, (o3 * 2 + 1).cast("int"), F.lit(1 << 20))
-    # the name ends at the first zero byte; zero bytes after it are skipped before telemetry
-    name_hex = F.regexp_extract(rest, "^((?:(?!00)[0-9a-f]{2})*)", 1)
-    after = F.when(bit(128), F.regexp_replace(F.substr(rest, F.length(name_hex) + 1, F.lit(1 << 20)), "^(?:00)+", "")).otherwise(rest)
-    # decode replaces bytes that are no UTF-8
-    name = F.when(bit(128), sanitize_name(F.decode(F.unhex(name_hex), "UTF-8")))
-    tele = (kind == 4) & (F.length(after) >= 8)
-    mv, temp = little(after, 0, 2), signed(little(after, 2, 2), 16)
-    return F.when(ok, F.struct(
-        hexpart(p, 0, 32).alias("pubKey"), little(p, 32, 4).alias("timestamp"), flags.alias("flags"),
-        F.when(flags.isNotNull(), F.when(kind == 2, "repeater").when(kind == 3, "room").when(kind == 4, "sensor").otherwise("companion")).alias("role"),
-        F.when(pos, signed(little(p, 101, 4), 32) / 1e6).alias("lat"), F.when(pos, signed(little(p, 105, 4), 32) / 1e6).alias("lon"),
-        F.when(f1, little(p, o1, 2)).alias("feat1"), F.when(f2, little(p, o2, 2)).alias("feat2"),
-        F.substring(name, 1, NAME_BYTES).alias("name"),
-        F.when(tele & (mv > 0) & (mv <= 10000), mv).alias("battery_mv"),
-        F.when(tele & temp.between(-5000, 10000), temp / 100.0).alias("temperature_c")))
+def _stage(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns behind a generated row, so that later stages reuse them instead of repeating them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
 
 
 def decode_adverts(frames: DataFrame) -> DataFrame:
-    a = frames.filter((F.col("payload_type") == names.ADVERT) & F.col("error").isNull()).withColumn("advert", advert_fields(F.col("payload_hex")))
-    return a.select("*", "advert.*").drop("advert").withColumn("error", F.when(F.col("pubKey").isNull(), "too short for advert"))
+    """Advert bodies: key, time, role, position, name, telemetry; ``error`` when too short."""
+    p, c = F.col("payload_hex"), F.col
+    a = frames.filter((c("payload_type") == names.ADVERT) & c("error").isNull()).drop("error")
+    n = F.floor(F.length(p) / 2)
+    a = _stage(a, _n=n, _ok=n >= ADVERT_MIN_BYTES, flags=F.when(n > ADVERT_MIN_BYTES, uint(hexpart(p, 100, 1)).cast("int")))
+    bit = lambda b: F.coalesce(c("flags").bitwiseAND(b) != 0, F.lit(False))
+    a = _stage(a, _pos=bit(16) & (c("_n") >= 109))
+    a = _stage(a, _o1=F.when(c("_pos"), 109).otherwise(101))
+    a = _stage(a, _f1=bit(32) & (c("_n") >= c("_o1") + 2))
+    a = _stage(a, _o2=c("_o1") + F.when(c("_f1"), 2).otherwise(0))
+    a = _stage(a, _f2=bit(64) & (c("_n") >= c("_o2") + 2))
+    a = _stage(a, _rest=F.substr(p, ((c("_o2") + F.when(c("_f2"), 2).otherwise(0)) * 2 + 1).cast("int"), F.lit(1 << 20)))
+    # the name ends at the first zero byte; zero bytes after it are skipped before telemetry
+    a = _stage(a, _name=F.regexp_extract("_rest", "^((?:(?!00)[0-9a-f]{2})*)", 1))
+    tail = F.regexp_replace(F.substr(c("_rest"), F.length("_name") + 1, F.lit(1 << 20)), "^(?:00)+", "")
+    a = _stage(a, _tele=F.when(bit(128), tail).otherwise(c("_rest")))
+    kind = c("flags").bitwiseAND(15)
+    ok, has = c("_ok"), (kind == 4) & (F.length("_tele") >= 8)
+    a = _stage(a, _mv=F.when(has, little(c("_tele"), 0, 2)), _temp=F.when(has, signed(little(c("_tele"), 2, 2), 16)))
+    role = F.when(kind == 2, ROLES[2]).when(kind == 3, ROLES[3]).when(kind == 4, ROLES[4]).otherwise(ROLES[1])
+    # bytes that are no UTF-8 are replaced by the decoder
+    name = F.substring(sanitize_name(F.decode(F.unhex("_name"), "UTF-8")), 1, NAME_BYTES)
+    out = {
+        "pubKey": F.when(ok, hexpart(p, 0, 32)), "timestamp": F.when(ok, little(p, 32, 4)),
+        "role": F.when(ok & c("flags").isNotNull(), role),
+        "lat": F.when(ok & c("_pos"), signed(little(p, 101, 4), 32) / 1e6), "lon": F.when(ok & c("_pos"), signed(little(p, 105, 4), 32) / 1e6),
+        "feat1": F.when(ok & c("_f1"), little(p, c("_o1"), 2)), "feat2": F.when(ok & c("_f2"), little(p, c("_o2"), 2)),
+        "name": F.when(ok & bit(128), name), "battery_mv": F.when(c("_mv").between(1, 10000), c("_mv")),
+        "temperature_c": F.when(c("_temp").between(-5000, 10000), c("_temp") / 100.0),
+        "error": F.when(~ok, F.lit("too short for advert")),
+    }
+    return a.select(*frames.drop("error").columns, *[v.alias(k) for k, v in out.items()], "flags")
 
 
 def decode_payload_fields(frames: DataFrame) -> DataFrame:

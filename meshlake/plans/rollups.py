@@ -27,7 +27,7 @@ def bin_of(value: Column, measure: str) -> Column:
     lo, width, count = BINS[measure]
     v = value.cast("bigint") - lo
     q = F.when(v < 0, -F.floor(-v / width)).otherwise(F.floor(v / width))
-    return F.greatest(F.lit(0), F.least(F.lit(count - 1), q)).cast("int")
+    return F.when(value.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(count - 1), q))).cast("int")
 
 
 def _hours(df: DataFrame, time: str, hours: DataFrame | None) -> DataFrame:
@@ -303,8 +303,11 @@ def touched_hours(tx: DataFrame, obs: DataFrame, watermark: int, by: str = "time
 
 
 def write_rollup(df: DataFrame, path: str) -> None:
-    """Replace exactly the hours present in ``df``; other partitions stay."""
-    day = df.withColumn("hour_key", F.date_format("hour", "yyyy-MM-dd-HH"))
+    """Replace exactly the hours present in ``df``; other partitions stay.
+
+    Rows are rebalanced by hour so that an hour is one file, or several when it is large.
+    """
+    day = df.withColumn("hour_key", F.date_format("hour", "yyyy-MM-dd-HH")).hint("rebalance", "hour_key")
     day.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour_key").parquet(path)
 
 

@@ -107,29 +107,38 @@ def metrics_stream(samples: DataFrame, bucket: int = 300) -> DataFrame:
 
 # ---- liveness --------------------------------------------------------------------------
 
-def liveness_stream(messages: DataFrame, threshold_secs: int = 300) -> DataFrame:
-    """Alerts on change: ``stalled`` when a source falls silent, ``recovered`` when it speaks again.
+def liveness_stream(messages: DataFrame, threshold_secs: int = 300, clock: str = "processing") -> DataFrame:
+    """Alerts on change: ``first_message``, ``stalled`` when a source falls silent, ``recovered`` when it speaks again.
 
-    Only counts per source and batch reach the state, which is one flag and one time.
+    ``clock="processing"`` times silence by the wall clock of a running job; ``"event"`` by the
+    newest message time seen on any source, which also works on a replay that ends. The state of a
+    source is one time and one flag.
     """
+    wall = clock == "processing"
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, stalled = state.get if state.exists else (None, False)
         out = []
         if state.hasTimedOut:
-            idle = (state.getCurrentProcessingTimeMs() / 1000) - last
-            if not stalled:
-                out.append((key[0], "stalled", pd.Timestamp(last, unit="s"), float(idle)))
+            now = (state.getCurrentProcessingTimeMs() if wall else state.getCurrentWatermarkMs()) / 1000
+            out.append((key[0], "stalled", pd.Timestamp(last, unit="s"), float(now - last)))
             state.update((last, True))
         else:
-            newest = max(float(b["t"].max()) for b in batches)
+            newest = max(b["ingest_time"].max().timestamp() for b in batches)
             if stalled:
                 out.append((key[0], "recovered", pd.Timestamp(newest, unit="s"), float(newest - last)))
             elif last is None:
                 out.append((key[0], "first_message", pd.Timestamp(newest, unit="s"), 0.0))
-            state.update((max(newest, last or newest), False))
-            state.setTimeoutDuration(threshold_secs * 1000)
+            last = max(newest, last or newest)
+            state.update((last, False))
+            if wall:
+                state.setTimeoutDuration(threshold_secs * 1000)
+            else:
+                state.setTimeoutTimestamp(max(int((last + threshold_secs) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["source", "event", "at", "idle_secs"])
 
-    t = messages.select("source", F.unix_micros("ingest_time").alias("_u")).withColumn("t", F.col("_u") / 1e6)
-    return t.select("source", "t").groupBy("source").applyInPandasWithState(
-        step, ALERT_OUT, "last double, stalled boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    src = messages.select("source", "ingest_time")
+    if not wall:
+        src = src.withWatermark("ingest_time", "0 seconds")
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if wall else GroupStateTimeout.EventTimeTimeout
+    return src.groupBy("source").applyInPandasWithState(step, ALERT_OUT, "last double, stalled boolean", "append", timeout)

@@ -510,8 +510,9 @@ def _(m):
 
 # hours the watermark (newest time less 12 hours) has passed are final
 @query("hourly_tumbling", _PK.replace("SELECT seq, '1100'", "SELECT cents, seq, '1100'") + """
-SELECT rx_time // 3600 * 3600 AS hour, count(*)::BIGINT AS packets, count(snr)::BIGINT AS n_snr, round(avg(snr), 6) AS avg_snr FROM (SELECT rx_time, CASE seq % 3 WHEN 0 THEN cents % 20 + 0.25e0 WHEN 1 THEN cents % 15 END AS snr FROM pk)
-GROUP BY 1 HAVING (rx_time // 3600 + 1) * 3600 <= (SELECT max(rx_time) - 12 * 3600 FROM pk)""")
+SELECT * FROM (SELECT rx_time // 3600 * 3600 AS hour, count(*)::BIGINT AS packets, count(snr)::BIGINT AS n_snr, round(avg(snr), 6) AS avg_snr
+  FROM (SELECT rx_time, CASE seq % 3 WHEN 0 THEN cents % 20 + 0.25e0 WHEN 1 THEN cents % 15 END AS snr FROM pk) GROUP BY 1)
+WHERE hour + 3600 <= (SELECT max(rx_time) - 12 * 3600 FROM pk)""")
 def _(m):
     p = I.packet_messages(m.messages).select("rx_time", "snr", "hash")
     return _drain(m, J.hourly_tumbling(_written(m, p))).withColumn("avg_snr", F.round("avg_snr", 6))
@@ -525,7 +526,7 @@ def _(m):
 
 @query("liveness_stream")
 def _(m):
-    return _drain(m, J.liveness_stream(_written(m, m.messages.select("ingest_time", "source")), 3600)).select("source", "event")
+    return _drain(m, J.liveness_stream(_written(m, m.messages.select("ingest_time", "source")), 3600, "event")).select("source", "event")
 
 
 @query("late_data", M.sql("nodes obs", f"""

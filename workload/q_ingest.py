@@ -11,6 +11,7 @@ from meshlake.streaming import jobs as J
 
 from . import mesh_sql as M
 from .mesh_views import NOW, MeshTables
+from .q_nodes import _delta_sql
 from .q_rf import WEEK, WEEK_SINCE
 from .registry import query
 
@@ -474,11 +475,11 @@ def _root(m):
     return f"{checkpoint_dir(m.spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _written(m, df, name="in", parts=4):
+def _written(m, df, name="in", parts=4, per_trigger=2):
     """The table in several files, to be streamed file by file."""
     path = f"{_root(m)}/{name}"
     df.repartitionByRange(parts, df.columns[0]).write.parquet(path)
-    return m.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return m.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
 def _drain(m, stream, mode="append"):
@@ -518,10 +519,15 @@ def _(m):
     return _drain(m, J.hourly_tumbling(_written(m, p))).withColumn("avg_snr", F.round("avg_snr", 6))
 
 
-@query("metrics_stream")
+_SNAPPED = """, sn AS (SELECT * FROM (SELECT *, (timestamp + 21600) // 43200 * 43200 AS b, row_number() OVER (PARTITION BY observer_id, (timestamp + 21600) // 43200 ORDER BY seq DESC) AS rn FROM metrics) WHERE rn = 1)
+"""
+
+
+@query("metrics_stream", M.sql("metrics", _SNAPPED + "SELECT observer_id, timestamp, tx_airtime_pct, rx_airtime_pct, recv_error_rate, is_reboot FROM (" + _delta_sql("sn", "b", "b", 43200).replace(", dl AS", "WITH dl AS", 1) + ")"))
 def _(m):
+    """All files in one trigger, where a bucket's last sample is known; the stream then equals the batch."""
     s = m.metrics.select("timestamp", "observer_id", "seq", *O.COUNTERS)
-    return _drain(m, J.metrics_stream(_written(m, s), 43200))
+    return _drain(m, J.metrics_stream(_written(m, s, per_trigger=1000), 43200))
 
 
 @query("liveness_stream")

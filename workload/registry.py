@@ -12,12 +12,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-_VIEWS: dict[tuple[int, str], MeshTables] = {}
+_VIEWS: dict[tuple[str, str], MeshTables] = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> MeshTables:
-    """The views of one directory; only their plans are shared between queries, no data."""
-    k = (id(spark), sf_dir)
+    """The mesh tables of one directory, derived once per Spark application and read by all its queries."""
+    k = (spark.sparkContext.applicationId, sf_dir)
     if k not in _VIEWS:
         _VIEWS[k] = MeshTables(spark, sf_dir)
     return _VIEWS[k]

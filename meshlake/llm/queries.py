@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import mixing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,3 +58,51 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
                      (~base & F.col("passed")).alias("kept"))
+
+
+def _time_sql(part: str, schedule) -> str:
+    total, done, arms = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(schedule, schedule[1:], strict=False)), 0.0, []
+    for (t0, r0), (t1, r1) in zip(schedule, schedule[1:], strict=False):
+        slope, need = (r1 - r0) / (t1 - t0), f"({part} * {total!r}::DOUBLE - {done!r}::DOUBLE)"
+        done += (t1 - t0) * (r0 + r1) / 2
+        arms.append(f"WHEN {part} * {total!r}::DOUBLE <= {done!r}::DOUBLE THEN {t0!r}::DOUBLE + 2 * {need} / ({r0!r}::DOUBLE + "
+                    f"sqrt(greatest({r0 * r0!r}::DOUBLE + 2 * {slope!r}::DOUBLE * {need}, 0::DOUBLE)))")
+    return f"CASE {' '.join(arms)} ELSE 1 END"
+
+
+def _at_sql(start: str) -> str:
+    part = f"(({start}) / target)"
+    return "CASE " + " ".join(f"WHEN weight = {w} THEN {_time_sql(part, s)}" for w, s in mixing.SCHEDULES.items()) + " END"
+
+
+MIX_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len({WORDS_SQL}) AS size FROM documents),
+ s0 AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3] AS weight FROM d GROUP BY source),
+ s1 AS (SELECT *, (2 * source_size)::DOUBLE AS room, (2 * source_size)::DOUBLE / weight AS full_at FROM s0),
+ s2 AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(room) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                  / sum(weight) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM s1 WINDOW f AS (ORDER BY full_at, encode(source) NULLS LAST)),
+ s AS (SELECT source, source_size, weight, least(room, coalesce((SELECT min(lev) FROM s2 WHERE lev <= full_at), 'inf'::DOUBLE) * weight) AS target FROM s2),
+ o AS (SELECT d.*, s.source_size, s.weight, s.target, round(s.target)::BIGINT AS goal,
+              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || size), doc_id
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+       FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+ p AS (SELECT *, greatest(0, least(size, goal - start))::BIGINT AS n1, greatest(0, least(size, goal - source_size - start))::BIGINT AS n2 FROM o)
+SELECT doc_id, size::BIGINT AS size, source_size, target, n1 + n2 AS taken,
+       round(CASE WHEN n1 > 0 THEN {_at_sql("start")} END, 9) AS at_first, round(CASE WHEN n2 > 0 THEN {_at_sql("start + source_size")} END, 9) AS at_second
+FROM p"""
+
+
+@query("op3_mixing_sources", MIX_SQL)
+def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the curriculum takes of every document, and when; documents that take none come last."""
+    m = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return m.select("doc_id", "size", "source_size", "target", "taken", F.round("at_first", 9).alias("at_first"), F.round("at_second", 9).alias("at_second")) \
+            .orderBy(F.col("at_first").asc_nulls_last(), "doc_id")
+
+
+@query("op5_sharding")
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 40 of near equal bytes, and its place in it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    s = sharding.histogram_sort(docs, shards=40)
+    return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding
+from . import licenses, mixing, quality, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -106,3 +107,59 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     s = sharding.histogram_sort(docs, shards=40)
     return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _template_sql(template: str) -> str:
+    out = " "
+    for piece in re.findall(r"<<[^<>]*>>|[^<>]+", template):
+        if piece == "<<optional>>":
+            out += "(?:"
+        elif piece == "<<end>>":
+            out += ")?"
+        elif piece.startswith("<<any"):
+            out += f"(?:[^ ]+ ){{0,{piece[6:-2]}}}"
+        else:
+            out += "".join(w.decode() + " " for w in licenses.words_of(piece))
+    return out
+
+
+def _license_sql() -> str:
+    place = "list_filter(range(1, len(w) + 1), lambda i: {})"
+    phrases = [(label, place.format(" AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())))) for p, label in licenses.PHRASES.items()]
+    base = " || ".join(p for _, p in phrases)
+    named = "[" + ", ".join(f"CASE WHEN len({p}) > 0 THEN '{label}' END" for label, p in phrases) + "]"
+    forms = [(label, _template_sql(t), licenses.compiled(label, t).mandatory) for label, t in licenses.TEMPLATES]
+    hits = ", ".join(f"CASE WHEN regexp_matches(line, '{p}') THEN {m} END AS m{k}" for k, (_, p, m) in enumerate(forms))
+    more = "[" + ", ".join(f"CASE WHEN m{k} IS NOT NULL THEN '{label}' END" for k, (label, _, _) in enumerate(forms)) + "]"
+    covered = "greatest(0, " + ", ".join(f"coalesce(m{k}, 0)" for k in range(len(forms))) + ")"
+    join = "array_to_string(list_sort(list_distinct(list_filter({}, lambda x: x IS NOT NULL))), ',')"
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ p AS (SELECT doc_id, w, {base} AS base, {named} AS named, ' ' || array_to_string(w, ' ') || ' ' AS line FROM d),
+ m AS (SELECT *, {hits} FROM p)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(base)::BIGINT AS n_base, list_min(base) - 1 AS first_word, list_max(base) - 1 AS last_word,
+       {join.format("named")} AS base_labels, {join.format(f"named || {more}")} AS labels,
+       greatest(least(1.0, {covered}::DOUBLE / 20), CASE WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
+FROM m"""
+
+
+@query("op9_license_scans", _license_sql())
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase places, labels and score of every document."""
+    found = licenses.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@query("op2_exact_top_k", TOP_K_SQL)
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best vectors for every 50th one."""
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5, scale=256)

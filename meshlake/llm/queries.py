@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality, sharding, topk
+from . import licenses, mixing, pieces, quality, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -163,3 +163,18 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5"""
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best vectors for every 50th one."""
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op8_sentencepiece")
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text they decode to, as digests."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    df = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(pieces.id_bytes("ids"), 256).alias("ids_sha256"),
+                     F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))

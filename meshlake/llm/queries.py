@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, pieces, quality, sharding, topk
+from . import licenses, mixing, pieces, quality, sharding, tokenfile, topk
+from .common import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -178,3 +179,13 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
     return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(pieces.id_bytes("ids"), 256).alias("ids_sha256"),
                      F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@query("op7_token_files")
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum as read back from the written token file."""
+    path = shared_path(spark, "tokens")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenfile.write_tokens(docs, tokenizer_path("word_bpe_49k.json"), path, end=2)
+    back = tokenfile.read_tokens(spark, path)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))

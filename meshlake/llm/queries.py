@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, pieces, quality, sharding, tokenfile, topk
+from . import jaccard, licenses, mixing, pieces, quality, sharding, tokenfile, topk
 from .common import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,3 +189,22 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenfile.write_tokens(docs, tokenizer_path("word_bpe_49k.json"), path, end=2)
     back = tokenfile.read_tokens(spark, path)
     return back.select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                      '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                                           ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS s FROM w),
+ n AS (SELECT w.doc_id, count(s) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+ i AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+ e AS (SELECT u, v FROM i JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * i >= 85 * (a.n + b.n - i)),
+ r AS (SELECT doc_id, doc_id AS to_id FROM n UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.to_id),
+ c AS (SELECT doc_id, min(to_id) AS component_id FROM r GROUP BY doc_id), d AS (SELECT u AS doc_id, count(*) AS n_links FROM e GROUP BY u)
+SELECT doc_id, n AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM n JOIN c USING (doc_id) LEFT JOIN d USING (doc_id)"""
+
+
+@query("op1_ngram_jaccard_join", JACCARD_SQL)
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component and number of links at a similarity of 0.85 or more over 4-word shingles."""
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, num=85, den=100)

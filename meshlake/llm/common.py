@@ -84,12 +84,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def windows_hash(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of k consecutive values, in order."""
-    n = len(h) - k + 1
-    acc = np.zeros(n, dtype=np.uint64)
-    for i in range(k):
-        acc = acc * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
-    return mixed(acc)
+    """Hash of every run of k consecutive values, in order (a polynomial, built by doubling)."""
+    base = 0x9E3779B97F4A7C15
+    acc, done, power, size = None, 0, h, 1
+    while True:
+        if k & size:  # the run of `done` values is followed by one of `size`
+            if acc is None:
+                acc, done = power, size
+            else:
+                n = len(h) - done - size + 1
+                acc, done = acc[:n] * np.uint64(pow(base, size, 1 << 64)) + power[done : done + n], done + size
+        size *= 2
+        if size > k:
+            return mixed(acc)
+        n = len(h) - size + 1
+        power = power[:n] * np.uint64(pow(base, size // 2, 1 << 64)) + power[size // 2 : size // 2 + n]
 
 
 def blank(c: str):

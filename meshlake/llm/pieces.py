@@ -43,7 +43,7 @@ def ragged(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
 class PieceModel:
     """Tables of a SentencePiece BPE model (identity normalisation, dummy prefix, byte fallback)."""
 
-    def __init__(self, proto: bytes, remember: int = 200_000):
+    def __init__(self, proto: bytes, remember: int = 500_000):
         from sentencepiece import sentencepiece_model_pb2
 
         m = sentencepiece_model_pb2.ModelProto.FromString(proto)
@@ -222,12 +222,12 @@ class PieceModel:
         return out
 
 
-def _chunks(texts: list, most: int = 4_000_000) -> Iterator[list]:
-    """Batches of a bounded number of characters; a longer text is one of its own."""
+def _chunks(rows: list, most: int = 1_000_000) -> Iterator[list]:
+    """Parts of a bounded number of characters or ids; a longer row ends its part."""
     part, n = [], 0
-    for t in texts:
+    for t in rows:
         part.append(t)
-        n += len(t) if t else 0
+        n += 0 if t is None else len(t)
         if n >= most:
             yield part
             part, n = [], 0
@@ -250,7 +250,8 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
             out += np.split(flat, np.cumsum(sizes)[:-1])
         return pd.Series(out, dtype=object)
 
-    return docs.withColumn(ids, F.pandas_udf(run, "array<int>")(F.col(text)))
+    # marked so that a plan never calls it once for each use of its result
+    return docs.withColumn(ids, F.pandas_udf(run, "array<int>").asNondeterministic()(F.col(text)))
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -262,10 +263,13 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decode
     def run(s: pd.Series) -> pd.Series:
         if not held:
             held.append(PieceModel(proto))
-        rows = [np.zeros(0, dtype=np.int64) if x is None else np.asarray(x, dtype=np.int64) for x in s]
-        return pd.Series(held[0].decode(np.concatenate([*rows, np.zeros(0, dtype=np.int64)]), np.array([len(x) for x in rows], dtype=np.int64)), dtype=object)
+        out = []
+        for part in _chunks(list(s)):
+            sizes = np.array([0 if x is None else len(x) for x in part], dtype=np.int64)
+            out += held[0].decode(np.concatenate([np.zeros(0, dtype=np.int32), *[x for x in part if x is not None]]), sizes)
+        return pd.Series(out, dtype=object)
 
-    return df.withColumn(text, F.pandas_udf(run, "string")(F.col(ids)))
+    return df.withColumn(text, F.pandas_udf(run, "string").asNondeterministic()(F.col(ids)))
 
 
 def id_bytes(ids: str):

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, mixing, pieces, quality, sharding, tokenfile, topk
+from . import jaccard, licenses, mixing, pieces, quality, sharding, suffixes, tokenfile, topk
 from .common import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,3 +208,24 @@ SELECT doc_id, n AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FR
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component and number of links at a similarity of 0.85 or more over 4-word shingles."""
     return jaccard.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, num=85, den=100)
+
+
+PASSAGES_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ g AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM w WHERE len(w) >= 50)),
+ r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS nth FROM g),
+ a AS (SELECT doc_id, i, nth, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM r WHERE n > 1),
+ s AS (SELECT doc_id, i, nth, count(*) FILTER (gap IS NULL OR gap > 50) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM a),
+ l AS (SELECT doc_id, span, sum(least(50, coalesce(nxt - i, 50))) AS later FROM (SELECT doc_id, span, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM s WHERE nth > 1) GROUP BY ALL)
+SELECT doc_id, min(i)::BIGINT AS start_word, max(i)::BIGINT + 50 AS end_word, max(i)::BIGINT + 50 - min(i)::BIGINT AS n_words, coalesce(any_value(later), 0)::BIGINT AS later_words
+FROM s LEFT JOIN l USING (doc_id, span) GROUP BY doc_id, span"""
+
+
+@query("op6_suffix_dedup", PASSAGES_SQL)
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that occurs again, and how many of its words have an earlier occurrence."""
+    found = suffixes.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), least=50)
+    one = found.select("doc_id", F.explode("spans").alias("s"), "later")
+    inside = F.filter("later", lambda x: (x["start"] >= F.col("s.start")) & (x["end"] <= F.col("s.end")))
+    words = F.aggregate(inside, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return one.select("doc_id", F.col("s.start").alias("start_word"), F.col("s.end").alias("end_word"), (F.col("s.end") - F.col("s.start")).alias("n_words"), words.alias("later_words"))

@@ -125,10 +125,10 @@ def _searcher(k: int):
         if not len(shard) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         shard = shard.drop_duplicates("vec_id")
-        width = max(shard["v"].map(len).max(), queries["v"].map(len).max())
-        points, asked = _matrix(shard["v"], width, np.float64), _matrix(queries["v"], width, np.float64)
+        width = max(shard["v"].map(len).max(), queries["wanted"].map(len).max())
+        points, asked = _matrix(shard["v"], width, np.float64), _matrix(queries["wanted"], width, np.float64)
         if exact_dtype(points, asked) is object:
-            points, asked = _matrix(shard["v"], width, object), _matrix(queries["v"], width, object)
+            points, asked = _matrix(shard["v"], width, object), _matrix(queries["wanted"], width, object)
         tree = KDTree(points, shard["vec_id"].to_numpy())
         out = []
         for q, i, known in zip(asked, queries["query_id"], queries["known"], strict=True):
@@ -158,7 +158,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, id:
     shard = F.pmod(F.xxhash64(F.lit("shard"), "vec_id"), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int")
     kept = rows.select("vec_id", "v", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    q = rows.filter("asked").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "v", block.alias("block"))
+    q = rows.filter("asked").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("wanted"), block.alias("block"))
     home = F.pmod(F.xxhash64(F.lit("home"), "query_id"), F.lit(shards)).cast("int")
 
     def searched(some: DataFrame) -> DataFrame:

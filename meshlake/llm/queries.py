@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, mixing, pieces, quality, sharding, suffixes, tokenfile, topk
+from . import jaccard, licenses, mixing, pieces, quality, sharding, suffixes, tokenfile, toolcalls, topk
 from .common import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +229,34 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = F.filter("later", lambda x: (x["start"] >= F.col("s.start")) & (x["end"] <= F.col("s.end")))
     words = F.aggregate(inside, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return one.select("doc_id", F.col("s.start").alias("start_word"), F.col("s.end").alias("end_word"), (F.col("s.end") - F.col("s.start")).alias("n_words"), words.alias("later_words"))
+
+
+TOOLS_SQL = r"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, to_json(text)::VARCHAR AS j FROM conversations),
+ call AS (SELECT conv_id, turn, text, j, 'call-' || turn AS id, CASE WHEN turn >= 2 THEN 'call-' || (turn - 2) END AS prior FROM t WHERE role = 'user'),
+ answer AS (SELECT conv_id, turn - 1 AS turn, min(text) AS content FROM t WHERE role IN ('assistant', 'tool') GROUP BY ALL),
+ ids AS (SELECT DISTINCT conv_id, turn FROM call),
+ lev AS (SELECT conv_id, turn, 0 AS level FROM ids i WHERE NOT EXISTS (SELECT 1 FROM ids p WHERE p.conv_id = i.conv_id AND p.turn = i.turn - 2)
+         UNION ALL SELECT i.conv_id, i.turn, level + 1 FROM lev JOIN ids i ON i.conv_id = lev.conv_id AND i.turn = lev.turn + 2),
+ c AS (SELECT c.conv_id, turn, level, content, a.turn IS NOT NULL AS answered, length(text) BETWEEN 1 AND 600 AS fine,
+              '{"arguments":{' || CASE WHEN turn >= 2 THEN '"follows":"' || prior || '",' ELSE '' END || '"prompt":' || j || ',"turn":"' || turn || '"},"faults":['
+              || CASE WHEN length(text) BETWEEN 1 AND 600 THEN '' ELSE '"prompt"' END || '],"id":"' || id || '","name":"reply","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS m
+       FROM call c LEFT JOIN lev USING (conv_id, turn) LEFT JOIN answer a USING (conv_id, turn)),
+ o AS (SELECT a.conv_id, a.turn, '{"id":"call-' || a.turn || '","result":' || to_json(content) || '}' AS m FROM answer a ANTI JOIN ids USING (conv_id, turn)),
+ x AS (SELECT conv_id, turn, '{"content":' || j || ',"role":' || to_json(role) || '}' AS m FROM t WHERE role NOT IN ('user', 'assistant', 'tool')),
+ k AS (SELECT DISTINCT conv_id FROM t),
+ cs AS (SELECT conv_id, count(*) AS n_calls, count(*) FILTER (answered) AS n_linked, count(*) FILTER (NOT fine) AS n_invalid, max(level) + 1 AS depth,
+               string_agg(m, ',' ORDER BY level, turn, m) AS m FROM c GROUP BY conv_id),
+ os AS (SELECT conv_id, count(*) AS n, string_agg(m, ',' ORDER BY 'call-' || turn, m) AS m FROM o GROUP BY conv_id),
+ xs AS (SELECT conv_id, string_agg(m, ',' ORDER BY turn, m) AS m FROM x GROUP BY conv_id)
+SELECT conv_id, coalesce(n_calls, 0) AS n_calls, coalesce(n_linked, 0) AS n_linked, coalesce(n_invalid, 0) AS n_invalid, 0::BIGINT AS n_cyclic, coalesce(os.n, 0) AS n_orphans,
+       coalesce(depth, 0)::INTEGER AS depth, '{"calls":[' || coalesce(cs.m, '') || '],"messages":[' || coalesce(xs.m, '') || '],"orphans":[' || coalesce(os.m, '') || ']}' AS json
+FROM k LEFT JOIN cs USING (conv_id) LEFT JOIN os USING (conv_id) LEFT JOIN xs USING (conv_id)"""
+
+
+@query("op10_tool_call_linking", TOOLS_SQL)
+def op10_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's turns as linked calls and results in canonical JSON."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    calls, results, others = toolcalls.calls_of_turns(turns)
+    return toolcalls.conversations_json(toolcalls.linked_calls(calls, results, toolcalls.REPLY), others)

@@ -2,7 +2,7 @@
 
 Calls and results are linked by a hash join on (conversation, identifier). A call may refer to the results of
 others; calls are ordered topologically, by levels: a call's level is one more than the highest level it refers to.
-Levels come from rounds of joins and aggregates, each written to the shared folder, as many as the longest chain.
+Levels come from a fold over a conversation's calls where all references point back, else from rounds of joins.
 Arguments are validated against the tool's schema (required fields, types, ranges, no unknown fields), compiled into
 column expressions. Each conversation becomes canonical JSON: keys in alphabetical order, no blanks, control
 characters escaped, calls in topological order with their results inside.
@@ -84,23 +84,45 @@ def schema_faults(arguments: Column, schema: Schema) -> Column:
     return F.when(keys.isNull(), F.array(F.lit("?"))).otherwise(F.array_sort(F.array_union(found, unknown)))
 
 
-def levels(calls: DataFrame) -> DataFrame:
+def levels(calls: DataFrame, fold: int = 4096) -> DataFrame:
     """(conv, call_id, level) of every identified call; level null for calls in or behind a cycle.
 
-    `calls` has conv, call_id and refs. Each round settles the calls all of whose references are settled.
+    `calls` has conv, call_id, refs and seq. Where all references of a conversation point back, as they do in one
+    that was recorded, a fold over its calls in order gives the levels; conversations with other references, or
+    with more than `fold` calls, take the rounds.
     """
-    nodes = calls.filter("call_id is not null").select("conv", "call_id").distinct()
-    edges = calls.filter("call_id is not null").select("conv", "call_id", F.explode("refs").alias("ref")).distinct()
-    edges = edges.join(nodes.withColumnRenamed("call_id", "ref"), ["conv", "ref"], "left_semi")
+    nodes = calls.filter("call_id is not null").groupBy("conv", "call_id").agg(
+        F.min("seq").alias("seq"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("refs", F.array().cast("array<string>"))))).alias("refs"))
+    nodes = stored(nodes, "nodes")
+    edges = nodes.select("conv", "call_id", "seq", F.explode("refs").alias("ref")).filter("ref is not null")
+    edges = edges.join(nodes.select("conv", F.col("call_id").alias("ref"), F.col("seq").alias("at")), ["conv", "ref"])
+    ahead = edges.filter(F.coalesce(~(F.col("at") < F.col("seq")), F.lit(True))).select("conv")
+    long = nodes.groupBy("conv").count().filter(F.col("count") > fold).select("conv")
+    hard = stored(ahead.union(long).distinct(), "hard")
+    easy = nodes.join(hard, "conv", "left_anti").groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("seq", "call_id", "refs"))).alias("calls"))
+
+    def settle(done: Column, call: Column) -> Column:
+        of = F.transform(call["refs"], lambda r: F.get(done["levels"], F.array_position(done["ids"], r).cast("int") - 1))
+        level = F.coalesce(F.array_max(of) + 1, F.lit(0))
+        return F.struct(F.array_append(done["ids"], call["call_id"]).alias("ids"), F.array_append(done["levels"], level).alias("levels"))
+
+    nothing = F.struct(F.array().cast("array<string>").alias("ids"), F.array().cast("array<int>").alias("levels"))
+    folded = easy.select("conv", F.aggregate("calls", nothing, settle).alias("done"))
+    out = folded.select("conv", F.explode(F.arrays_zip("done.ids", "done.levels")).alias("x")).select("conv", F.col("x.ids").alias("call_id"), F.col("x.levels").alias("level"))
+    if hard.isEmpty():
+        return out
+    return out.union(_rounds(nodes.join(hard, "conv", "left_semi").select("conv", "call_id"), edges.join(hard, "conv", "left_semi").select("conv", "call_id", "ref")))
+
+
+def _rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Levels by rounds: each settles the calls all of whose references are settled."""
     waiting = stored(edges, "references")
     first = nodes.join(waiting.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_anti")
     done = [stored(first.withColumn("level", F.lit(0)), "level")]
     while True:
         newest = done[-1].select("conv", F.col("call_id").alias("ref"), F.lit(True).alias("settled"))
         state = waiting.join(newest, ["conv", "ref"], "left")
-        open_ = state.filter("settled is null").select("conv", "call_id", "ref")
-        left = stored(open_, "references")
-        # a call is settled when its last open reference is: none of its rows is left
+        left = stored(state.filter("settled is null").select("conv", "call_id", "ref"), "references")
         ready = state.filter("settled").select("conv", "call_id").distinct().join(left.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_anti")
         level = stored(ready.withColumn("level", F.lit(len(done))), "level")
         forget(waiting)

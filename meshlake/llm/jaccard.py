@@ -11,8 +11,8 @@ link:
    boilerplate from being a pivot and changes no result.
 3. Inside a cell, triangle inequalities with virtual pivots: distance to the empty set is the size, and
    distances to the classes of a hash partition of all shingles differ by at most the symmetric difference. Pairs
-   that fail them cannot link. What is left falls into groups; each group's smallest point is the pivot of a
-   region, which gets the whole sets of the group's members, usually one region for a point.
+   that fail them cannot link. What is left falls into groups; groups that share points make a region, which gets
+   the whole set of each member once.
 4. Regions join exactly. Large ones recursively: pivots are drawn from the members, each member goes to its nearest
    pivot (a Voronoi cell), and those within 2r of a border are replicated across it. Regions beyond a fixed number
    of members are first split into pairs of blocks, so no task holds more than two blocks.
@@ -202,12 +202,12 @@ def _with_sets(k: int):
                 data = shingle_set(r.text, hashes, k).tobytes()
                 if np.uint64(xxhash.xxh3_64_intdigest(data)).view(np.int64) != r.sid:
                     continue  # another text of the same id
-                rows += [(s["lead"], s["a"], s["b"], s["block"], r.rep, r.copies, r.leads, data) for s in r.spots]
+                rows += [(s["lead"], s["a"], s["b"], s["block"], r.rep, r.copies, data) for s in r.spots]
                 if len(rows) > 500:
-                    yield pd.DataFrame(rows, columns=["lead", "a", "b", "block", "rep", "copies", "leads", "data"])
+                    yield pd.DataFrame(rows, columns=["lead", "a", "b", "block", "rep", "copies", "data"])
                     rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=["lead", "a", "b", "block", "rep", "copies", "leads", "data"])
+                yield pd.DataFrame(rows, columns=["lead", "a", "b", "block", "rep", "copies", "data"])
 
     return run
 
@@ -215,39 +215,36 @@ def _with_sets(k: int):
 class Region:
     """Members of one region and what the exact join finds among them."""
 
+    FINE = 256
+
     def __init__(self, sets: list[np.ndarray], num: int, den: int):
         self.num, self.den, self.r = num, den, 1 - num / den
         self.n = np.array([len(s) for s in sets], dtype=np.int64)
-        owner = np.repeat(np.arange(len(sets)), self.n)
-        _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        keep = count[code] > 1  # a shingle of one member takes part in no intersection
-        self.owner, code = owner[keep], code[keep]
-        _, self.code = np.unique(code, return_inverse=True)
-        self.start = np.searchsorted(self.owner, np.arange(len(sets) + 1))
+        owner, every = np.repeat(np.arange(len(sets)), self.n), np.concatenate(sets)
+        self.counts = np.bincount(owner * self.FINE + (every >> np.uint64(40)).astype(np.int64) % self.FINE, minlength=len(sets) * self.FINE).reshape(-1, self.FINE).astype(np.int32)
+        _, self.code = np.unique(every, return_inverse=True)
+        self.start = np.append(0, np.cumsum(self.n))
+        self.mark = np.zeros(int(self.code.max()) + 1 if len(self.code) else 0, dtype=np.int32)
         self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Sizes of the intersections of members x with members y."""
-        out = np.zeros((len(x), len(y)), dtype=np.float32)
-        pick = lambda rows: (np.repeat(np.arange(len(rows)), self.start[rows + 1] - self.start[rows]),
-                             np.concatenate([self.code[self.start[i] : self.start[i + 1]] for i in rows] or [self.code[:0]]))
-        (ra, ca), (rb, cb) = pick(x), pick(y)
-        both = np.intersect1d(ca, cb)
-        for k in range(0, len(both), 4096):
-            part = both[k : k + 4096]
-            left, right = (np.zeros((len(v), len(part)), dtype=np.float32) for v in (x, y))
-            for m, r, c in ((left, ra, ca), (right, rb, cb)):
-                at = np.minimum(np.searchsorted(part, c), len(part) - 1)
-                ok = part[at] == c
-                m[r[ok], at[ok]] = 1
-            out += left @ right.T
-        return np.rint(out).astype(np.int64)
+    def common(self, x: int, y: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of member x with members y."""
+        own = self.code[self.start[x] : self.start[x + 1]]
+        self.mark[own] = 1
+        out = np.zeros(len(y), dtype=np.int64)
+        most = max(1, 4_000_000 // max(1, int(self.n[y].max(initial=1))))
+        for k in range(0, len(y), most):
+            part = y[k : k + most]
+            held = self.mark[self.code[np.repeat(self.start[part] - (np.cumsum(self.n[part]) - self.n[part]), self.n[part]) + np.arange(self.n[part].sum())]]
+            out[k : k + most] = np.add.reduceat(held, np.cumsum(self.n[part]) - self.n[part])
+        self.mark[own] = 0
+        return out
 
     def join(self, rows: np.ndarray, sides: list[np.ndarray]) -> None:
         """Links among `rows`, between members of which every array in `sides` marks at least one."""
         if len(rows) > LEAF:
             pivots = rows[np.linspace(0, len(rows) - 1, 8).astype(int)]
-            common = self.common(rows, pivots)
+            common = np.stack([self.common(p, rows) for p in pivots], axis=1)
             d = 1 - common / (self.n[rows][:, None] + self.n[pivots][None, :] - common)
             home = d.argmin(axis=1)
             near = d - d.min(axis=1)[:, None] <= 2 * self.r + 1e-9
@@ -260,27 +257,27 @@ class Region:
                         self.join(rows[c], [*sides, own])
                 return
         rows = rows[np.argsort(self.n[rows], kind="stable")]
-        n = self.n[rows]
-        for a in range(0, len(rows), 1024):
-            x = rows[a : a + 1024]
-            far = int(np.searchsorted(n * self.num, n[min(a + 1024, len(rows)) - 1] * self.den, side="right"))
-            for b in range(a, far, 1024):
-                y = rows[b : min(b + 1024, far)]
+        n, counts = self.n[rows], self.counts[rows]
+        ends = np.searchsorted(n * self.num, n * self.den, side="right")  # the largest set that a set may link with
+        for i, x in enumerate(rows):
+            near = slice(i + 1, int(ends[i]))
+            apart = np.abs(counts[near] - counts[i]).sum(axis=1, dtype=np.int64)
+            keep = apart * (self.den + self.num) <= (self.den - self.num) * (n[near] + n[i])
+            y = rows[near][keep]
+            for s in sides:
+                if not s[x]:
+                    y = y[s[y]]
+            if len(y):
                 common = self.common(x, y)
-                linked = common * self.den >= self.num * (self.n[x][:, None] + self.n[y][None, :] - common)
-                if a == b:
-                    linked &= np.tri(len(x), len(y), -1, dtype=bool).T
-                for s in sides:
-                    linked &= s[x][:, None] | s[y][None, :]
-                i, j = np.nonzero(linked)
-                self.pairs.append((x[i], y[j]))
+                y = y[common * self.den >= self.num * (self.n[x] + self.n[y] - common)]
+                self.pairs.append((np.full(len(y), x), y))
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.concatenate([p[k] for p in self.pairs] or [np.zeros(0, dtype=np.int64)]) for k in (0, 1))
 
 
 def _joined(num: int, den: int):
-    """Per region: (point, root of its linked group, links counted here)."""
+    """Per task: (point, root of its linked group, links found)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_keys(batches, ["lead", "a", "b"]):
@@ -308,11 +305,7 @@ def _joined(num: int, den: int):
                     if (new == root).all():
                         break
                     root = new
-                # a pair that also shares an earlier region is counted there
-                leads = list(g["leads"])
-                early = [frozenset(v[v < lead].tolist()) for v in leads]
-                once = np.fromiter((early[i].isdisjoint(early[j]) for i, j in zip(x, y, strict=True)), dtype=bool, count=len(x)) if any(early) else np.ones(len(x), dtype=bool)
-                links = np.bincount(x[once], copies[y[once]], len(g)) + np.bincount(y[once], copies[x[once]], len(g))
+                links = np.bincount(x, copies[y], len(g)) + np.bincount(y, copies[x], len(g))
                 used = np.unique(np.concatenate([x, y]))
                 out.append(pd.DataFrame({"rep": rep[used], "root": rep[order[root[used]]], "links": links[used].astype(np.int64)}))
             if out:
@@ -360,14 +353,17 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
     shared = cells.mapInPandas(_shared(num, den), "key long, rep long")
     near = shared.join(one.select("rep", "n", "counts"), "rep").repartition(parts, "key").sortWithinPartitions("key", "n")
     spots = stored(near.mapInPandas(_groups(num, den), "rep long, lead long").distinct(), "spots")
-    # a region's members in blocks; the pairs of blocks are its tasks
-    size = spots.groupBy("lead").agg(F.count(F.lit(1)).alias("rows")).select("lead", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks"))
-    dealt = spots.join(size, "lead").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    forget(one)
+    # a region is a component of the groups; its members in blocks, the pairs of blocks are its tasks
+    home = components(spots.select(F.col("rep").alias("u"), F.col("lead").alias("v")))
+    home = home.union(home.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "rep").withColumnRenamed("root", "lead")
+    size = home.groupBy("lead").agg(F.count(F.lit(1)).alias("rows")).select("lead", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks"))
+    dealt = home.join(size, "lead").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     task = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.col("lead"), F.least(o, F.col("block")).alias("a"), F.greatest(o, F.col("block")).alias("b"), F.col("block")))
-    dealt = dealt.groupBy("rep").agg(F.sort_array(F.collect_set("lead")).alias("leads"), F.flatten(F.collect_list(task)).alias("spots"))
+    dealt = dealt.select("rep", task.alias("spots"))
     want = dealt.join(sets.select("rep", "sid", "n", "copies"), "rep")
-    members = want.join(docs.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "sid", "copies", "leads", "spots", "text")
-    found = members.mapInPandas(_with_sets(k), "lead long, a int, b int, block int, rep long, copies long, leads array<long>, data binary") \
+    members = want.join(docs.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "sid", "copies", "spots", "text")
+    found = members.mapInPandas(_with_sets(k), "lead long, a int, b int, block int, rep long, copies long, data binary") \
                    .repartition(parts, "lead", "a", "b").sortWithinPartitions("lead", "a", "b")
     regions = stored(found.mapInPandas(_joined(num, den), "rep long, root long, links long"), "regions")
     # an id whose rows have different texts holds their sets together

@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ship
 
@@ -272,6 +273,26 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decode
     return df.withColumn(text, F.pandas_udf(run, "string").asNondeterministic()(F.col(ids)))
 
 
-def id_bytes(ids: str):
-    """An array<int> column as little-endian unsigned 32-bit integers."""
-    return F.pandas_udf(lambda s: s.map(lambda x: np.asarray(x, dtype="<u4").tobytes()), "binary")(F.col(ids))
+def transcode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", ends: bool = True) -> DataFrame:
+    """Encode and decode in one pass: `docs` without its text, with `ids` as little-endian unsigned 32-bit integers and
+    the text they decode to. A task holds one part of bounded size, or one text."""
+    with open(model_path, "rb") as f:
+        proto = f.read()
+    rest = [c for c in docs.columns if c not in (text, ids, decoded)]
+    held: list[PieceModel] = []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not held:
+            held.append(PieceModel(proto))
+        for pdf in batches:
+            at = 0
+            for part in _chunks(list(pdf[text])):
+                flat, sizes = held[0].encode(part, ends)
+                out = pdf.iloc[at : at + len(part)][rest].copy()
+                out[ids] = [x.tobytes() for x in np.split(flat.astype("<u4"), np.cumsum(sizes)[:-1])]
+                out[decoded] = held[0].decode(flat, sizes)
+                at += len(part)
+                yield out
+
+    schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
+    return docs.select(*rest, text).mapInPandas(run, schema)

@@ -176,21 +176,11 @@ def tokenizer_path(name: str) -> str:
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text they decode to, as digests."""
     model = tokenizer_path("piece_bpe_32k.model")
-    df = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
-    return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(pieces.id_bytes("ids"), 256).alias("ids_sha256"),
+    df = pieces.transcode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return df.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2(F.col("ids"), 256).alias("ids_sha256"),
                      F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-@query("op7_token_files")
-def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's place and checksum as read back from the written token file."""
-    path = shared_path(spark, "tokens")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokenfile.write_tokens(docs, tokenizer_path("word_bpe_49k.json"), path, end=2)
-    back = tokenfile.read_tokens(spark, path)
-    return back.select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
-
-
 JACCARD_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                                                       '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import types
 import uuid
 
 import numpy as np
@@ -25,6 +26,14 @@ def ship(name: str) -> None:
 ship(__name__)
 
 
+def kept(key: tuple, make):
+    """`make()`, once per worker process: what a worker has learned serves its later tasks, too."""
+    holder = sys.modules.setdefault("_llm_worker_memory", types.ModuleType("_llm_worker_memory"))
+    if key not in holder.__dict__.setdefault("held", {}):
+        holder.held[key] = make()
+    return holder.held[key]
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path in the folder that driver and executors share (`spark.checkpoint.dir`)."""
     top = spark.conf.get("spark.checkpoint.dir", None)
@@ -74,6 +83,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def word_hashes() -> WordHashes:
+    return kept(("word hashes",), WordHashes)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Scatter 64-bit values (a bijection, so nothing collides that did not before)."""
     x = x ^ (x >> np.uint64(30))

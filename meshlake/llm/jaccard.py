@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, forget, mixed, partitions, ship, stored, windows_hash
+from .common import WordHashes, forget, mixed, partitions, ship, stored, windows_hash, word_hashes
 
 ship(__name__)
 
@@ -87,7 +87,7 @@ def _points(k: int, num: int, den: int, frequent: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        hashes = WordHashes()
+        hashes = word_hashes()
         for pdf in batches:
             rows = []
             for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
@@ -112,7 +112,7 @@ def _points(k: int, num: int, den: int, frequent: np.ndarray):
 
 def _shingles(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes = word_hashes()
         for pdf in batches:
             for a in range(0, len(pdf), 200):
                 sets = [shingle_set(t, hashes, k) for t in pdf["text"].iloc[a : a + 200]]
@@ -195,7 +195,7 @@ def _with_sets(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        hashes = WordHashes()
+        hashes = word_hashes()
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):

@@ -47,7 +47,7 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share
 
     Targets are `share` of all sizes by weight, at most `cap` times the source's size, the excess shared again by
     weight. That is the water level L with sum(min(cap * size, L * weight)) = share * all: sources are ordered by
-    the level at which they fill up, and L is the first level that fills none of those after it.
+    the level at which they fill up, and L is the highest of the levels that follow from filling the first ones.
     """
     s = sized.groupBy("source", "_src").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     everything = Window.partitionBy()
@@ -60,8 +60,8 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     s = s.withColumns({"_full": full, "_full_at": full / F.col("weight")})
     level = (F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("_full").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     s = s.withColumn("_level", level)
-    found = F.min(F.when(F.col("_level") <= F.col("_full_at"), F.col("_level"))).over(everything)
-    target = F.least(F.col("_full"), F.coalesce(found, F.lit(float("inf"))) * F.col("weight"))
+    # filling one source more raises the level while too few are full, and lowers it afterwards
+    target = F.least(F.col("_full"), F.max("_level").over(everything) * F.col("weight"))
     return s.select("source", "_src", "source_size", "source_rows", "weight", target.alias("target"))
 
 

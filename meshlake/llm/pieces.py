@@ -16,6 +16,7 @@ for); texts are encoded whole; equal rows give equal ids; other columns pass thr
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import kept, ship
 
 ship(__name__)
 
@@ -240,14 +241,13 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
     """`docs` with the ids of each text as array<int>, with begin and end ids if `ends`."""
     with open(model_path, "rb") as f:
         proto = f.read()
-    held: list[PieceModel] = []
+    key = ("pieces", model_path, zlib.crc32(proto))
 
     def run(s: pd.Series) -> pd.Series:
-        if not held:
-            held.append(PieceModel(proto))
+        model = kept(key, lambda: PieceModel(proto))
         out = []
         for part in _chunks(list(s)):
-            flat, sizes = held[0].encode(part, ends)
+            flat, sizes = model.encode(part, ends)
             out += np.split(flat, np.cumsum(sizes)[:-1])
         return pd.Series(out, dtype=object)
 
@@ -259,15 +259,14 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decode
     """`df` with the text of each id sequence (null: empty)."""
     with open(model_path, "rb") as f:
         proto = f.read()
-    held: list[PieceModel] = []
+    key = ("pieces", model_path, zlib.crc32(proto))
 
     def run(s: pd.Series) -> pd.Series:
-        if not held:
-            held.append(PieceModel(proto))
+        model = kept(key, lambda: PieceModel(proto))
         out = []
         for part in _chunks(list(s)):
             sizes = np.array([0 if x is None else len(x) for x in part], dtype=np.int64)
-            out += held[0].decode(np.concatenate([np.zeros(0, dtype=np.int32), *[x for x in part if x is not None]]), sizes)
+            out += model.decode(np.concatenate([np.zeros(0, dtype=np.int32), *[x for x in part if x is not None]]), sizes)
         return pd.Series(out, dtype=object)
 
     return df.withColumn(text, F.pandas_udf(run, "string").asNondeterministic()(F.col(ids)))
@@ -279,18 +278,17 @@ def transcode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "
     with open(model_path, "rb") as f:
         proto = f.read()
     rest = [c for c in docs.columns if c not in (text, ids, decoded)]
-    held: list[PieceModel] = []
+    key = ("pieces", model_path, zlib.crc32(proto))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not held:
-            held.append(PieceModel(proto))
+        model = kept(key, lambda: PieceModel(proto))
         for pdf in batches:
             at = 0
             for part in _chunks(list(pdf[text])):
-                flat, sizes = held[0].encode(part, ends)
+                flat, sizes = model.encode(part, ends)
                 out = pdf.iloc[at : at + len(part)][rest].copy()
                 out[ids] = [x.tobytes() for x in np.split(flat.astype("<u4"), np.cumsum(sizes)[:-1])]
-                out[decoded] = held[0].decode(flat, sizes)
+                out[decoded] = model.decode(flat, sizes)
                 at += len(part)
                 yield out
 

@@ -94,8 +94,8 @@ def _repeat_words(words: Column, grams: Column) -> Column:
     return F.when(F.size(F.array_distinct(grams)) < F.size(grams), covered).otherwise(F.lit(0)).cast("long")
 
 
-def counts(docs: DataFrame, text: str = "text", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """The count columns that rules refer to, beside the columns of `docs`."""
+def counts(docs: DataFrame, text: str = "text", stop_words: Sequence[str] = STOP_WORDS, mark: str | None = None) -> DataFrame:
+    """The count columns that rules refer to, beside the columns of `docs`, and a row number if `mark` names it."""
     stops = F.array(*[F.lit(w) for w in dict.fromkeys(stop_words)])
     t = blank(text)
     ends = F.trim(t, F.lit(" \t\n\x0b\f\r"))
@@ -117,6 +117,7 @@ def counts(docs: DataFrame, text: str = "text", stop_words: Sequence[str] = STOP
         "n_ellipsis_lines": F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09\r]*$"))).cast("long"),
         "n_stop_words": F.size(F.array_intersect(words, stops)).cast("long"),
         "n_repeat_words": _repeat_words(words, F.col("_grams")),
+        **({mark: F.monotonically_increasing_id()} if mark else {}),
     }).drop("_words", "_lines", "_grams")
 
 
@@ -130,3 +131,13 @@ def judged(df: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """Every document with its counts, the rules it fails and whether it passes."""
     return judged(counts(docs, text), rules)
+
+
+def passing(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
+    """The documents that pass, with their columns.
+
+    The filter also reads a row number from the projection of the counts. The optimizer moves no filter below one,
+    so every count is evaluated once and not again for each use in a condition.
+    """
+    df = judged(counts(docs, text, mark="_mark"), rules)
+    return df.filter(F.col("passed") & (F.col("_mark") >= 0)).select(*docs.columns)

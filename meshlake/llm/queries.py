@@ -83,7 +83,7 @@ WITH d AS (SELECT doc_id, source, len({WORDS_SQL}) AS size FROM documents),
  s1 AS (SELECT *, (2 * source_size)::DOUBLE AS room, (2 * source_size)::DOUBLE / weight AS full_at FROM s0),
  s2 AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(room) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                   / sum(weight) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM s1 WINDOW f AS (ORDER BY full_at, encode(source) NULLS LAST)),
- s AS (SELECT source, source_size, weight, least(room, coalesce((SELECT min(lev) FROM s2 WHERE lev <= full_at), 'inf'::DOUBLE) * weight) AS target FROM s2),
+ s AS (SELECT source, source_size, weight, least(room, (SELECT max(lev) FROM s2) * weight) AS target FROM s2),
  o AS (SELECT d.*, s.source_size, s.weight, s.target, round(s.target)::BIGINT AS goal,
               coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || size), doc_id
                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
@@ -181,6 +181,16 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+@query("op7_token_files")
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum as read back from the written token file."""
+    path = shared_path(spark, "tokens")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenfile.write_tokens(docs, tokenizer_path("word_bpe_49k.json"), path, end=2)
+    back = tokenfile.read_tokens(spark, path)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
 JACCARD_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                                                       '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, forget, mixed, partitions, ship, stored, windows_hash
+from .common import forget, mixed, partitions, ship, stored, windows_hash, word_hashes
 from .jaccard import whole_keys
 
 ship(__name__)
@@ -63,7 +63,7 @@ def _long(x: np.ndarray) -> np.ndarray:
 
 def _marks(k: int, least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, around = WordHashes(), least - k
+        hashes, around = word_hashes(), least - k
         pad = np.full(around, PAD, dtype=np.uint64)
         powers = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(2 * around)], dtype=np.uint64)
         for pdf in batches:
@@ -92,7 +92,7 @@ def _windows(k: int, least: int):
     """Hashes of the runs of `least` words that hold a class's beginning: by the number of words before it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, around = WordHashes(), least - k
+        hashes, around = word_hashes(), least - k
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):

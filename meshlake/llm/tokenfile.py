@@ -16,6 +16,7 @@ give an empty table.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokencode
-from .common import partitions, ship
+from .common import kept, partitions, ship
 from .pieces import ragged
 
 ship(__name__)
@@ -95,13 +96,12 @@ class ChunkTokenizer:
 
 
 def _records(json: str, end: int, block_size: int, record_size: int):
-    held: list[ChunkTokenizer] = []
+    key = ("tokenizer", zlib.crc32(json.encode()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        if not held:
-            held.append(ChunkTokenizer(json))
+        tok = kept(key, lambda: ChunkTokenizer(json))
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         ids: list = []
         flats: list[np.ndarray] = []
@@ -111,8 +111,8 @@ def _records(json: str, end: int, block_size: int, record_size: int):
         def record() -> pd.DataFrame:
             nonlocal seq, before, n
             flat, size = np.concatenate(flats), np.concatenate(sizes)
-            blocks = tokencode.encode_blocks([flat[i : i + block_size] for i in range(0, len(flat), block_size)], held[0].vocab)
-            row = {"part": part, "seq": seq, "before": before, "vocab": held[0].vocab, "n_tokens": len(flat), "ids": list(ids),
+            blocks = tokencode.encode_blocks([flat[i : i + block_size] for i in range(0, len(flat), block_size)], tok.vocab)
+            row = {"part": part, "seq": seq, "before": before, "vocab": tok.vocab, "n_tokens": len(flat), "ids": list(ids),
                    "sizes": size, "block_size": block_size, "blocks": blocks}
             seq, before, n = seq + 1, before + len(flat), 0
             ids.clear()
@@ -123,7 +123,7 @@ def _records(json: str, end: int, block_size: int, record_size: int):
         for pdf in batches:
             for k in range(0, len(pdf), 500):
                 some = pdf.iloc[k : k + 500]
-                flat, size = held[0].encode(list(some["text"]), end)
+                flat, size = tok.encode(list(some["text"]), end)
                 flats.append(flat)
                 sizes.append(size)
                 ids += [None if pd.isna(x) else int(x) for x in some["id"]]

@@ -38,10 +38,16 @@ from .common import WordHashes, forget, mixed, partitions, ship, stored, windows
 
 ship(__name__)
 
-CLASSES = 64
+#: A set is compared by the counts of so many classes of its shingles: more for larger sets, whose counts vary less.
+TIERS = ((64, 1024), (256, 4096), (1024, 16384), (4096, 1 << 62))
 LEAF = 512
 
 
+def class_counts(s: np.ndarray) -> np.ndarray:
+    n = next(c for c, most in TIERS if len(s) <= most)
+    return np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % n, minlength=n), 65535).astype("<u2")
+
+
 def shingle_set(text: str | None, hashes: WordHashes, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles after lower-casing A-Z."""
     h = hashes.of(text.encode().lower().split()) if text else np.zeros(0, dtype=np.uint64)
@@ -103,7 +109,7 @@ def _points(k: int, num: int, den: int, frequent: np.ndarray):
                     keep = n - -(-num * n // den) + 1
                     early = s[~late]
                     keys = early[:keep] if len(early) >= keep else np.concatenate([early, s[late][: keep - len(early)]])
-                counts = np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % CLASSES, minlength=CLASSES), 255).astype(np.uint8)
+                counts = class_counts(s)
                 rows.append((i, n, np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)), counts.tobytes(), _as_long(keys)))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "sid", "counts", "keys"])
 
@@ -155,7 +161,12 @@ def _groups(num: int, den: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_keys(batches, "key"):
             key, n, rep = (pdf[c].to_numpy() for c in ("key", "n", "rep"))
-            counts = np.frombuffer(b"".join(pdf["counts"]), dtype=np.uint8).reshape(-1, CLASSES).astype(np.int16)
+            tier = pdf["counts"].map(len).to_numpy() // 2
+            table, line = {}, {}
+            for c, _ in TIERS:  # counts of all larger sets, too, folded into this many classes
+                rows = np.flatnonzero(tier >= c)
+                line[c] = np.cumsum(tier >= c) - 1
+                table[c] = np.stack([np.frombuffer(x, dtype="<u2").reshape(-1, c).sum(axis=0, dtype=np.int32) for x in pdf["counts"].iloc[rows]]) if len(rows) else None
             left, right = [], []
             at = np.arange(len(key) - 1)
             step = 1
@@ -163,15 +174,17 @@ def _groups(num: int, den: int):
                 # sorted by size: once i cannot link with i + step, it cannot with any later one
                 at = at[at + step < len(key)]
                 at = at[(key[at] == key[at + step]) & _can_link(n[at], n[at + step], num, den)]
-                for a in range(0, len(at), 200_000):
-                    i = at[a : a + 200_000]
-                    apart = np.abs(counts[i] - counts[i + step]).sum(axis=1, dtype=np.int64)
-                    # |x ^ y| <= (den - num) (|x| + |y|) / (den + num) for every link
-                    i = i[apart * (den + num) <= (den - num) * (n[i] + n[i + step])]
-                    left.append(i)
-                    right.append(i + step)
+                for c, _ in TIERS:
+                    some = at[tier[at] == c]
+                    for a in range(0, len(some), 6_000_000 // c):
+                        i = some[a : a + 6_000_000 // c]
+                        apart = np.abs(table[c][line[c][i]] - table[c][line[c][i + step]]).sum(axis=1, dtype=np.int64)
+                        # |x ^ y| <= (den - num) (|x| + |y|) / (den + num) for every link
+                        i = i[apart * (den + num) <= (den - num) * (n[i] + n[i + step])]
+                        left.append(i)
+                        right.append(i + step)
                 step += 1
-            if not left:
+            if not sum(map(len, left)):
                 continue
             left, right = np.concatenate(left), np.concatenate(right)
             label = rep.copy()
@@ -336,7 +349,7 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
-def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, block_rows: int = 16384) -> DataFrame:
+def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, block_rows: int = 2048) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links) and n_links (documents linked with) of every
     document; two link when den * |intersection| >= num * |union| of their k-word shingle sets."""
     if not 0 < num <= den:

@@ -51,10 +51,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids and decoded text of every row."""
-    model = tokenizer_path("piece_bpe_32k.model")
-    out = pieces.decode(pieces.encode(docs.select("doc_id", "source", "text"), model), model)
-    return out.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
+    """doc_id, source, ids (little-endian unsigned 32-bit integers), their number and decoded text of every row."""
+    out = pieces.transcode(docs.select("doc_id", "source", "text"), tokenizer_path("piece_bpe_32k.model"))
+    return out.select("doc_id", "source", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "decoded")
 
 
 STAGES = [

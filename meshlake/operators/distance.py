@@ -12,7 +12,7 @@ from . import resolve as R
 from .packets import best_observation, tx_in_region
 from .rf import histogram
 
-MAX_KM = 300.0
+MAX_KM = 300.0  # fixed value: no radio hop is longer, so a longer one is a wrong resolution
 TYPES = ("R↔R", "C↔R", "C↔C")
 
 
@@ -20,13 +20,13 @@ def hop_type(a_rep: Column, b_rep: Column) -> Column:
     return F.when(a_rep & b_rep, TYPES[0]).when(~a_rep & ~b_rep, TYPES[2]).otherwise(TYPES[1])
 
 
-def chain_hops(chain: Column) -> Column:
+def chain_hops(chain: Column, max_km: float | None = None) -> Column:
     """Consecutive stops of a chain as (from, to, km) structs; ``chain`` holds pk, name, lat, lon, rep."""
     pairs = F.when(F.size(chain) >= 2, F.transform(F.sequence(F.lit(0), F.size(chain) - 2), lambda i: F.struct(
         F.get(chain, i).alias("a"), F.get(chain, i + 1).alias("b"))))
     km = lambda e: geo.haversine_km(e["a"]["lat"], e["a"]["lon"], e["b"]["lat"], e["b"]["lon"])
-    return F.filter(F.transform(pairs, lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), km(e).alias("km"))),
-                    lambda e: e["km"] <= MAX_KM)
+    hops = F.transform(pairs, lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), km(e).alias("km")))
+    return F.filter(hops, lambda e: e["km"].isNotNull() if max_km is None else e["km"] <= max_km)
 
 
 def chains(tx: DataFrame, obs: DataFrame, nodes: DataFrame, edges: DataFrame, now) -> DataFrame:
@@ -47,11 +47,13 @@ def chains(tx: DataFrame, obs: DataFrame, nodes: DataFrame, edges: DataFrame, no
     return stops.join(info, "id").join(snr, "id")
 
 
-def distance_hops(tx, obs, nodes, edges, now, observers=None, region: str | None = None, window: TimeWindow | None = None) -> DataFrame:
+def distance_hops(tx, obs, nodes, edges, now, observers=None, region: str | None = None, window: TimeWindow | None = None,
+                  max_km: float | None = None) -> DataFrame:
+    """Hops of known length; with ``max_km`` only those up to it, and `distance_rejected` counts the others."""
     scope = tx.filter(in_window(window, F.col("first_seen")))
     if region is not None:
         scope = tx_in_region(scope, obs, observers, region)
-    c = chains(scope, obs, nodes, edges, now).select("id", "hash", "first_seen", "snr", F.posexplode(chain_hops(F.col("chain"))).alias("pos", "e"))
+    c = chains(scope, obs, nodes, edges, now).select("id", "hash", "first_seen", "snr", F.posexplode(chain_hops(F.col("chain"), max_km)).alias("pos", "e"))
     return c.select("id", "hash", "first_seen", "snr", "pos",
                     F.col("e.a.pk").alias("from_pk"), F.col("e.a.name").alias("from_name"), F.col("e.b.pk").alias("to_pk"),
                     F.col("e.b.name").alias("to_name"), F.col("e.km").alias("km"), half_away(F.col("e.km"), 2).alias("dist"),
@@ -64,6 +66,11 @@ def mean_km(dist: str = "dist") -> Column:
     return F.floor(total / F.count(dist) + 0.5) / 100.0
 
 
+def distance_rejected(hops: DataFrame, max_km: float) -> DataFrame:
+    """By type: hops longer than ``max_km`` among all hops, which reports leave out."""
+    return hops.groupBy("type").agg(F.count_if(F.col("km") > max_km).alias("rejected"), F.count(F.lit(1)).alias("hops"))
+
+
 # the reports below read the table made by distance_hops
 
 def distance_category_stats(hops: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from meshlake.functions.time import parse_ts, snap, ts_lit
 from . import frames
 from .channels import sender_from_text
 
-MAX_NAME, MAX_DROPPED = 64, 500
+MAX_NAME = 64
+# fixed values: units that stations write behind numbers
 UNITS = r"(?i)\s*(dbm|db|mw|km|mi|m)\s*$"
 
 
@@ -120,14 +121,22 @@ def advert_rows(tx: DataFrame) -> DataFrame:
         names.advert_key().alias("public_key"), d["name"].alias("name"), d["lat"].alias("lat"), d["lon"].alias("lon"), F.col("first_seen").alias("rx"), "id")
 
 
+NODE_FIELDS = {"name": "string", "role": "string", "lat": "double", "lon": "double", "battery_mv": "int", "temperature_c": "double", "foreign_advert": "boolean"}
+
+
 def upsert_nodes(nodes: DataFrame, adverts: DataFrame, now: datetime | str) -> DataFrame:
-    """Node table after adverts: newest non-null fields, last_seen never moves back or into the future."""
+    """Node table after adverts: newest non-null fields, last_seen never moves back or into the future.
+
+    Fields that a table lacks (role and telemetry of undecoded adverts) count as null there.
+    """
+    lacking = lambda df: df.withColumns({c: F.lit(None).cast(t) for c, t in NODE_FIELDS.items() if c not in df.columns})
+    nodes, adverts = lacking(nodes), lacking(adverts)
     order = F.struct("rx", "id")
     newest = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias("n_" + c)
-    a = adverts.groupBy("public_key").agg(*[newest(c) for c in ("name", "lat", "lon")], F.max("rx").alias("rx"), F.min("rx").alias("rx0"), F.count_distinct("id").alias("n"))
+    a = adverts.groupBy("public_key").agg(*[newest(c) for c in NODE_FIELDS], F.max("rx").alias("rx"), F.min("rx").alias("rx0"), F.count_distinct("id").alias("n"))
     j = nodes.join(a, "public_key", "full")
     keep = lambda c: F.coalesce("n_" + c, c).alias(c)
-    return j.select("public_key", keep("name"), "role", keep("lat"), keep("lon"),
+    return j.select("public_key", *[keep(c) for c in NODE_FIELDS],
                     F.greatest(F.least("last_seen", ts_lit(now)), F.coalesce("rx", "last_seen")).alias("last_seen"), F.coalesce("first_seen", "rx0").alias("first_seen"),
                     (F.coalesce("advert_count", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("int").alias("advert_count"))
 
@@ -191,7 +200,7 @@ def quarantine(dropped: DataFrame, observer: str | None = None, node: str | None
         out = out.filter(F.col("observer_id") == observer)
     if node:
         out = out.filter(F.col("node_pubkey") == node)
-    return out.orderBy(F.col("dropped_at").desc(), "hash").limit(min(limit, MAX_DROPPED))
+    return out.orderBy(F.col("dropped_at").desc(), "hash").limit(limit)
 
 
 def geo_filter(df: DataFrame, polygon=None, buffer_km: float = 0.0, box=None) -> DataFrame:
@@ -226,7 +235,7 @@ def from_pubkey_backfill(tx: DataFrame) -> DataFrame:
 def split_packets_table(packets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Old flat table (one row per hearing) into packet and observation rows."""
     tx = packets.groupBy("hash").agg(F.min("id").alias("id"), F.min("timestamp").alias("first_seen"),
-                                     F.min_by("raw_hex", F.struct("timestamp", "id")).alias("raw_hex"), F.any_value("payload_type").alias("payload_type"))
+                                     F.min_by("raw_hex", F.struct("timestamp", "id")).alias("raw_hex"), F.min_by("payload_type", F.struct("timestamp", "id")).alias("payload_type"))
     obs = packets.join(tx.select("hash", F.col("id").alias("transmission_id")), "hash")
     return tx, merge_observations(obs)
 

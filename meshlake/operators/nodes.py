@@ -40,15 +40,15 @@ def _today(now) -> Column:
     return F.date_trunc("day", ts_lit(now))
 
 
-def bulk_health(tx, obs, nodes, observers, now, limit: int = 50, region: str | None = None) -> DataFrame:
-    """Most recently seen nodes with their packet totals."""
+def bulk_health(tx, obs, nodes, observers, now, limit: int | None = 50, region: str | None = None) -> DataFrame:
+    """Most recently seen nodes (all without ``limit``) with their packet totals."""
     base = nodes.select("public_key", "name", "role", "lat", "lon", "last_seen")
     if region_codes(region) is not None:
         near = heard_ids(obs_in_region(obs, observers, region))
         keys = node_links(tx, obs).join(near, F.col("id") == near.transmission_id, "left_semi").select("public_key").distinct()
-        base = base.orderBy(F.col("last_seen").desc(), "public_key").limit(500).join(keys, "public_key", "left_semi")
-    top = base.orderBy(F.col("last_seen").desc(), "public_key").limit(limit)
-    rows = node_rows(tx, obs, pubkeys=top)
+        base = base.join(keys, "public_key", "left_semi")
+    top = base if limit is None else base.orderBy(F.col("last_seen").desc(), "public_key").limit(limit)
+    rows = node_rows(tx, obs, pubkeys=None if limit is None and region_codes(region) is None else top)
     agg = rows.groupBy("public_key").agg(
         F.count(F.lit(1)).alias("packets"), F.sum("observation_count").alias("obs"),
         F.count_if(F.col("first_seen") > _today(now)).alias("today"), F.avg("snr").alias("avg_snr"), F.max("first_seen").alias("last_heard"))
@@ -147,7 +147,7 @@ def node_computed_stats(tx, obs, now, days: int = 7, pubkeys=None) -> DataFrame:
     g = r.groupBy("public_key").agg(
         F.count(F.lit(1)).alias("total_packets"), F.avg("snr").alias("mean"), F.coalesce(F.stddev_pop("snr"), F.lit(0.0)).alias("dev"),
         F.count_if(n > 0).alias("with_path"), F.count_if(n > 1).alias("relayed"), F.count_distinct("observer_id").alias("unique_observers"))
-    peers = peer_rows(tx, obs, now, days, pubkeys).groupBy("public_key").agg(F.least(F.count(F.lit(1)), F.lit(20)).alias("unique_peers"))
+    peers = peer_rows(tx, obs, now, days, pubkeys).groupBy("public_key").agg(F.count(F.lit(1)).alias("unique_peers"))
     j = g.join(silence, "public_key").join(peers, "public_key", "left")
     mean, dev = F.coalesce("mean", F.lit(0.0)), F.col("dev")
     grade = (F.when((mean > 15) & (dev < 2), "A").when(mean > 15, "A-").when((mean > 12) & (dev < 3), "B+").when(mean > 8, "B")

@@ -31,7 +31,9 @@ def observer_counts(observers: DataFrame, now) -> DataFrame:
 
 
 def _recent(obs: DataFrame, now, days: int, observer: str | None = None) -> DataFrame:
-    out = obs.filter(F.col("timestamp") >= hours_before(now, 24 * min(max(days, 1), 365)))
+    if days < 1:
+        raise ValueError("days must be positive")
+    out = obs.filter(F.col("timestamp") >= hours_before(now, 24 * days))
     return out if observer is None else out.filter(F.col("observer_id") == observer)
 
 

@@ -11,7 +11,7 @@ from meshlake.functions.ranks import top_per_group
 from meshlake.functions.time import TimeWindow, ts_lit, utc
 from meshlake.functions import geo
 
-MAX_PAGE, DEFAULT_PAGE = 50_000, 50
+DEFAULT_PAGE = 50
 
 
 # ---- regions and observers -------------------------------------------------------------
@@ -164,7 +164,8 @@ def filter_packets(tx: DataFrame, obs: DataFrame, observers: DataFrame, nodes: D
 
 
 def page(tx: DataFrame, limit: int = DEFAULT_PAGE, offset: int = 0, order: str = "asc") -> DataFrame:
-    limit = min(limit if limit > 0 else DEFAULT_PAGE, MAX_PAGE)
+    if limit <= 0 or offset < 0:
+        raise ValueError("a page needs a positive limit and an offset of 0 or more")
     cols = [F.col("first_seen"), F.col("id")]
     return tx.orderBy(*[c.desc() if order == "desc" else c.asc() for c in cols]).offset(offset).limit(limit)
 
@@ -216,9 +217,13 @@ def packet_detail(tx: DataFrame) -> DataFrame:
         "id", "hash", "s.part", "s.start", "s.size").filter(F.col("size") > 0)
 
 
-def observations_for_hashes(tx: DataFrame, obs: DataFrame, hashes: list[str]) -> DataFrame:
-    """Observations of up to 200 packets, nested per hash."""
-    pick = tx.filter(F.col("hash").isin(*[h.lower() for h in hashes[:200]])).select(F.col("id").alias("transmission_id"), "hash")
+def observations_for_hashes(tx: DataFrame, obs: DataFrame, hashes: list[str] | DataFrame) -> DataFrame:
+    """Observations of the given packets (a list, or a table with a column ``hash``), nested per hash."""
+    if isinstance(hashes, DataFrame):
+        pick = tx.join(hashes.select(F.lower("hash").alias("hash")).distinct(), "hash", "left_semi")
+    else:
+        pick = tx.filter(F.col("hash").isin(*[h.lower() for h in hashes]))
+    pick = pick.select(F.col("id").alias("transmission_id"), "hash")
     rows = obs.join(pick, "transmission_id").select("hash", F.struct("timestamp", "id", "observer_id", "snr", "rssi", "path").alias("o"))
     return rows.groupBy("hash").agg(F.sort_array(F.collect_list("o")).alias("observations"), F.count(F.lit(1)).alias("n"))
 
@@ -257,7 +262,7 @@ def direct_packets(tx: DataFrame, obs: DataFrame, key: str, now: datetime | str
     if hours is not None and now is not None:
         base = base.filter(F.col("first_seen") >= ts_lit(now) - F.make_dt_interval(hours=F.lit(hours)))
     return (base.join(ids, base.id == ids.transmission_id, "left_semi")
-            .orderBy(F.col("first_seen").desc(), F.col("id").desc()).limit(min(limit, 2000)))
+            .orderBy(F.col("first_seen").desc(), F.col("id").desc()).limit(limit))
 
 
 # ---- node lists ------------------------------------------------------------------------

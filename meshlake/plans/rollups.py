@@ -235,7 +235,7 @@ def stored_hops(tx, obs, nodes, hours=None) -> DataFrame:
     hop = o.select("id", F.posexplode(keys).alias("pos", "k")).join(pos.filter("relay"), "k").select("id", "pos", "stop")
     start = head.join(o.select("id"), "id", "left_semi").join(pos, F.col("sender") == F.col("k")).select("id", F.lit(-1).alias("pos"), "stop")
     c = hop.unionByName(start).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "stop"))).alias("s")).filter(F.size("s") >= 2)
-    c = c.select("id", F.posexplode(D.chain_hops(F.transform("s", lambda e: e["stop"]))).alias("pos", "e"))
+    c = c.select("id", F.posexplode(D.chain_hops(F.transform("s", lambda e: e["stop"]), D.MAX_KM)).alias("pos", "e"))
     return c.join(head, "id").join(o.select("id", "snr"), "id").select(
         "id", "hash", "first_seen", "hour", "snr", "pos", F.col("e.a.pk").alias("from_pk"), F.col("e.b.pk").alias("to_pk"), F.col("e.km").alias("km"),
         half_away(F.col("e.km"), 2).alias("dist"), D.hop_type(F.col("e.a.rep"), F.col("e.b.rep")).alias("type"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,16 +35,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set."""
+    """The folder that driver and executors share."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.conf.get("spark.master", sc.master).startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
-    made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

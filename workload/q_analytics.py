@@ -176,13 +176,13 @@ dh AS (SELECT p.id, hash, first_seen, b.snr, p.pos, from_pk, from_name, to_pk, t
 
 
 def _hops(m: MeshTables):
-    return cut_lineage(D.distance_hops(m.tx, m.obs, m.nodes, edges(m), NOW))
+    return cut_lineage(D.distance_hops(m.tx, m.obs, m.nodes, edges(m), NOW, max_km=D.MAX_KM))
 
 
 @query("distance_hops", M.sql("best edges", _DIST + """
 SELECT id, hash, first_seen, snr, (row_number() OVER (PARTITION BY id ORDER BY pos) - 1)::INTEGER AS pos, from_pk, to_pk, round(km, 6) AS km, dist, type FROM dh"""))
 def _(m):
-    return D.distance_hops(m.tx, m.obs, m.nodes, edges(m), NOW).drop("from_name", "to_name").withColumn("km", F.round("km", 6))
+    return D.distance_hops(m.tx, m.obs, m.nodes, edges(m), NOW, max_km=D.MAX_KM).drop("from_name", "to_name").withColumn("km", F.round("km", 6))
 
 
 @query("distance_category_stats", M.sql("best edges", _DIST + f""", r AS (SELECT type, dist, row_number() OVER (PARTITION BY type ORDER BY dist) AS rn, count(*) OVER (PARTITION BY type) AS n FROM dh),

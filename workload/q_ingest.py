@@ -96,14 +96,17 @@ def _(m):
     return I.merge_observations(m.obs).drop("raw_hex")
 
 
-_UPS = f""", a AS (SELECT d_pubkey AS k, arg_max(d_name, (first_seen, id)) AS name, arg_max(d_lat, (first_seen, id)) AS lat, arg_max(d_lon, (first_seen, id)) AS lon, max(first_seen) AS rx, min(first_seen) AS rx0, count(DISTINCT id) AS n FROM tx WHERE payload_type = 4 GROUP BY 1)
-SELECT coalesce(k, public_key) AS public_key, coalesce(a.name, n.name) AS name, role, coalesce(a.lat, n.lat) AS lat, coalesce(a.lon, n.lon) AS lon, greatest(least(last_seen, {N0}), coalesce(rx, last_seen)) AS last_seen, coalesce(first_seen, rx0) AS first_seen,
-  (coalesce(advert_count, 0) + coalesce(n, 0))::INTEGER AS advert_count FROM nodes n FULL JOIN a ON k = public_key"""
+_UPS = f""", a AS (SELECT d_pubkey AS k, arg_max(d_name, (first_seen, id)) AS name, arg_max(d_lat, (first_seen, id)) AS lat, arg_max(d_lon, (first_seen, id)) AS lon, arg_max(CASE WHEN id % 3 = 0 THEN 'sensor' END, (first_seen, id)) FILTER (id % 3 = 0) AS role, arg_max(CASE WHEN id % 5 <> 0 THEN 3000 + id % 700 END, (first_seen, id)) FILTER (id % 5 <> 0) AS battery_mv, max(first_seen) AS rx, min(first_seen) AS rx0, count(DISTINCT id) AS n FROM tx WHERE payload_type = 4 GROUP BY 1)
+SELECT coalesce(k, public_key) AS public_key, coalesce(a.name, n.name) AS name, coalesce(a.role, n.role) AS role, coalesce(a.battery_mv, n.battery_mv)::INTEGER AS battery_mv, coalesce(a.lat, n.lat) AS lat, coalesce(a.lon, n.lon) AS lon, greatest(least(last_seen, {N0}), coalesce(rx, last_seen)) AS last_seen, coalesce(first_seen, rx0) AS first_seen,
+  (coalesce(advert_count, 0) + coalesce(n, 0))::INTEGER AS advert_count FROM (SELECT * FROM nodes WHERE substr(public_key, 1, 1) <> '7') n FULL JOIN a ON k = public_key"""
 
 
 @query("upsert_nodes", M.sql("tx nodes", _UPS.replace("coalesce(n, 0))", "coalesce(a.n, 0))")))
 def _(m):
-    return I.upsert_nodes(m.nodes, I.advert_rows(m.tx), NOW)
+    # the driver's packets have no decoded role or telemetry: they are made here, on both sides alike
+    a = I.advert_rows(m.tx).withColumns({"role": F.when(F.col("id") % 3 == 0, "sensor"), "battery_mv": F.when(F.col("id") % 5 != 0, 3000 + F.col("id") % 700).cast("int")})
+    # every seventh node is new to the table
+    return I.upsert_nodes(m.nodes.filter(F.substring("public_key", 1, 1) != "7"), a, NOW).drop("temperature_c", "foreign_advert")
 
 
 @query("node_key_rotation", M.sql("nodes", "SELECT public_key, name, row_number() OVER (PARTITION BY name ORDER BY last_seen DESC, public_key DESC) > 1 AS superseded FROM nodes"))
@@ -133,7 +136,7 @@ def _(m):
 
 
 @query("quarantine_sink", M.sql("tx", """
-SELECT hash, 'invalid lat' AS reason, d_pubkey AS node_pubkey, first_seen AS dropped_at FROM tx WHERE payload_type = 4 AND abs(d_lat * 2.15e0) > 90 ORDER BY first_seen DESC, hash LIMIT 500"""))
+SELECT hash, 'invalid lat' AS reason, d_pubkey AS node_pubkey, first_seen AS dropped_at FROM tx WHERE payload_type = 4 AND abs(d_lat * 2.15e0) > 90 ORDER BY first_seen DESC, hash LIMIT 9999"""))
 def _(m):
     a = I.advert_rows(m.tx).withColumn("lat", F.col("lat") * 2.15)
     bad = I.validate_adverts(a).filter("reason IS NOT NULL").join(m.tx.select("id", "hash"), "id")

@@ -105,7 +105,7 @@ def _(m):
 , hr AS (SELECT public_key, h, lag(h) OVER (PARTITION BY public_key ORDER BY h) AS p FROM (SELECT DISTINCT public_key, first_seen // 3600 * 3600 AS h FROM nw)),
 si AS (SELECT public_key, count(*) AS hours, max((h - p) * 1000) AS g, arg_min(p, (-(h - p), p)) AS s FROM hr GROUP BY 1),
 ag AS (SELECT public_key, count(*)::BIGINT AS n, coalesce(avg(snr), 0) AS me, coalesce(stddev_pop(snr), 0) AS dv, count(*) FILTER (len(path) > 0) AS wp, count(*) FILTER (len(path) > 1) AS re, count(DISTINCT observer_id)::BIGINT AS uo FROM nw GROUP BY 1),
-pc AS (SELECT public_key, least(count(*), 20)::BIGINT AS up FROM pe GROUP BY 1)
+pc AS (SELECT public_key, count(*)::BIGINT AS up FROM pe GROUP BY 1)
 SELECT a.public_key, least({tr('hours * 100e0 / 168e0', 1)}, 100) AS availability_pct, coalesce(g, 0)::BIGINT AS longest_silence_ms, coalesce(CASE WHEN g > 0 THEN s END, -1) AS longest_silence_start,
   CASE WHEN me > 15 AND dv < 2 THEN 'A' WHEN me > 15 THEN 'A-' WHEN me > 12 AND dv < 3 THEN 'B+' WHEN me > 8 THEN 'B' WHEN me > 3 THEN 'C' ELSE 'D' END AS signal_grade,
   {tr('me', 1)} AS snr_mean, {tr('dv', 1)} AS snr_stddev, CASE WHEN wp > 0 THEN {tr('re * 100e0 / wp', 1)} ELSE 0 END AS relay_pct, n AS total_packets, uo AS unique_observers, coalesce(up, 0) AS unique_peers, {tr('n / 7e0', 1)} AS avg_packets_per_day
@@ -199,7 +199,7 @@ def _(m):
 v AS (SELECT public_key, 'packets' AS ranking, p::DOUBLE AS value FROM h UNION ALL SELECT public_key, 'snr', round(s, 9) FROM h UNION ALL SELECT public_key, 'observers', CASE WHEN o > 0 THEN o END FROM h UNION ALL SELECT public_key, 'recent', l FROM h)
 SELECT public_key, ranking, value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ranking ORDER BY value DESC, public_key) AS rank FROM v WHERE value IS NOT NULL) WHERE rank <= 10"""))
 def _(m):
-    everyone = m.nodes.join(N.bulk_health(m.tx, m.obs, m.nodes, m.observers, NOW, 1 << 30).drop("name", "role"), "public_key")
+    everyone = m.nodes.join(N.bulk_health(m.tx, m.obs, m.nodes, m.observers, NOW, limit=None).drop("name", "role"), "public_key")
     return N.node_rankings(everyone.withColumn("avg_snr", F.round("avg_snr", 9)), N.node_observer_coverage(m.tx, m.obs, m.observers))
 
 

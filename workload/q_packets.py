@@ -117,7 +117,7 @@ def _(m):
 
 @query("packet_page", M.sql("tx", "SELECT id, hash, first_seen FROM tx ORDER BY first_seen, id LIMIT 50 OFFSET 100"))
 def _(m):
-    return P.page(m.tx, 0, 100).select("id", "hash", "first_seen")
+    return P.page(m.tx, 50, 100).select("id", "hash", "first_seen")
 
 
 @query("packet_total", M.sql("tx", "SELECT count(*)::BIGINT AS total FROM tx"))

@@ -26,7 +26,7 @@ def _full(m):
 _P = ", p AS (SELECT tx.id, d_pubkey, observer_id, path, snr FROM tx JOIN best ON best.transmission_id = tx.id WHERE len(path) > 0)\n"
 
 
-@query("topo_hop_distribution", M.sql("best", _P + "SELECT len(path)::INTEGER AS hops, count(*)::BIGINT AS count FROM p WHERE len(path) <= 25 GROUP BY 1"))
+@query("topo_hop_distribution", M.sql("best", _P + "SELECT len(path)::INTEGER AS hops, count(*)::BIGINT AS count FROM p GROUP BY 1"))
 def _(m):
     return T.topo_hop_distribution(*_a(m))
 
@@ -39,7 +39,7 @@ def _(m):
 
 
 @query("topo_hops_vs_snr", M.sql("best", _P + """
-SELECT len(path)::INTEGER AS hops, count(*)::BIGINT AS count, round(avg(snr), 6) AS avg_snr FROM p WHERE snr IS NOT NULL AND len(path) <= 20 GROUP BY 1"""))
+SELECT len(path)::INTEGER AS hops, count(*)::BIGINT AS count, round(avg(snr), 6) AS avg_snr FROM p WHERE snr IS NOT NULL GROUP BY 1"""))
 def _(m):
     return T.topo_hops_vs_snr(*_a(m)).withColumn("avg_snr", F.round("avg_snr", 6))
 
@@ -94,7 +94,7 @@ st AS (SELECT id AS observer_id, CASE WHEN name <> '' THEN name ELSE id END AS o
 
 @query("topo_observer_reach", M.sql("best edges observers", _REACH + _names("SELECT hop AS h FROM rr") + """
 SELECT rr.observer_id, rr.hop, min_dist::INTEGER AS min_dist, max_dist::INTEGER AS max_dist, count::BIGINT AS count, observer_name, name, pubkey
-FROM rr LEFT JOIN st ON st.observer_id = rr.observer_id LEFT JOIN lab ON lab.hop = rr.hop WHERE min_dist <= 15"""))
+FROM rr LEFT JOIN st ON st.observer_id = rr.observer_id LEFT JOIN lab ON lab.hop = rr.hop"""))
 def _(m):
     return T.topo_observer_reach(*_full(m))
 

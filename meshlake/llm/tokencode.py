@@ -35,23 +35,27 @@ B16, B32 = np.uint64(16), np.uint64(32)
 class _Model:
     """What has been learned in each lane."""
 
-    def __init__(self, lanes: int, vocab: int, steps: int):
-        self.vocab, self.steps = vocab, steps
+    def __init__(self, lanes: int, vocab: int, steps: int, places: bool = True):
+        self.vocab, self.steps, self.places = vocab, steps, places
         self.lane = np.arange(lanes)
         self.pred1, self.pred2 = np.full(lanes * SLOTS1, -1, dtype=np.int32), np.full(lanes * SLOTS2, -1, dtype=np.int32)
         self.conf1, self.conf2 = np.zeros(lanes * SLOTS1, dtype=np.int8), np.zeros(lanes * SLOTS2, dtype=np.int8)
-        self.by2, self.by1, self.by0 = (np.full((lanes * n, EVENTS), 0.4) for n in (8, 16, 1))
-        self.weights = np.full((lanes, 3), 1 / 3)
+        # event estimates of a lane: 8 by order-2 confidence, 16 by order-1 confidence and last event, one without context
+        self.estimates = np.full((lanes * 25, EVENTS), 0.4)
+        self.first = self.lane * 25
+        self.weights = np.full((3, lanes), 1 / 3)
         self.last = np.zeros(lanes, dtype=np.int64)
         self.prev1, self.prev2 = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-        self.place = np.zeros(lanes * vocab, dtype=np.int16 if steps < 1 << 15 else np.int32)  # place in the list of known ids, from 1
+        # place in the list of known ids, from 1: only an encoder looks it up
+        self.place = np.zeros(lanes * vocab if places else 0, dtype=np.int16 if steps < 1 << 15 else np.int32)
         self.known = np.zeros(lanes * steps, dtype=np.int32)
         self.n_known = np.zeros(lanes, dtype=np.int64)
 
     def shrink(self, n: int) -> None:
         """Go on with the first n lanes."""
-        for name in ("lane", "last", "prev1", "prev2", "n_known", "weights"):
+        for name in ("lane", "first", "last", "prev1", "prev2", "n_known"):
             setattr(self, name, getattr(self, name)[:n])
+        self.weights = self.weights[:, :n]
 
     def predict(self) -> np.ndarray:
         """Cumulative frequencies of the events (lanes x 5, up to SCALE)."""
@@ -59,13 +63,11 @@ class _Model:
         self.at2 = self.lane * SLOTS2 + ((self.prev1 * 40503 + self.prev2 * 30011) >> 4) % SLOTS2
         self.p1, self.p2 = self.pred1[self.at1], self.pred2[self.at2]
         self.c1, self.c2 = self.conf1[self.at1], self.conf2[self.at2]
-        self.row2 = self.lane * 8 + self.c2 * 2 + (self.p1 == self.p2)
-        self.row1 = self.lane * 16 + self.c1 * 4 + self.last
-        self.a, self.b, self.c = self.by2[self.row2], self.by1[self.row1], self.by0[self.lane]
-        w = self.weights
-        self.pa, self.pb, self.pc = (x / (x[:, :1] + x[:, 1:2] + x[:, 2:3] + x[:, 3:]) for x in (self.a, self.b, self.c))
-        self.p = self.pa * w[:, :1] + self.pb * w[:, 1:2] + self.pc * w[:, 2:]
-        f = (self.p * (SCALE - EVENTS - 1)).astype(np.int64) + 1
+        self.rows = np.stack([self.first + self.c2 * 2 + (self.p1 == self.p2), self.first + 8 + self.c1 * 4 + self.last, self.first + 24])
+        self.now = self.estimates[self.rows]  # 3 x lanes x events
+        self.scaled = self.weights / (self.now[:, :, 0] + self.now[:, :, 1] + self.now[:, :, 2] + self.now[:, :, 3])
+        p = self.now * self.scaled[:, :, None]
+        f = ((p[0] + p[1] + p[2]) * (SCALE - EVENTS - 1)).astype(np.int64) + 1
         cum = np.zeros((len(self.lane), EVENTS + 1), dtype=np.int64)
         cum[:, 1] = f[:, 0]
         cum[:, 2] = cum[:, 1] + f[:, 1]
@@ -81,15 +83,13 @@ class _Model:
 
     def learn(self, e: np.ndarray, ids: np.ndarray) -> None:
         n = np.arange(len(e))
-        q = np.stack([self.pa[n, e], self.pb[n, e], self.pc[n, e]], axis=1)
-        w = self.weights * q
-        w *= (0.97 / (w[:, :1] + w[:, 1:2] + w[:, 2:]))
+        w = self.scaled * self.now[:, n, e]
+        w *= 0.97 / (w[0] + w[1] + w[2])
         w += 0.01
         self.weights = w
-        for table, row, x in ((self.by2, self.row2, self.a), (self.by1, self.row1, self.b), (self.by0, self.lane, self.c)):
-            x *= 0.98
-            x[n, e] += 1.0
-            table[row] = x
+        self.now *= 0.98
+        self.now[:, n, e] += 1.0
+        self.estimates[self.rows] = self.now
         self.conf2[self.at2] = np.where(ids == self.p2, np.minimum(self.c2 + 1, 3), 0)
         self.conf1[self.at1] = np.where(ids == self.p1, np.minimum(self.c1 + 1, 3), 0)
         self.pred2[self.at2] = ids
@@ -100,7 +100,8 @@ class _Model:
             lane = self.lane[new]
             self.known[lane * self.steps + self.n_known[new]] = ids[new]
             self.n_known[new] += 1
-            self.place[lane * self.vocab + ids[new]] = self.n_known[new]
+            if self.places:
+                self.place[lane * self.vocab + ids[new]] = self.n_known[new]
         self.last, self.prev2, self.prev1 = e, self.prev1, ids
 
 
@@ -215,7 +216,7 @@ def _decode(data: list[bytes], sizes: np.ndarray, vocab: int) -> list[np.ndarray
     code = (words[:, 0] << B32) | (words[:, 1] << B16) | words[:, 2]
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, U48)
     live = np.searchsorted(-sizes, -np.arange(steps), side="left")
-    m = _Model(lanes, vocab, max(1, steps))
+    m = _Model(lanes, vocab, max(1, steps), places=False)
     out = np.zeros((max(1, steps), lanes), dtype=np.int64)
 
     def next_word(x: np.ndarray, top: np.ndarray) -> None:

@@ -173,4 +173,5 @@ def read_tokens(spark: SparkSession, path: str, id: str = "doc_id") -> DataFrame
     base = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     docs = records.select("part", "before", "vocab", "n_tokens", "ids", "sizes", "blocks").mapInPandas(
         _documents, "part int, id long, _at long, n_tokens long, tokens binary")
-    return docs.join(base, "part").select(F.col("id").alias(id), (F.col("base") + F.col("_at")).alias("start"), "n_tokens", "tokens")
+    # one row per part: as many as the writer had partitions
+    return docs.join(F.broadcast(base), "part").select(F.col("id").alias(id), (F.col("base") + F.col("_at")).alias("start"), "n_tokens", "tokens")

@@ -27,9 +27,13 @@ ship(__name__)
 
 
 def kept(key: tuple, make):
-    """`make()`, once per worker process: what a worker has learned serves its later tasks, too."""
+    """`make()`, once per worker process: what a worker has learned serves its later tasks, too.
+
+    A worker remembers one such thing at a time, so an idle one does not hold the memory of all it ever did.
+    """
     holder = sys.modules.setdefault("_llm_worker_memory", types.ModuleType("_llm_worker_memory"))
     if key not in holder.__dict__.setdefault("held", {}):
+        holder.held.clear()
         holder.held[key] = make()
     return holder.held[key]
 
@@ -67,7 +71,7 @@ def partitions(spark: SparkSession) -> int:
 class WordHashes(dict):
     """64-bit hash of a word's bytes, remembered for the words seen lately."""
 
-    def __init__(self, keep: int = 400_000):
+    def __init__(self, keep: int = 250_000):
         super().__init__()
         self.keep = keep
 

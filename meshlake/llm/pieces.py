@@ -45,7 +45,7 @@ def ragged(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
 class PieceModel:
     """Tables of a SentencePiece BPE model (identity normalisation, dummy prefix, byte fallback)."""
 
-    def __init__(self, proto: bytes, remember: int = 500_000):
+    def __init__(self, proto: bytes, remember: int = 300_000):
         from sentencepiece import sentencepiece_model_pb2
 
         m = sentencepiece_model_pb2.ModelProto.FromString(proto)
@@ -224,7 +224,7 @@ class PieceModel:
         return out
 
 
-def _chunks(rows: list, most: int = 1_000_000) -> Iterator[list]:
+def _chunks(rows: list, most: int = 500_000) -> Iterator[list]:
     """Parts of a bounded number of characters or ids; a longer row ends its part."""
     part, n = [], 0
     for t in rows:

@@ -9,7 +9,7 @@ from meshlake.functions.numeric import half_away, true_median, upper_median
 from meshlake.functions.time import TimeWindow, hour_of, in_window
 
 from . import resolve as R
-from .packets import best_observation, tx_in_region
+from .packets import best_observation, heard_in, seen_in, tx_in_region
 from .rf import histogram
 
 MAX_KM = 300.0  # fixed value: no radio hop is longer, so a longer one is a wrong resolution
@@ -50,7 +50,7 @@ def chains(tx: DataFrame, obs: DataFrame, nodes: DataFrame, edges: DataFrame, no
 def distance_hops(tx, obs, nodes, edges, now, observers=None, region: str | None = None, window: TimeWindow | None = None,
                   max_km: float | None = None) -> DataFrame:
     """Hops of known length; with ``max_km`` only those up to it, and `distance_rejected` counts the others."""
-    scope = tx.filter(in_window(window, F.col("first_seen")))
+    scope, obs = seen_in(tx, window), heard_in(obs, window)
     if region is not None:
         scope = tx_in_region(scope, obs, observers, region)
     c = chains(scope, obs, nodes, edges, now).select("id", "hash", "first_seen", "snr", F.posexplode(chain_hops(F.col("chain"), max_km)).alias("pos", "e"))

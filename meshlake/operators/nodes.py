@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshlake.functions import names
 from meshlake.functions.numeric import half_away, true_median, trunc_round
 from meshlake.functions.ranks import top_per_group, with_previous
-from meshlake.functions.time import hour_of, ts_lit
+from meshlake.functions.time import TimeWindow, hour_of, ts_lit, utc
 
 from . import resolve as R
 from .clock import mean_tenths
-from .packets import best_observation, heard_ids, node_links, obs_in_region, region_codes
+from .packets import best_observation, heard_ids, heard_in, node_links, obs_in_region, region_codes, seen_in
 
 # fixed values: hours until degraded and until silent
 INFRA_HOURS, OTHER_HOURS = (24, 72), (1, 24)
@@ -27,8 +27,12 @@ def hours_before(now: datetime | str, hours: float) -> Column:
 
 def node_rows(tx: DataFrame, obs: DataFrame, now=None, days: int | None = None, pubkeys: DataFrame | None = None) -> DataFrame:
     """(public_key, packet) rows with the packet's representative observation."""
-    head = tx if days is None else tx.filter(F.col("first_seen") > hours_before(now, 24 * days))
-    links = node_links(tx, obs)
+    head = tx
+    if days is not None:
+        window = TimeWindow(utc(now) - timedelta(days=days), None)
+        head = seen_in(tx, window).filter(F.col("first_seen") > ts_lit(window.since))
+        obs = heard_in(obs, window)
+    links = node_links(head, obs)
     if pubkeys is not None:
         links = links.join(pubkeys.select("public_key"), "public_key", "left_semi")
     best = best_observation(obs, ("path", "snr", "rssi", "observer_id")).withColumnRenamed("transmission_id", "id")
@@ -117,7 +121,7 @@ def peer_rows(tx, obs, now, days: int, pubkeys=None) -> DataFrame:
     full = lambda a, b: F.coalesce(F.when(f(a) != "", f(a)), f(b))
     peers = F.array(F.struct(f("sender_key").alias("k"), full("sender_name", "sender_short_name").alias("n")),
                     F.struct(f("recipient_key").alias("k"), full("recipient_name", "recipient_short_name").alias("n")),
-                    F.struct(f("pubkey").alias("k"), f("name").alias("n")))
+                    F.struct(F.coalesce(f("pubkey"), f("peer_pubkey")).alias("k"), f("name").alias("n")))
     p = r.select("public_key", "id", "first_seen", F.explode(peers).alias("p")).filter(
         (F.col("p.k") != "") & (F.col("p.k") != F.col("public_key")))
     return p.groupBy("public_key", F.col("p.k").alias("peer_key")).agg(

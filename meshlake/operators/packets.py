@@ -60,6 +60,35 @@ def observer_semi(tx: DataFrame, obs: DataFrame, observer_ids: str | list[str])
 region_semi = tx_in_region
 
 
+# ---- time ------------------------------------------------------------------------------
+
+def heard_in(obs: DataFrame, window: TimeWindow | None) -> DataFrame:
+    """Observations that packets first seen in the window can have.
+
+    A packet's time is that of its first hearing, so none of its observations is older than the window. Packets
+    without a time have observations without one. The bounds are plain comparisons and reach the scan: the days
+    of a table stored by day, else the statistics of its row groups.
+    """
+    if window is None or window.since is None:
+        return obs
+    since = ts_lit(window.since)
+    out = obs.filter(F.col("timestamp").isNull() | (F.col("timestamp") >= since))
+    return out.filter(F.col("day").isNull() | (F.col("day") >= F.to_date(since))) if "day" in obs.columns else out
+
+
+def seen_in(tx: DataFrame, window: TimeWindow | None) -> DataFrame:
+    """Packets first seen in the window, by day first where the table is stored by day."""
+    if window is None:
+        return tx
+    out = tx.filter(window.holds(F.col("first_seen")))
+    if "day" in tx.columns:
+        days = [F.col("day") >= F.to_date(ts_lit(window.since))] if window.since else []
+        days += [F.col("day") <= F.to_date(ts_lit(window.until))] if window.until else []
+        for d in days:
+            out = out.filter(F.col("day").isNull() | d)
+    return out
+
+
 # ---- representative observation --------------------------------------------------------
 
 def best_observation(obs: DataFrame, cols: tuple[str, ...] = ("path", "snr", "rssi", "observer_id", "timestamp")) -> DataFrame:

@@ -9,7 +9,7 @@ from meshlake.functions.numeric import upper_median
 from meshlake.functions.ranks import every_kth
 from meshlake.functions.time import TimeWindow, epoch_f, hour_of, in_window
 
-from .packets import heard_ids, obs_in_region, region_codes
+from .packets import heard_ids, heard_in, obs_in_region, region_codes, seen_in
 
 
 def signal_rows(tx: DataFrame, obs: DataFrame, observers: DataFrame, region: str | None = None,
@@ -23,13 +23,13 @@ def signal_rows(tx: DataFrame, obs: DataFrame, observers: DataFrame, region: str
         rows = obs_in_region(obs, observers, region).filter(in_window(window, F.col("timestamp")))
         need = set(tx_cols)
     else:
-        rows = obs
+        rows = heard_in(obs, window)
         need = set(tx_cols) | (set() if window is None or window.unbounded else {"first_seen"})
     if not need:
         return rows
     head = tx
     if region_codes(region) is None:
-        head = tx.filter(in_window(window, F.col("first_seen")))
+        head = seen_in(tx, window)
     head = head.select(F.col("id").alias("transmission_id"), *sorted(need))
     return rows.join(head, "transmission_id")
 
@@ -38,7 +38,7 @@ def packets_in_scope(tx: DataFrame, obs: DataFrame, observers: DataFrame, region
                      window: TimeWindow | None = None) -> DataFrame:
     """Packets in scope, each once."""
     if region_codes(region) is None:
-        return tx.filter(in_window(window, F.col("first_seen")))
+        return seen_in(tx, window)
     ids = heard_ids(obs_in_region(obs, observers, region).filter(in_window(window, F.col("timestamp"))))
     return tx.join(ids, tx.id == ids.transmission_id, "left_semi")
 
@@ -53,7 +53,7 @@ def rf_summary(tx: DataFrame, obs: DataFrame, observers: DataFrame, region: str
     heads = scope.agg(F.count_distinct("hash").alias("transmissions"))
     if region_codes(region) is None:
         # packets nobody reported count once, at their own time
-        silent = scope.join(heard_ids(obs), scope.id == F.col("transmission_id"), "left_anti")
+        silent = scope.join(heard_ids(heard_in(obs, window)), scope.id == F.col("transmission_id"), "left_anti")
         lone = silent.agg(F.lit(0).cast("bigint").alias("with_snr"), F.count(F.lit(1)).alias("observations"),
                           F.min("first_seen").alias("t0"), F.max("first_seen").alias("t1"))
         seen = seen.unionByName(lone).agg(F.sum("with_snr").alias("with_snr"), F.sum("observations").alias("observations"),

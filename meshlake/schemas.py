@@ -23,7 +23,7 @@ DECODED = _struct(
     timestamp=_L, payload=_struct(timestamp=_L), lat=_D, lon=_D, channel=_S, channelHash=_S,
     channel_hash=_S, channelHashHex=_S, decryptionStatus=_S, text=_S, sender=_S, sender_timestamp=_L,
     srcHash=_S, destHash=_S, sender_key=_S, sender_name=_S, sender_short_name=_S, recipient_key=_S,
-    recipient_name=_S, recipient_short_name=_S, pubkey=_S,
+    recipient_name=_S, recipient_short_name=_S, peer_pubkey=_S,  # in messages pubkey, to Spark the same name as pubKey
 )
 
 TRANSMISSIONS = _struct(

@@ -213,3 +213,34 @@ def test_numbers_with_units(spark, text, want):
 def test_advert_rules(spark, pk, lat, name, reason):
     df = spark.createDataFrame([(pk, lat, 2.0, name)], "public_key string, lat double, lon double, name string")
     assert I.validate_adverts(df).first()["reason"] == reason
+
+
+def test_windows_reach_the_scan_of_both_fact_tables(spark, tmp_path):
+    from meshlake import schemas
+    from meshlake.functions.time import TimeWindow, utc
+    from meshlake.operators import nodes as N, rf, topology
+    from meshlake.sources.tables import read_table, write_table
+    from workload.registry import tables
+
+    m = tables(spark, "/root/testdata/sf0.001")
+    root = str(tmp_path / "lake")
+    write_table(m.tx, root, "transmissions")
+    write_table(m.obs, root, "observations")
+    tx, obs = read_table(spark, root, "transmissions"), read_table(spark, root, "observations")
+    last = m.tx.agg({"first_seen": "max"}).first()[0]
+    window = TimeWindow(utc(last) - __import__("datetime").timedelta(days=7), None)
+    reports = [N.node_activity_timeline(tx, obs, last), N.node_computed_stats(tx, obs, last), rf.rf_snr_by_type(tx, obs, m.observers, window=window),
+               topology.topo_hop_distribution(tx, obs, m.observers, window=window)]
+    for r in reports:
+        plan = r._jdf.queryExecution().executedPlan().toString()
+        scans = [x for x in plan.split("FileScan")[1:] if "transmission_id" in x or "first_seen" in x]
+        assert scans and all("day" in x.split("PartitionFilters:")[1].split("PushedFilters")[0] for x in scans)
+
+
+def test_limits_are_obeyed_or_refused(spark):
+    from meshlake.operators import packets as P
+
+    tx = spark.range(60_000).selectExpr("id", "timestamp_seconds(id) AS first_seen")
+    assert P.page(tx, 55_000).count() == 55_000
+    with pytest.raises(ValueError):
+        P.page(tx, 0)

@@ -18,7 +18,7 @@ from meshlake.functions.time import ts_lit
 from meshlake.session import cut_lineage
 
 # fixed values of the affinity rules
-MAX_PREFIX = 8
+PREFIX_LENGTHS = (2, 3, 4, 5, 6, 7, 8, 16)  # characters: what a path, a filter or a trace of 1, 2, 4 or 8 bytes can hold
 SATURATION_COUNT = 100
 HALF_LIFE_HOURS = 168.0
 CONFIDENT_RATIO = 3.0
@@ -35,10 +35,10 @@ def relays(nodes: DataFrame) -> DataFrame:
 
 
 def prefix_candidates(nodes: DataFrame) -> DataFrame:
-    """Relays under every key prefix of 2..8 characters and under the full key."""
-    lens = F.array(*[F.lit(n) for n in range(2, MAX_PREFIX + 1)])
+    """Relays under every key prefix of the lengths that hops have, and under the full key."""
     n = F.length("key")
-    lens = F.filter(F.when(n > MAX_PREFIX, F.array_append(lens, n)).otherwise(lens), lambda x: x <= n)
+    lens = F.array_distinct(F.array_append(F.array(*[F.lit(x) for x in PREFIX_LENGTHS]), n))
+    lens = F.filter(lens, lambda x: x <= n)
     return relays(nodes).withColumn("_n", F.explode(lens)).select(
         F.substr(F.col("key"), F.lit(1), F.col("_n")).alias("prefix"), "key", "name", "role", "lat", "lon", "gps", "adverts")
 

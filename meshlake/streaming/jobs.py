@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from meshlake.functions.time import snap
 from meshlake.operators import ingest as I
+from meshlake.session import cut_lineage
 
-METRIC_OUT = ("observer_id string, timestamp timestamp, tx_airtime_pct double, rx_airtime_pct double, recv_error_rate double, is_reboot boolean")
 ALERT_OUT = "source string, event string, at timestamp, idle_secs double"
 
 
@@ -66,43 +66,36 @@ def rollup_stream(new_rows: DataFrame, rebuild: Callable[[DataFrame], None], tim
 
 # ---- telemetry -------------------------------------------------------------------------
 
-def _rates(prev: tuple, cur: tuple, bucket: int) -> tuple:
-    """(tx %, rx %, error %, reboot) between two samples (t, tx, rx, err, sent, recv)."""
-    gap = cur[0] - prev[0]
-    if gap <= 0 or gap > 2 * bucket:
-        return None, None, None, False
-    if any(c < p for c, p in zip(cur[1:], prev[1:])):
-        return None, None, None, True
-    pct = lambda d: int(min(max(d / gap * 100.0, 0.0), 100.0) * 100 + 0.5) / 100
-    de, dr = cur[3] - prev[3], cur[5] - prev[5]
-    err = int(de / (de + dr) * 100.0 * 100 + 0.5) / 100 if de + dr > 0 else None
-    return pct(cur[1] - prev[1]), pct(cur[2] - prev[2]), err, False
+def metrics_stream(samples: DataFrame, root: str, checkpoint: str, bucket: int = 300) -> None:
+    """Keep the last sample of every station and bucket in a table stored by day.
 
+    A micro-batch rewrites the days that it touches, from what they hold and what is new, so neither the size of
+    batches nor the order of samples changes the table. Rates follow from it by ``observers.metrics_deltas``,
+    over all of it or the days asked for; counters may be null.
+    """
+    spark, schema = samples.sparkSession, _sample_schema(samples)
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("day").parquet(root)
 
-def metrics_stream(samples: DataFrame, bucket: int = 300) -> DataFrame:
-    """Airtime and error rates as samples arrive; the state of a station is its last sample.
+    def sink(df: DataFrame, _: int) -> None:
+        at = F.timestamp_seconds(snap(F.unix_seconds("timestamp"), bucket))
+        new = df.withColumn("timestamp", at).withColumn("day", F.to_date(at)).select(*schema.fieldNames())
+        old = df.sparkSession.read.schema(schema).parquet(root).join(new.select("day").distinct(), "day", "left_semi").select(*schema.fieldNames())
+        cols = [c for c in schema.fieldNames() if c not in ("observer_id", "timestamp", "day")]
+        last = old.union(new).groupBy("observer_id", "timestamp", "day").agg(F.max_by(F.struct(*cols), "seq").alias("l"))
+        # written aside first: the days are read while they are replaced
+        kept = cut_lineage(last.select("observer_id", "timestamp", *[F.col("l")[c].alias(c) for c in cols], "day"))
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(root)
 
-    Samples are put on the bucket grid first. A sample older than the state is reported without
-    rates and does not move the state back.
-    """
-    snapped = samples.withColumn("timestamp", F.timestamp_seconds(snap(F.unix_seconds("timestamp"), bucket)))
+    run_available(samples, sink, checkpoint)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("seq").drop_duplicates("timestamp", keep="last").sort_values("timestamp")
-        out = []
-        for r in rows.itertuples(index=False):
-            cur = (int(r.timestamp.timestamp()), int(r.tx_air_secs), int(r.rx_air_secs), int(r.recv_errors), int(r.packets_sent), int(r.packets_recv))
-            rates = (None, None, None, False) if last is None else _rates(tuple(last), cur, bucket)
-            out.append((key[0], r.timestamp, *rates))
-            if last is None or cur[0] > last[0]:
-                last = cur
-        state.update(tuple(last))
-        yield pd.DataFrame(out, columns=["observer_id", "timestamp", "tx_airtime_pct", "rx_airtime_pct", "recv_error_rate", "is_reboot"])
-
-    cols = ["observer_id", "timestamp", "seq", "tx_air_secs", "rx_air_secs", "recv_errors", "packets_sent", "packets_recv"]
-    return snapped.select(*cols).groupBy("observer_id").applyInPandasWithState(
-        step, METRIC_OUT, "t long, tx long, rx long, err long, sent long, recv long", "append", GroupStateTimeout.NoTimeout)
+
+def _sample_schema(samples: DataFrame) -> T.StructType:
+    return T.StructType([*(f for f in samples.schema if f.name != "day"), T.StructField("day", T.DateType())])
+
+
+def stored_samples(samples: DataFrame, root: str) -> DataFrame:
+    """What `metrics_stream` has kept, with the columns of its source."""
+    return samples.sparkSession.read.schema(_sample_schema(samples)).parquet(root).select(*samples.columns)
 
 
 # ---- liveness --------------------------------------------------------------------------

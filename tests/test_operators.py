@@ -244,3 +244,12 @@ def test_limits_are_obeyed_or_refused(spark):
     assert P.page(tx, 55_000).count() == 55_000
     with pytest.raises(ValueError):
         P.page(tx, 0)
+
+
+def test_trace_hops_of_eight_bytes_resolve(spark):
+    from meshlake.operators import resolve as R
+
+    key = "0123456789abcdef" + "0" * 48
+    nodes = spark.createDataFrame([(key, "a", "repeater", 1.0, 2.0, 3)], "public_key string, name string, role string, lat double, lon double, advert_count int")
+    hops = spark.createDataFrame([("0123456789ABCDEF",), ("0123456789abcdff",)], "hop string")
+    assert {r.hop: r.pubkey for r in R.resolve_simple(hops, nodes).collect()} == {"0123456789ABCDEF": key, "0123456789abcdff": None}

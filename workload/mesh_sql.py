@@ -151,10 +151,10 @@ BEST = """
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY transmission_id
     ORDER BY len(path) DESC, timestamp DESC, id) AS best_rn FROM obs) WHERE best_rn = 1)"""
 
-# relays by every hex prefix a hop can carry (2..8 characters) plus the full key
+# relays by every hex prefix a hop can carry (2..8 and 16 characters) plus the full key
 PREFIXES = """
 relays AS (SELECT * FROM nodes WHERE role IN ('repeater', 'room', 'room_server')),
-prefixes AS (SELECT substr(public_key, 1, n) AS prefix, r.* FROM relays r, range(2, 9) t(n)
+prefixes AS (SELECT substr(public_key, 1, n) AS prefix, r.* FROM relays r, (SELECT unnest([2, 3, 4, 5, 6, 7, 8, 16]) AS n)
   UNION ALL SELECT public_key AS prefix, r.* FROM relays r)"""
 
 TYPE_NAME = ("CASE {c} WHEN 0 THEN 'REQ' WHEN 1 THEN 'RESPONSE' WHEN 2 THEN 'TXT_MSG' WHEN 3 THEN 'ACK' "

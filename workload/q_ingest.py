@@ -528,9 +528,11 @@ _SNAPPED = """, sn AS (SELECT * FROM (SELECT *, (timestamp + 21600) // 43200 * 4
 
 @query("metrics_stream", M.sql("metrics", _SNAPPED + "SELECT observer_id, timestamp, tx_airtime_pct, rx_airtime_pct, recv_error_rate, is_reboot FROM (" + _delta_sql("sn", "b", "b", 43200).replace(", dl AS", "WITH dl AS", 1) + ")"))
 def _(m):
-    """All files in one trigger, where a bucket's last sample is known; the stream then equals the batch."""
-    s = m.metrics.select("timestamp", "observer_id", "seq", *O.COUNTERS)
-    return _drain(m, J.metrics_stream(_written(m, s, per_trigger=1000), 43200))
+    """Several micro-batches, ordered by time of writing, so that the buckets of a day arrive in pieces; the result is that of the batch."""
+    s = m.metrics.select("seq", "timestamp", "observer_id", "noise_floor", "battery_mv", "queue_len", "uptime_secs", *O.COUNTERS)
+    root, source = _root(m), _written(m, s, parts=5, per_trigger=1)
+    J.metrics_stream(source, root, root + "-ck", 43200)
+    return O.metrics_deltas(J.stored_samples(s, root), 43200).select("observer_id", "timestamp", "tx_airtime_pct", "rx_airtime_pct", "recv_error_rate", "is_reboot")
 
 
 @query("liveness_stream")

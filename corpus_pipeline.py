@@ -30,11 +30,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more over five-word shingles, the one with the smallest id stays."""
+    """Of documents linked by a similarity of 0.8 or more over five-word shingles, the one with the smallest id stays, and
+    of rows with one id one. Rows without an id stay."""
     found = jaccard.jaccard_join(docs, k=5, num=80, den=100)
     # rows of one id and text are copies too: one of them stays
     gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    rest = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    # rows without an id are no copies of one another by it
+    return rest.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(rest.filter("doc_id IS NULL"))
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

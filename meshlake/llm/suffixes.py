@@ -14,8 +14,8 @@ per task. Classes of a very frequent beginning are compared by the hashes of the
 instead of within one task. Texts are read twice: for the positions, and for the words around the classes.
 
 Defined results: null and empty texts and texts shorter than `least` words have no passages; rows with equal id and
-text are one document; rows of one id with different texts are taken as one document's versions, with
-their passages reported together; rows without id take no part; no rows give no rows.
+text are one document; ids with several texts get the passages of all of them in one row, so make ids unique before
+cutting; rows without id take no part and are never cut; no rows give no rows.
 """
 
 from __future__ import annotations

@@ -484,8 +484,10 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 
 
 def test_stages_of_odd_rows(spark, odd_docs):
+    docs = odd_docs.union(odd_docs.filter("doc_id IN (1, 7)").withColumn("doc_id", F.lit(None).cast("long")))
+    assert corpus_pipeline.jaccard_stage(spark, docs, "").filter("doc_id IS NULL").count() == 2
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, odd_docs, "")
+        out = stage(spark, docs, "")
         assert name == corpus_pipeline.STAGES[-1][0] or out.columns == corpus_pipeline.COLUMNS
         stored(out, "stage")
-        assert stage(spark, odd_docs.limit(0), "").count() == 0
+        assert stage(spark, docs.limit(0), "").count() == 0

@@ -204,19 +204,21 @@ def packet_total(tx: DataFrame) -> DataFrame:
 
 
 def grouped_packets(tx: DataFrame, obs: DataFrame, observers: DataFrame, limit: int = DEFAULT_PAGE, offset: int = 0) -> DataFrame:
-    """One row per packet with observation and observer counts, newest activity first."""
-    order = F.struct(F.coalesce(F.size("path"), F.lit(0)), F.col("timestamp"), -F.col("id"))
-    agg = obs.groupBy("transmission_id").agg(
-        F.count(F.lit(1)).alias("observation_count"), F.count_distinct("observer_id").alias("observer_count"),
-        F.max("timestamp").alias("latest"), F.max_by(F.struct("observer_id", "path", "snr", "rssi"), order).alias("b"))
-    rows = tx.join(agg, tx.id == agg.transmission_id, "left").select(
-        "id", "hash", "first_seen", "payload_type", "route_type",
-        F.coalesce("observation_count", F.lit(0)).alias("observation_count"),
-        F.coalesce("observer_count", F.lit(0)).alias("observer_count"),
-        F.coalesce("latest", "first_seen").alias("latest"),
-        F.col("b.observer_id").alias("observer_id"), F.col("b.path").alias("path"),
-        F.col("b.snr").alias("snr"), F.col("b.rssi").alias("rssi"))
-    top = rows.orderBy(F.col("latest").desc(), F.col("id").desc()).offset(offset).limit(limit)
+    """One row per packet with observation and observer counts, newest activity first.
+
+    Only times are aggregated over all observations; counts and paths are looked up for the page.
+    """
+    newest = obs.groupBy("transmission_id").agg(F.max("timestamp").alias("_latest"))
+    heads = tx.join(newest, tx.id == newest.transmission_id, "left").select(
+        "id", "hash", "first_seen", "payload_type", "route_type", F.coalesce("_latest", "first_seen").alias("latest"))
+    top = heads.orderBy(F.col("latest").desc(), F.col("id").desc()).offset(offset).limit(limit)
+    shown = obs.join(top.select(F.col("id").alias("transmission_id")), "transmission_id", "left_semi")
+    best = best_observation(shown, ("observer_id", "path", "snr", "rssi"))
+    heard = shown.groupBy("transmission_id").agg(F.count_distinct("observer_id").alias("observer_count"))
+    found = best.join(heard, "transmission_id").withColumnRenamed("transmission_id", "id")
+    top = top.join(found, "id", "left").select(
+        "id", "hash", "first_seen", "payload_type", "route_type", F.coalesce("observation_count", F.lit(0)).alias("observation_count"),
+        F.coalesce("observer_count", F.lit(0)).alias("observer_count"), "latest", "observer_id", "path", "snr", "rssi")
     who = observers.select(F.col("id").alias("observer_id"), F.col("name").alias("observer_name"))
     return top.join(who, "observer_id", "left")
 

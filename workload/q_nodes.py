@@ -8,7 +8,7 @@ from . import mesh_sql as M
 from .mesh_views import NOW, MeshTables
 from .q_packets import OBS_A, OBS_B
 from .q_topology import edges
-from .registry import query
+from .registry import ORACLE, query
 
 T = M.NOW
 LATER = "2024-01-10T00:00:00Z"
@@ -188,10 +188,15 @@ def _(m):
     return N.stats(m.tx, m.obs, m.nodes, m.observers, NOW)
 
 
-@query("enrich_nodes")
+@query("enrich_nodes", f"""
+WITH h AS ({ORACLE["node_hash_size_info"]}), c AS ({ORACLE["multibyte_capability"]}), l AS ({ORACLE["repeater_liveness"]}), u AS ({ORACLE["repeater_usefulness"]}),
+n AS ({M.sql("nodes", "SELECT * FROM nodes")})
+SELECT n.*, h.hash_size, h.inconsistent, h.sizes_seen, c.status, c.evidence, c.max_hash_size, l.last_relayed, l.relay_count_1h, l.relay_count_24h, l.relay_active, u.usefulness
+FROM n LEFT JOIN h ON h.pubkey = n.public_key LEFT JOIN c ON c.public_key = n.public_key LEFT JOIN l ON l.public_key = n.public_key LEFT JOIN u ON u.public_key = n.public_key""")
 def _(m):
-    return N.enrich_nodes(m.nodes, H.node_hash_size_info(m.tx, NOW), H.multibyte_capability(m.tx, m.obs, m.observers, m.nodes, NOW),
-                          N.repeater_liveness(m.tx, m.obs, m.nodes, NOW), N.repeater_usefulness(m.tx, m.obs, m.nodes))
+    parts = (H.node_hash_size_info(m.tx, NOW), H.multibyte_capability(m.tx, m.obs, m.observers, m.nodes, NOW),
+             _ints(N.repeater_liveness(m.tx, m.obs, m.nodes, NOW), "last_relayed"), N.repeater_usefulness(m.tx, m.obs, m.nodes))
+    return N.enrich_nodes(m.nodes, *parts).drop("temperature_c", "foreign_advert")  # columns that no given table fills
 
 
 @query("node_rankings", M.sql("best nodes", _NR + f"""

@@ -128,13 +128,22 @@ def _shingles(k: int):
 
 
 def frequent_shingles(docs: DataFrame, k: int, one_in: int = 32, least: int = 4, most: int = 1_000_000) -> np.ndarray:
-    """Shingles that at least `least` of the sampled documents hold, sorted; the `most` most frequent ones at most.
+    """Shingles that at least `least` of the sampled documents hold, sorted; the more frequent ones if they are over `most`.
 
     They only decide which shingles are pivots last: any list gives the same links.
     """
     some = docs.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(one_in)) == 0).select("text")
-    top = some.mapInPandas(_shingles(k), "key long").groupBy("key").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "key").limit(most)
-    return np.sort(np.array([r.key for r in top.select("key").collect()], dtype=np.int64).view(np.uint64))
+    counted = stored(some.mapInPandas(_shingles(k), "key long").groupBy("key").count().filter(F.col("count") >= least), "frequent")
+    # the lowest count from which on there are not too many
+    held = 0
+    for r in sorted(counted.groupBy("count").agg(F.count(F.lit(1)).alias("keys")).collect(), key=lambda r: -r["count"]):
+        held += r["keys"]
+        if held > most:
+            least = r["count"] + 1
+            break
+    top = counted.filter(F.col("count") >= least).select("key").toArrow()["key"].to_numpy()
+    forget(counted)
+    return np.sort(top.astype(np.int64).view(np.uint64))
 
 
 def _can_link(a, b, num: int, den: int):

@@ -38,6 +38,25 @@ def kept(key: tuple, make):
     return holder.held[key]
 
 
+def tidy(run):
+    """A task function that hands freed memory back to the system when its task ends: idle workers stay small."""
+
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path in the folder that driver and executors share (`spark.checkpoint.dir`)."""
     top = spark.conf.get("spark.checkpoint.dir", None)
@@ -71,7 +90,7 @@ def partitions(spark: SparkSession) -> int:
 class WordHashes(dict):
     """64-bit hash of a word's bytes, remembered for the words seen lately."""
 
-    def __init__(self, keep: int = 250_000):
+    def __init__(self, keep: int = 120_000):
         super().__init__()
         self.keep = keep
 

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, forget, mixed, partitions, ship, stored, windows_hash, word_hashes
+from .common import WordHashes, forget, mixed, partitions, ship, stored, tidy, windows_hash, word_hashes
 
 ship(__name__)
 
@@ -113,7 +113,7 @@ def _points(k: int, num: int, den: int, frequent: np.ndarray):
                 rows.append((i, n, np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)), counts.tobytes(), _as_long(keys)))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "sid", "counts", "keys"])
 
-    return run
+    return tidy(run)
 
 
 def _shingles(k: int):
@@ -124,7 +124,7 @@ def _shingles(k: int):
                 sets = [shingle_set(t, hashes, k) for t in pdf["text"].iloc[a : a + 200]]
                 yield pd.DataFrame({"key": _as_long(np.concatenate(sets))})
 
-    return run
+    return tidy(run)
 
 
 def frequent_shingles(docs: DataFrame, k: int, one_in: int = 32, least: int = 4, most: int = 1_000_000) -> np.ndarray:
@@ -161,7 +161,7 @@ def _shared(num: int, den: int):
             keep = np.append(near, False) | np.append(False, near)
             yield pdf.loc[keep, ["key", "rep"]]
 
-    return run
+    return tidy(run)
 
 
 def _groups(num: int, den: int):
@@ -208,7 +208,7 @@ def _groups(num: int, den: int):
             used = np.unique(np.concatenate([left, right]))
             yield pd.DataFrame({"rep": rep[used], "lead": label[used]}).drop_duplicates()
 
-    return run
+    return tidy(run)
 
 
 def _with_sets(k: int):
@@ -231,7 +231,7 @@ def _with_sets(k: int):
             if rows:
                 yield pd.DataFrame(rows, columns=["lead", "a", "b", "block", "rep", "copies", "data"])
 
-    return run
+    return tidy(run)
 
 
 class Region:
@@ -333,7 +333,7 @@ def _joined(num: int, den: int):
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    return run
+    return tidy(run)
 
 
 def components(edges: DataFrame) -> DataFrame:

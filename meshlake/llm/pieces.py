@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept, ship
+from .common import kept, ship, tidy
 
 ship(__name__)
 
@@ -45,7 +45,7 @@ def ragged(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
 class PieceModel:
     """Tables of a SentencePiece BPE model (identity normalisation, dummy prefix, byte fallback)."""
 
-    def __init__(self, proto: bytes, remember: int = 300_000):
+    def __init__(self, proto: bytes, remember: int = 150_000):
         from sentencepiece import sentencepiece_model_pb2
 
         m = sentencepiece_model_pb2.ModelProto.FromString(proto)
@@ -293,4 +293,4 @@ def transcode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "
                 yield out
 
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
-    return docs.select(*rest, text).mapInPandas(run, schema)
+    return docs.select(*rest, text).mapInPandas(tidy(run), schema)

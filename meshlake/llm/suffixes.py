@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, mixed, partitions, ship, stored, windows_hash, word_hashes
+from .common import forget, mixed, partitions, ship, stored, tidy, windows_hash, word_hashes
 from .jaccard import whole_keys
 
 ship(__name__)
@@ -85,7 +85,7 @@ def _marks(k: int, least: int):
             if parts:
                 yield pd.concat(parts, ignore_index=True)
 
-    return run
+    return tidy(run)
 
 
 def _windows(k: int, least: int):
@@ -110,7 +110,7 @@ def _windows(k: int, least: int):
                     rows.append((m["gram"], m["ctx"], m["hot"], r.doc_id, m["pos"], np.where(ok, w[np.where(ok, start, 0)], none).astype("<u8").tobytes()))
             yield pd.DataFrame(rows, columns=["gram", "ctx", "hot", "doc_id", "pos", "runs"])
 
-    return run
+    return tidy(run)
 
 
 def _compare():
@@ -130,7 +130,7 @@ def _compare():
             keep = again != 0
             yield pd.DataFrame({"gram": gram, "ctx": pdf["ctx"].to_numpy(), "again": again, "later": later})[keep]
 
-    return run
+    return tidy(run)
 
 
 def _united(k: int, least: int):
@@ -153,7 +153,7 @@ def _united(k: int, least: int):
                 rows.append((i, spans(at, np.asarray(again)), spans(at, np.asarray(later))))
             yield pd.DataFrame(rows, columns=["doc_id", "spans", "later"])
 
-    return run
+    return tidy(run)
 
 
 def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = 50, k: int | None = None, hot: int = 1000) -> DataFrame:

@@ -4,8 +4,9 @@ Calls and results are linked by a hash join on (conversation, identifier). A cal
 others; calls are ordered topologically, by levels: a call's level is one more than the highest level it refers to.
 Levels come from a fold over a conversation's calls where all references point back, else from rounds of joins.
 Arguments are validated against the tool's schema (required fields, types, ranges, no unknown fields), compiled into
-column expressions. Each conversation becomes canonical JSON: keys in alphabetical order, no blanks, control
-characters escaped, calls in topological order with their results inside.
+column expressions that see each value's JSON type: "3" is no integer and 3 no string. Each conversation becomes
+canonical JSON: keys in alphabetical order, no blanks, control characters escaped, calls in topological order with
+their results inside, arguments with the types they came with.
 
 Everything is DataFrame functions. A conversation's messages meet in one row at the end, so a conversation is the
 unit that has to fit into a task, as it is in training.
@@ -13,7 +14,8 @@ unit that has to fit into a task, as it is in training.
 Tables: calls (conv_id, call_id, tool, arguments: JSON object as text, refs: array of call ids, seq: place),
 results (conv_id, call_id, content).
 
-Defined results: null or malformed arguments are invalid; a call without a result and a result without a call are
+Defined results: null or malformed arguments are invalid, as are those with a repeated key or a number beyond the
+range of doubles, and are written as the text they are; numbers inside nested values keep 38 digits; a call without a result and a result without a call are
 reported, not dropped; of several results with one identifier the smallest content counts, of several calls all are
 linked; references to unknown calls are ignored; calls in a cycle of references come last, by place, and count as
 cyclic; null conversation ids form one conversation, null contents are JSON null; calls without an identifier
@@ -58,20 +60,37 @@ def json_object(parts: Mapping[str, Column]) -> Column:
     return F.concat(*items, F.lit("}")) if items else F.lit("{}")
 
 
+def _values(arguments: Column) -> tuple[Column, Column]:
+    """The fields of a JSON object with their types (null: no such object), and as plain texts."""
+    whole, endless = F.try_parse_json(arguments), '"-?Infinity"'
+    beyond = F.to_json(whole).rlike(endless) & ~arguments.rlike(endless)
+    return F.when(~beyond, whole.try_cast("map<string,variant>")), F.from_json(arguments, "map<string,string>")
+
+
+def _is(value: Column, type: str) -> Column:
+    """Whether a variant is a string, boolean or number (all integers and decimals, as JSON knows one type)."""
+    return F.schema_of_variant(value).rlike({"string": "^STRING$", "boolean": "^BOOLEAN$"}.get(type, "^(BIGINT|DOUBLE|DECIMAL)"))
+
+
+def json_arguments(arguments: Column) -> Column:
+    """Canonical JSON of the text of a JSON object, every value of the type it had."""
+    fields, raw = _values(arguments)
+    items = F.transform(F.array_sort(F.map_keys(fields)), lambda k: F.concat(json_string(k), F.lit(":"), F.when(_is(fields[k], "number"), raw[k]).otherwise(F.to_json(fields[k]))))
+    return F.concat(F.lit("{"), F.array_join(items, ","), F.lit("}"))
+
+
 def schema_faults(arguments: Column, schema: Schema) -> Column:
     """Names of the fields at fault, sorted; ["?"] where the text is no JSON object."""
-    keys = F.json_object_keys(arguments)
+    fields, texts = _values(arguments)
+    keys = F.map_keys(fields)
     faults = []
     for name, f in sorted(schema.items()):
-        raw = F.from_json(arguments, "map<string,string>")[name]
+        raw = texts[name]
         there = F.array_contains(keys, name)
         number = raw.try_cast("double")
-        right = {
-            "string": raw.isNotNull(),
-            "boolean": raw.isin("true", "false"),
-            "integer": raw.rlike(r"^-?(0|[1-9][0-9]*)$"),
-            "number": number.isNotNull() & raw.rlike(r"^-?[0-9]"),
-        }[f.type]
+        right = _is(fields[name], f.type)
+        if f.type == "integer":
+            right = right & raw.rlike(r"^-?(0|[1-9][0-9]*)$")
         size = F.char_length(raw).cast("double") if f.type == "string" else number
         for limit, ok in ((f.low, lambda x, y: x >= y), (f.high, lambda x, y: x <= y)):
             if limit is not None:
@@ -157,7 +176,7 @@ def conversations_json(linked: DataFrame, others: DataFrame | None = None) -> Da
     `others` (conv_id, role, content, seq) holds messages that are neither calls nor results; they come first.
     """
     call = json_object({
-        "arguments": F.when(F.array_contains("faults", "?"), json_string(F.col("arguments"))).otherwise(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.from_json("arguments", "map<string,string>")))))),
+        "arguments": F.when(F.array_contains("faults", "?"), json_string(F.col("arguments"))).otherwise(json_arguments(F.col("arguments"))),
         "faults": F.concat(F.lit("["), F.array_join(F.transform("faults", json_string), ","), F.lit("]")),
         "id": json_string(F.col("call_id")), "name": json_string(F.col("tool")),
         "result": F.when(F.col("answered"), json_string(F.col("content"))).otherwise(F.lit("null")),

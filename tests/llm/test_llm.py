@@ -429,6 +429,33 @@ def test_calls_link_validate_and_order(spark):
     assert toolcalls.conversations_json(toolcalls.linked_calls(calls.limit(0), results.limit(0), schema)).count() == 0
 
 
+def test_arguments_keep_their_json_types(spark):
+    import json
+
+    schema = {"add": {"b": toolcalls.Field("boolean", required=False), "f": toolcalls.Field("number", required=False), "o": toolcalls.Field("string", required=False, high=3), "x": toolcalls.Field("integer", low=0, high=9)}}
+    texts = {  # arguments: faults
+        '{"x": 3, "o": "a", "f": 1.5, "b": true}': [], '{"x": "3"}': ["x"], '{"x": true}': ["x"], '{"x": 1.5}': ["x"], '{"x": null}': ["x"], '{"x": 10}': ["x"], '{"x": 3, "b": "true"}': ["b"],
+        '{"x": 3, "f": "1.5"}': ["f"], '{"x": 3, "f": 2}': [], '{"x": 3, "o": 1}': ["o"], '{"x": 3, "o": {"z": [1, {"k": null, "a": "\\n\\"é"}], "a": false}}': ["o"], '{"x": 3, "z": [true, "1"]}': ["z"],
+        '{"x": 12345678901234567890123456789012345678901234}': ["x"], '{"x": 3, "f": "Infinity"}': ["f"]}
+    bad = ['{"x": 1, "x": 2}', '[1]', "null", "x", "", '{"x": 3, "f": 1e999}', None]
+    calls = spark.createDataFrame([(f"c{i}", "a", "add", t, None, 1) for i, t in enumerate([*texts, *bad])], "conv_id string, call_id string, tool string, arguments string, refs array<string>, seq long")
+    linked = toolcalls.linked_calls(calls, spark.createDataFrame([], "conv_id string, call_id string, content string"), schema)
+    got = {r.conv_id: json.loads(r.json)["calls"][0] for r in toolcalls.conversations_json(linked).collect()}
+    for i, (t, faults) in enumerate(texts.items()):
+        assert (got[f"c{i}"]["faults"], json.dumps(got[f"c{i}"]["arguments"])) == (faults, json.dumps(json.loads(t), sort_keys=True)), t
+    for i, t in enumerate(bad, len(texts)):
+        assert (got[f"c{i}"]["faults"], got[f"c{i}"]["arguments"]) == (["?"], t), t
+
+
+def test_a_turn_is_an_integer(spark):
+    import json
+
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c")], "conv_id long, turn long, role string, text string")
+    calls, results, others = toolcalls.calls_of_turns(turns)
+    r = toolcalls.conversations_json(toolcalls.linked_calls(calls, results, toolcalls.REPLY), others).first()
+    assert r.n_invalid == 0 and [c["arguments"] for c in json.loads(r.json)["calls"]] == [{"prompt": "a", "turn": 0}, {"follows": "call-0", "prompt": "c", "turn": 2}]
+
+
 def test_fold_and_rounds_give_the_same_levels(spark):
     rng = random.Random(1)
     calls = [(f"v{v}", f"k{i}", [f"k{rng.randrange(i)}" for _ in range(rng.randrange(3))] if i else [], i) for v in range(4) for i in range(12)]

@@ -11,7 +11,8 @@ link:
    boilerplate from being a pivot and changes no result.
 3. Inside a cell, triangle inequalities with virtual pivots: distance to the empty set is the size, and
    distances to the classes of a hash partition of all shingles differ by at most the symmetric difference. Pairs
-   that fail them cannot link. What is left falls into groups; groups that share points make a region, which gets
+   that fail them cannot link. A cell beyond a fixed number of points is first split into pairs of blocks by size.
+   What is left falls into groups; groups that share points make a region, which gets
    the whole set of each member once.
 4. Regions join exactly. Large ones recursively: pivots are drawn from the members, each member goes to its nearest
    pivot (a Voronoi cell), and those within 2r of a border are replicated across it. Regions beyond a fixed number
@@ -151,62 +152,97 @@ def _can_link(a, b, num: int, den: int):
     return a * den >= b * num
 
 
-def _shared(num: int, den: int):
-    """Drop points that are alone in a cell, as far as sizes tell. Input is sorted by (key, n)."""
+def _shared(num: int, den: int, block_rows: int):
+    """Points of each cell but those that are alone as far as sizes tell, dealt to tasks (a, b). Input is sorted by (key, n).
+
+    A cell of more than `block_rows` points is cut into blocks, which are bands of sizes as the points come by size;
+    its tasks are the pairs of blocks, without those whose sizes cannot link.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_keys(batches, "key"):
             key, n = pdf["key"].to_numpy(), pdf["n"].to_numpy()
             near = (key[1:] == key[:-1]) & _can_link(n[:-1], n[1:], num, den)
             keep = np.append(near, False) | np.append(False, near)
-            yield pdf.loc[keep, ["key", "rep"]]
+            pdf, n = pdf.loc[keep, ["key", "rep"]].assign(a=0, b=0, block=0), n[keep]
+            if not len(pdf):
+                continue
+            key = pdf["key"].to_numpy()
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(start, len(key)))
+            yield pdf[np.repeat(size <= block_rows, size)]
+            for first, rows in zip(start[size > block_rows], size[size > block_rows], strict=True):
+                blocks = [slice(first + x, first + min(x + block_rows, rows)) for x in range(0, rows, block_rows)]
+                for i, x in enumerate(blocks):
+                    for j, y in enumerate(blocks[i:], i):
+                        if not _can_link(n[x.stop - 1], n[y.start], num, den):
+                            break
+                        parts = [pdf[x].assign(a=i, b=j, block=i)] + ([pdf[y].assign(a=i, b=j, block=j)] if j > i else [])
+                        yield pd.concat(parts, ignore_index=True)
 
     return tidy(run)
 
 
+def _merged(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Labels after the rows `left` meet the rows `right`; a label is the first row of its group."""
+    left, right = label[left], label[right]
+    to = np.arange(len(label))
+    while True:
+        new = to.copy()
+        low = np.minimum(to[left], to[right])
+        np.minimum.at(new, to[left], low)
+        np.minimum.at(new, to[right], low)
+        new = new[new]
+        if (new == to).all():
+            return to[label]
+        to = new
+
+
 def _groups(num: int, den: int):
-    """Groups of a cell's points that sizes and class counts do not keep apart: (point, smallest point)."""
+    """Groups of a task's points that sizes and class counts do not keep apart: (point, smallest point).
+
+    Only which points are together matters, so pairs go into labels at once, and points that are together are not
+    compared again: a cell of near copies is one group after few steps.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in whole_keys(batches, "key"):
-            key, n, rep = (pdf[c].to_numpy() for c in ("key", "n", "rep"))
+        for pdf in whole_keys(batches, ["key", "a", "b"]):
+            key, a, b, block, n, rep = (pdf[c].to_numpy() for c in ("key", "a", "b", "block", "n", "rep"))
             tier = pdf["counts"].map(len).to_numpy() // 2
             table, line = {}, {}
             for c, _ in TIERS:  # counts of all larger sets, too, folded into this many classes
                 rows = np.flatnonzero(tier >= c)
                 line[c] = np.cumsum(tier >= c) - 1
                 table[c] = np.stack([np.frombuffer(x, dtype="<u2").reshape(-1, c).sum(axis=0, dtype=np.int32) for x in pdf["counts"].iloc[rows]]) if len(rows) else None
-            left, right = [], []
+            start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            task = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))
+            label = np.arange(len(key))
             at = np.arange(len(key) - 1)
             step = 1
             while len(at):
                 # sorted by size: once i cannot link with i + step, it cannot with any later one
                 at = at[at + step < len(key)]
-                at = at[(key[at] == key[at + step]) & _can_link(n[at], n[at + step], num, den)]
+                at = at[(task[at] == task[at + step]) & _can_link(n[at], n[at + step], num, den)]
+                if step & (step - 1) == 0:  # tasks that are one group already are done
+                    open_ = np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start)
+                    at = at[open_[task[at]]]
+                # a task of two blocks compares one with the other; each block has a task of its own
+                apart_still = at[(label[at] != label[at + step]) & ((a[at] == b[at]) | (block[at] != block[at + step]))]
                 for c, _ in TIERS:
-                    some = at[tier[at] == c]
-                    for a in range(0, len(some), 6_000_000 // c):
-                        i = some[a : a + 6_000_000 // c]
+                    some = apart_still[tier[apart_still] == c]
+                    for x in range(0, len(some), 6_000_000 // c):
+                        i = some[x : x + 6_000_000 // c]
                         apart = np.abs(table[c][line[c][i]] - table[c][line[c][i + step]]).sum(axis=1, dtype=np.int64)
                         # |x ^ y| <= (den - num) (|x| + |y|) / (den + num) for every link
                         i = i[apart * (den + num) <= (den - num) * (n[i] + n[i + step])]
-                        left.append(i)
-                        right.append(i + step)
+                        if len(i):
+                            label = _merged(label, i, i + step)
                 step += 1
-            if not sum(map(len, left)):
-                continue
-            left, right = np.concatenate(left), np.concatenate(right)
-            label = rep.copy()
-            while True:
-                new = label.copy()
-                low = np.minimum(label[left], label[right])
-                np.minimum.at(new, left, low)
-                np.minimum.at(new, right, low)
-                if (new == label).all():
-                    break
-                label = new
-            used = np.unique(np.concatenate([left, right]))
-            yield pd.DataFrame({"rep": rep[used], "lead": label[used]}).drop_duplicates()
+            used = np.bincount(label, minlength=len(label))[label] > 1
+            if used.any():
+                low = rep.copy()
+                np.minimum.at(low, label, rep)
+                yield pd.DataFrame({"rep": rep[used], "lead": low[label[used]]}).drop_duplicates()
 
     return tidy(run)
 
@@ -372,8 +408,8 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
                  .select(F.col("doc_id").alias("rep"), "n", "counts", "keys"), "one")
     parts = partitions(spark)
     cells = one.select(F.explode("keys").alias("key"), "rep", "n").repartition(parts, "key").sortWithinPartitions("key", "n")
-    shared = cells.mapInPandas(_shared(num, den), "key long, rep long")
-    near = shared.join(one.select("rep", "n", "counts"), "rep").repartition(parts, "key").sortWithinPartitions("key", "n")
+    shared = cells.mapInPandas(_shared(num, den, block_rows), "key long, rep long, a int, b int, block int")
+    near = shared.join(one.select("rep", "n", "counts"), "rep").repartition(parts, "key", "a", "b").sortWithinPartitions("key", "a", "b", "n")
     spots = stored(near.mapInPandas(_groups(num, den), "rep long, lead long").distinct(), "spots")
     forget(one)
     # a region is a component of the groups; its members in blocks, the pairs of blocks are its tasks

@@ -108,6 +108,24 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, k, num, block_rows,
     assert got_links(jaccard.jaccard_join(df, k=k, num=num, den=100, block_rows=block_rows)) == brute_links(rows, k, num, 100)
 
 
+def test_a_large_cell_is_split_and_near_copies_are_one_group():
+    import pandas as pd
+
+    n = np.sort(np.random.default_rng(3).integers(100, 160, 500))
+    cell = pd.DataFrame({"key": 7, "rep": np.arange(500)[::-1] + 10, "n": n})
+    dealt = pd.concat(jaccard._shared(80, 100, 32)(iter([cell])), ignore_index=True)
+    tasks = [set(g["rep"]) for _, g in dealt.groupby(["key", "a", "b"])]
+    assert max(map(len, tasks)) <= 64 and dealt.groupby(["key", "a", "b"]).size().max() <= 64
+    size = dict(zip(cell["rep"], n, strict=True))
+    met = {(x, y) for t in tasks for x in t for y in t}
+    assert all((x, y) in met for x in size for y in size if size[x] <= size[y] and size[x] * 100 >= size[y] * 80)
+    near = dealt.assign(n=dealt["rep"].map(size), counts=[np.full(64, 2, dtype="<u2").tobytes()] * len(dealt)).sort_values(["key", "a", "b", "n"])
+    got = pd.concat(jaccard._groups(80, 100)(iter([near])))
+    assert set(got["rep"]) == set(size) and len(got) <= 500 * 16
+    odd = near.assign(counts=[np.full(64, 2 if r % 2 else 200, dtype="<u2").tobytes() for r in near["rep"]])  # two kinds of sets never meet
+    assert all((r - q) % 2 == 0 for r, q in pd.concat(jaccard._groups(80, 100)(iter([odd])))[["rep", "lead"]].itertuples(index=False))
+
+
 def test_jaccard_join_of_odd_rows(spark, odd_docs):
     got = got_links(jaccard.jaccard_join(odd_docs, k=4, num=85))
     rows = {r.doc_id: r.text for r in odd_docs.collect()}

@@ -17,7 +17,6 @@ from .packets import region_codes, region_observers
 MAX_EDGE_KM = 500.0
 
 # fixed values of the path scoring
-BEAM_WIDTH, MAX_STEPS = 20, 64
 W_EDGE, W_GEO, W_RECENCY, W_SELECTIVITY = 0.35, 0.20, 0.15, 0.30
 HOP_FLOOR, NEAR_KM, SPECULATIVE = 0.05, 50.0, 0.7
 
@@ -362,11 +361,12 @@ def affinity_candidates(amb_edges: DataFrame, nodes: DataFrame, edges: DataFrame
 def path_inspect(requests: DataFrame, nodes: DataFrame, edges: DataFrame, now, limit: int = 10) -> DataFrame:
     """Most likely node chains for prefix lists ``(id, prefixes)``: id, rank, path, score, speculative.
 
-    All requests advance together: one join with the candidates per step, the best 20 partial
-    chains of a request kept (the width is part of the definition). Steps are written out so the
-    plan stays small. A prefix without candidates ends its request.
+    All requests advance together: one join with the candidates per step, as many steps as the longest
+    request has. Of each request and last node the best `limit` partial chains are kept: a hop's score
+    needs only the node before it, so no other chain can be among the best. Scores are sums of logarithms,
+    which long chains do not drive to zero. Steps are written out so the plan stays small. A prefix without
+    candidates ends its request.
     """
-    limit = min(limit, 50)
     cand = R.prefix_candidates(nodes).select("prefix", F.col("key").alias("cand"), F.col("lat").alias("clat"),
                                             F.col("lon").alias("clon"), F.col("gps").alias("cgps"))
     n = R.prefix_stats(R.prefix_candidates(nodes)).select("prefix", F.col("n").alias("choices"))
@@ -378,10 +378,10 @@ def path_inspect(requests: DataFrame, nodes: DataFrame, edges: DataFrame, now, l
     e = cut_lineage(e.select(F.col("node_a").alias("last"), F.col("node_b").alias("cand"), "w", "rec").union(
         e.select(F.col("node_b").alias("last"), F.col("node_a").alias("cand"), "w", "rec")))
     beam = requests.select("id", F.transform("prefixes", lambda p: F.lower(F.trim(p))).alias("prefixes"),
-                           F.array().cast("array<string>").alias("path"), F.lit(1.0).alias("score"),
+                           F.array().cast("array<string>").alias("path"), F.lit(0.0).alias("score"),
                            F.lit(None).cast("string").alias("last"), F.lit(None).cast("double").alias("llat"),
                            F.lit(None).cast("double").alias("llon"), F.lit(False).alias("lgps"))
-    steps = min(requests.agg(F.max(F.size("prefixes"))).first()[0] or 0, MAX_STEPS)
+    steps = requests.agg(F.max(F.size("prefixes"))).first()[0] or 0
     for i in range(steps):
         live = beam.filter(F.size("prefixes") > i).withColumn("prefix", F.get("prefixes", F.lit(i)))
         j = live.join(cand, "prefix").join(e, ["last", "cand"], "left")
@@ -392,12 +392,12 @@ def path_inspect(requests: DataFrame, nodes: DataFrame, edges: DataFrame, now, l
                + W_RECENCY * F.when(start, F.lit(1.0)).otherwise(F.coalesce("rec", F.lit(0.0)))
                + W_SELECTIVITY / F.col("choices"))
         nxt = j.select("id", "prefixes", F.array_append("path", F.col("cand")).alias("path"),
-                       (F.col("score") * F.greatest(F.lit(HOP_FLOOR), hop)).alias("score"), F.col("cand").alias("last"),
+                       (F.col("score") + F.ln(F.greatest(F.lit(HOP_FLOOR), hop))).alias("score"), F.col("cand").alias("last"),
                        F.col("clat").alias("llat"), F.col("clon").alias("llon"), F.col("cgps").alias("lgps"))
-        best = top_per_group(nxt, ["id"], [F.round("score", 12).desc(), F.array_join("path", ",")], BEAM_WIDTH).drop("rank")
+        best = top_per_group(nxt, ["id", "last"], [F.round("score", 12).desc(), F.array_join("path", ",")], limit).drop("rank")
         done = beam.filter(F.size("prefixes") <= i)
         beam = cut_lineage(best.unionByName(done))
-    mean = F.pow(F.col("score"), F.lit(1.0) / F.size("prefixes"))
+    mean = F.exp(F.col("score") / F.size("prefixes"))
     out = beam.filter((F.size("path") == F.size("prefixes")) & (F.size("path") > 0)).withColumn("mean", mean)
-    out = top_per_group(out, ["id"], [F.round("mean", 12).desc(), F.array_join("path", ",")], limit)
+    out = top_per_group(out, ["id"], [F.round("score", 12).desc(), F.array_join("path", ",")], limit)
     return out.select("id", "rank", "path", half_away(F.col("mean"), 3).alias("score"), (F.col("mean") < SPECULATIVE).alias("speculative"))

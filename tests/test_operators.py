@@ -120,6 +120,19 @@ def test_path_inspect_equals_brute_force(spark):
         assert have[0][1] == want[0][0] and all(h[3] == (h[2] < 0.7) for h in have)
 
 
+def test_path_inspect_keeps_every_chain_step_and_answer(spark):
+    relays = [(key(f"aa{i:02x}", i), 40.0, -100.0) for i in range(30)] + [(key(f"bb{i:02x}", i), 40.0, -100.0) for i in range(2)]
+    far, bb = relays[29][0], relays[30][0]  # the only edge starts at the last of thirty equal beginnings
+    nd = nodes_df(spark, [node(k, lat=la, lon=lo) for k, la, lo in relays])
+    ed = edges_df(spark, [(min(far, bb), max(far, bb), 100, 1, 1)])
+    req = [("short", ["aa", "bb"]), ("long", [far, bb] * 33)]
+    got = {}
+    for r in G.path_inspect(spark.createDataFrame(req, "id string, prefixes array<string>"), nd, ed, NOW, 60).collect():
+        got.setdefault(r.id, {})[r.rank] = r.path
+    assert got["short"][1] == [far, bb] and len(got["short"]) == 60
+    assert got["long"] == {1: [far, bb] * 33}
+
+
 # ---- clocks ----
 
 def brute_drift(points):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import deque
+from array import array
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from meshlake.functions.ranks import top_per_group
 FIRST_VALID, LAST_VALID = 1577836800, 4102444800
 WARNING, CRITICAL, ABSURD, NO_CLOCK = 300, 3600, 30 * 86400, 365 * 86400
 RECENT_COUNT, RECENT_SECS, GOOD_SECS = 5, 3600, 3600
-MIN_DRIFT_SAMPLES, MAX_JUMP, MAX_POINTS, MAX_DRIFT = 5, 60.0, 200, 86400.0
+MIN_DRIFT_SAMPLES, MAX_JUMP, MAX_DRIFT = 5, 60.0, 86400.0
 
 
 def classify_skew(skew: Column) -> Column:
@@ -88,45 +89,88 @@ def node_skew(hashes: DataFrame) -> DataFrame:
         trunc_round(frac, 2).alias("good_fraction"), bad.alias("recent_bad_samples"), "recent_samples")
 
 
-def _theil_sen(t: np.ndarray, v: np.ndarray) -> float:
-    """Median of all pairwise slopes of at most 200 points."""
-    i, j = np.triu_indices(len(t), 1)
-    dt = t[j] - t[i]
-    up = dt > 0
-    return float(np.median((v[j] - v[i])[up] / dt[up])) if up.any() else 0.0
+def _slopes(t: np.ndarray, v: np.ndarray, cells: int = 1 << 22):
+    """All pairwise slopes of points in the order of time, in pieces of bounded size."""
+    rows = max(1, cells // len(t))
+    for i in range(0, len(t) - 1, rows):
+        dt = t[None, i + 1:] - t[i:i + rows, None]
+        later = dt > 0
+        yield (v[None, i + 1:] - v[i:i + rows, None])[later] / dt[later]
+
+
+def _theil_sen(t: np.ndarray, v: np.ndarray, small: int = 2000) -> float:
+    """Median of all pairwise slopes.
+
+    Long series find it without holding all slopes: those between two guesses that a sample of pairs
+    gives are kept, the others counted; guesses that miss the middle are widened.
+    """
+    if len(t) <= small:
+        s = np.concatenate(list(_slopes(t, v)) or [np.zeros(0)])
+        return float(np.median(s)) if len(s) else 0.0
+    rng = np.random.default_rng(0)
+    i, j = np.sort(rng.integers(0, len(t), (2, 1_000_000)), axis=0)
+    i, j = i[t[j] > t[i]], j[t[j] > t[i]]
+    sample = (v[j] - v[i]) / (t[j] - t[i])
+    width = 0.002
+    while True:
+        lo, hi = np.quantile(sample, [0.5 - width, 0.5 + width], method="nearest") if len(sample) and width < 0.5 else (-np.inf, np.inf)
+        below = at_lo = at_hi = n = 0
+        inner = []
+        for s in _slopes(t, v):
+            n += len(s)
+            below += int((s < lo).sum())
+            at_lo += int((s == lo).sum())
+            at_hi += int((s == hi).sum()) if hi > lo else 0
+            inner.append(s[(s > lo) & (s < hi)])
+        if not n:
+            return 0.0
+        inner = np.sort(np.concatenate(inner))
+        ranks = [(n - 1) // 2, n // 2]
+        if below <= ranks[0] and ranks[1] < below + at_lo + len(inner) + at_hi:
+            of = lambda r: lo if r < below + at_lo else inner[r - below - at_lo] if r < below + at_lo + len(inner) else hi
+            return float((of(ranks[0]) + of(ranks[1])) / 2)
+        width *= 8
 
 
 class _Series:
-    """What the drift rule needs of one node's series, in constant space."""
+    """What the drift rule needs of one node's series; with ``points`` the slope is that of the last ones only."""
 
-    def __init__(self, key: str):
+    def __init__(self, key: str, points: int | None):
         self.key, self.n = key, 0
         self.first = self.last = None
         self.kept_first = self.kept_last = None
         self.kept_n = 0
-        self.raw, self.kept = deque(maxlen=MAX_POINTS), deque(maxlen=MAX_POINTS)
+        self.points = points
+        self.raw, self.kept = (array("q"), array("d")), (array("q"), array("d"))
+
+    def put(self, series: tuple[array, array], t: int, v: float) -> None:
+        series[0].append(t)
+        series[1].append(v)
+        if self.points is not None and len(series[0]) >= 2 * self.points + 1024:
+            for s in series:
+                del s[:len(s) - self.points]
 
     def add(self, t: int, v: float) -> None:
         self.n += 1
         self.first = t if self.first is None else self.first
         self.last = t
-        self.raw.append((t, v))
+        self.put(self.raw, t, v)
         if self.kept_last is None or abs(v - self.kept_last) <= MAX_JUMP:
             self.kept_first = t if self.kept_first is None else self.kept_first
             self.kept_last = v
             self.kept_n += 1
-            self.kept.append((t, v))
+            self.put(self.kept, t, v)
 
     def drift(self) -> float:
         if self.last - self.first < 3600:
             return 0.0
-        use = self.kept if self.kept_n >= 2 and self.kept[-1][0] - self.kept_first >= 3600 else self.raw
-        p = np.array(use, dtype="float64")
-        d = _theil_sen(p[:, 0], p[:, 1]) * 86400
+        use = self.kept if self.kept_n >= 2 and self.kept[0][-1] - self.kept_first >= 3600 else self.raw
+        t, v = (np.array(s, dtype="float64")[-self.points if self.points else 0:] for s in use)
+        d = _theil_sen(t, v) * 86400
         return 0.0 if abs(d) > MAX_DRIFT else d
 
 
-def _fold_series(batches):
+def _fold_series(batches, points: int | None = None):
     cur = None
     out = []
     for pdf in batches:
@@ -134,7 +178,7 @@ def _fold_series(batches):
             if cur is None or cur.key != k:
                 if cur is not None and cur.n >= MIN_DRIFT_SAMPLES:
                     out.append((cur.key, cur.n, cur.drift()))
-                cur = _Series(k)
+                cur = _Series(k, points)
             cur.add(int(t), float(v))
         if len(out) >= 10_000:
             yield pd.DataFrame(out, columns=["public_key", "points", "drift"])
@@ -145,18 +189,20 @@ def _fold_series(batches):
         yield pd.DataFrame(out, columns=["public_key", "points", "drift"])
 
 
-def node_drift(hashes: DataFrame, skew: DataFrame) -> DataFrame:
-    """Seconds per day a node's clock gains, by the median of pairwise slopes.
+def node_drift(hashes: DataFrame, skew: DataFrame, points: int | None = 200) -> DataFrame:
+    """Seconds per day a node's clock gains, by the median of pairwise slopes of the last ``points`` (None: all).
 
     Clock corrections are removed by comparing with the last kept point, a fold no window
-    expresses. Spark sorts the series (spilling if need be) and the fold reads it as a stream with
-    at most 400 points in memory, however long a node's series is.
+    expresses. Spark sorts the series (spilling if need be) and the fold reads it as a stream, keeping
+    32 bytes a point.
     """
+    if points is not None and points < 2:
+        raise ValueError("a slope takes two points")
     use = skew.filter(~F.col("severity").isin("no_clock", "bimodal_clock")).select("public_key")
     s = hashes.join(use, "public_key", "left_semi").select(
         "public_key", F.col("last_observed_ts").alias("t"), "hash", F.col("median_skew").alias("v"))
     s = s.repartition("public_key").sortWithinPartitions("public_key", "t", "hash").select("public_key", "t", "v")
-    d = s.mapInPandas(_fold_series, "public_key string, points bigint, drift double")
+    d = s.mapInPandas(partial(_fold_series, points=points), "public_key string, points bigint, drift double")
     return d.select("public_key", "points", trunc_round(F.col("drift"), 2).alias("drift_per_day"))
 
 

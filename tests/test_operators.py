@@ -150,6 +150,23 @@ def brute_drift(points):
     return 0.0 if abs(d) > 86400 else d
 
 
+def test_drift_uses_the_whole_series(spark):
+    steady = [(1_706_000_000 + 600 * i, 0.1 * (i if i < 500 else 500)) for i in range(700)]  # gains, then stands still for 200 points
+    h = spark.createDataFrame([("n", t, f"{t:x}", v) for t, v in steady], "public_key string, last_observed_ts long, hash string, median_skew double")
+    sk = spark.createDataFrame([("n", "ok")], "public_key string, severity string")
+    assert K.node_drift(h, sk, points=None).first().drift_per_day == pytest.approx(14.4, abs=0.011)  # most pairs of all points gain 0.1 s in 600 s
+    assert K.node_drift(h, sk, points=200).first().drift_per_day == 0
+
+
+@pytest.mark.parametrize("kind", ["noise", "ties", "flat"])
+def test_median_slope_of_a_long_series_is_exact(kind):
+    rnd = random.Random(kind)
+    t = [float(x) for x in sorted(rnd.randrange(0, 9000) for _ in range(1200))]
+    v = [{"noise": round(rnd.gauss(x / 99, 5), 1), "ties": float(rnd.randrange(2)), "flat": 3.0}[kind] for x in t]
+    want = statistics.median((b - a) / (y - x) for (x, a), (y, b) in itertools.combinations(zip(t, v), 2) if y > x)
+    assert K._theil_sen(K.np.array(t), K.np.array(v), small=10) == want
+
+
 def test_drift_equals_brute_force(spark):
     rnd = random.Random(11)
     series, rows = {}, []

@@ -388,7 +388,7 @@ def _(m):
 @query("node_drift")
 def _(m):
     h = K.hash_skew(_corr(m))
-    return K.node_drift(h, K.node_skew(h))
+    return K.node_drift(h, K.node_skew(h), points=None)
 
 
 @query("hash_evidence", M.sql("obs observers", _SK + f"""
@@ -404,7 +404,7 @@ def _(m):
 def _(m):
     h = K.hash_skew(_corr(m))
     s = K.node_skew(h)
-    return K.fleet_skew(s, K.node_drift(h, s), m.nodes)
+    return K.fleet_skew(s, K.node_drift(h, s, points=None), m.nodes)
 
 
 @query("classify_skew", M.sql("obs", _HS + f"SELECT hash, {_SEV('median_skew')} AS severity FROM hs"))

@@ -6,7 +6,7 @@ Histograms are kept as rows (cell, bin, count), so merging any set of hours is o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from meshlake.functions import geo, names
 from meshlake.functions.numeric import half_away
@@ -18,7 +18,6 @@ from meshlake.operators.packets import region_codes, region_observers
 
 # fixed values: first bin, width and number of bins per measure
 BINS = {"snr": (-30, 1, 50), "rssi": (-130, 1, 110), "size": (0, 4, 64), "length": (0, 16, 32), "dist": (0, 12, 25)}
-SCATTER_POINTS = 8
 ALL = "*"
 
 
@@ -76,11 +75,14 @@ def rf_rollup_bins(tx, obs, hours=None) -> DataFrame:
     return sig.unionByName(size).groupBy(*k, "measure", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def rf_rollup_scatter(tx, obs, hours=None) -> DataFrame:
-    """First (snr, rssi) pairs of each cell."""
+def rf_rollup_scatter(tx, obs, hours=None, points: int | None = None) -> DataFrame:
+    """(snr, rssi) pairs of each cell by time; with ``points`` only its first ones."""
     r = _rf_rows(tx, obs, hours).filter(F.col("snr").isNotNull() & F.col("rssi").isNotNull())
-    return top_per_group(r.select("hour", "payload_type", "observer_id", "timestamp", "id", "snr", "rssi"),
-                         ["hour", "payload_type", "observer_id"], [F.col("timestamp"), F.col("id")], SCATTER_POINTS)
+    r = r.select("hour", "payload_type", "observer_id", "timestamp", "id", "snr", "rssi")
+    cell, order = ["hour", "payload_type", "observer_id"], [F.col("timestamp"), F.col("id")]
+    if points is None:
+        return r.withColumn("rank", F.row_number().over(W.partitionBy(*cell).orderBy(*order)))
+    return top_per_group(r, cell, order, points)
 
 
 def rf_rollup_tx(tx, obs, hours=None) -> DataFrame:
@@ -222,8 +224,11 @@ def relay_from_rollup(cells: DataFrame, totals: DataFrame, nodes: DataFrame, now
 
 # ---- distance --------------------------------------------------------------------------
 
-def stored_hops(tx, obs, nodes, hours=None) -> DataFrame:
-    """Hops of each packet's first non-empty path, resolved only by the stored keys; signal is the best one."""
+def stored_hops(tx, obs, nodes, hours=None, max_km: float | None = None) -> DataFrame:
+    """Hops of each packet's first non-empty path, resolved only by the stored keys; signal is the best one.
+
+    With ``max_km`` only hops up to it; `distance.distance_rejected` counts the others.
+    """
     head = _hours(tx, "first_seen", hours).select("id", "hash", "first_seen", "hour", F.lower("decoded.pubKey").alias("sender"))
     first = F.min(F.when(F.size("path") > 0, F.struct("id", "path", "resolved_path")))
     o = obs.groupBy("transmission_id").agg(first.alias("f"), F.max("snr").alias("snr")).filter(F.col("f").isNotNull()).select(
@@ -235,7 +240,7 @@ def stored_hops(tx, obs, nodes, hours=None) -> DataFrame:
     hop = o.select("id", F.posexplode(keys).alias("pos", "k")).join(pos.filter("relay"), "k").select("id", "pos", "stop")
     start = head.join(o.select("id"), "id", "left_semi").join(pos, F.col("sender") == F.col("k")).select("id", F.lit(-1).alias("pos"), "stop")
     c = hop.unionByName(start).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "stop"))).alias("s")).filter(F.size("s") >= 2)
-    c = c.select("id", F.posexplode(D.chain_hops(F.transform("s", lambda e: e["stop"]), D.MAX_KM)).alias("pos", "e"))
+    c = c.select("id", F.posexplode(D.chain_hops(F.transform("s", lambda e: e["stop"]), max_km)).alias("pos", "e"))
     return c.join(head, "id").join(o.select("id", "snr"), "id").select(
         "id", "hash", "first_seen", "hour", "snr", "pos", F.col("e.a.pk").alias("from_pk"), F.col("e.b.pk").alias("to_pk"), F.col("e.km").alias("km"),
         half_away(F.col("e.km"), 2).alias("dist"), D.hop_type(F.col("e.a.rep"), F.col("e.b.rep")).alias("type"))
@@ -311,13 +316,13 @@ def write_rollup(df: DataFrame, path: str) -> None:
     day.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour_key").parquet(path)
 
 
-def refresh(spark: SparkSession, tx: DataFrame, obs: DataFrame, nodes: DataFrame, root: str, watermark: int) -> int:
+def refresh(spark: SparkSession, tx: DataFrame, obs: DataFrame, nodes: DataFrame, root: str, watermark: int, max_km: float | None = None) -> int:
     """Rebuild every rollup for the hours touched since the watermark; returns the new watermark."""
     top = obs.agg(F.max("id")).first()[0]
     if top is None or top <= watermark:
         return watermark
     by_obs, by_tx = touched_hours(tx, obs, watermark), touched_hours(tx, obs, watermark, "first_seen")
-    hops = stored_hops(tx, obs, nodes, by_tx)
+    hops = stored_hops(tx, obs, nodes, by_tx, max_km)
     built = {
         "rf_rollup": rf_rollup_hour(tx, obs, by_obs), "rf_rollup_bins": rf_rollup_bins(tx, obs, by_obs), "rf_rollup_tx": rf_rollup_tx(tx, obs, by_obs),
         "rf_rollup_scatter": rf_rollup_scatter(tx, obs, by_obs),

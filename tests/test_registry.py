@@ -33,6 +33,22 @@ def test_same_as_sql(spark, con, name):
     assert rows(entry.queries()[name](spark, SF).toPandas()) == rows(con.sql(entry.oracle_sql()[name]).df())
 
 
+@pytest.mark.parametrize("name", ["rf_rollup_scatter_all", "distance_rejected"])
+def test_nothing_left_out_is_the_same_as_sql(spark, con, name):
+    assert rows(entry.queries()[name](spark, SF).toPandas()) == rows(con.sql(entry.oracle_sql()[name]).df())
+
+
+def test_stored_hops_of_every_length(spark):
+    from meshlake.plans import rollups
+    from pyspark.sql import functions as F
+
+    tx = spark.createDataFrame([(1, "h", "a")], "id long, hash string, pk string").select("id", "hash", F.lit("2024-01-01").cast("timestamp").alias("first_seen"), F.struct(F.col("pk").alias("pubKey")).alias("decoded"))
+    obs = spark.createDataFrame([(1, 1, 2.0, ["b", "c"], None)], "id long, transmission_id long, snr double, path array<string>, resolved_path array<string>")
+    nodes = spark.createDataFrame([("a", "A", "repeater", 40.0, 8.0), ("b", "B", "repeater", 41.0, 8.0), ("c", "C", "repeater", 49.0, 8.0)], "public_key string, name string, role string, lat double, lon double")
+    assert sorted(round(r.km) for r in rollups.stored_hops(tx, obs, nodes).collect()) == [111, 890]
+    assert [round(r.km) for r in rollups.stored_hops(tx, obs, nodes, max_km=300.0).collect()] == [111]
+
+
 @pytest.mark.parametrize("per_trigger", [1, 3, 100])
 def test_metrics_stream_is_the_batch_at_any_trigger_size(spark, tmp_path, per_trigger):
     from pyspark.sql import functions as F

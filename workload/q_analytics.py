@@ -185,6 +185,14 @@ def _(m):
     return D.distance_hops(m.tx, m.obs, m.nodes, edges(m), NOW, max_km=D.MAX_KM).drop("from_name", "to_name").withColumn("km", F.round("km", 6))
 
 
+_EVERY_KM = _DIST.replace("WHERE km <= 300", "WHERE km IS NOT NULL")
+
+
+@query("distance_rejected", M.sql("best edges", _EVERY_KM + "SELECT type, count(*) FILTER (km > 300)::BIGINT AS rejected, count(*)::BIGINT AS hops FROM dh GROUP BY 1"))
+def _(m):
+    return D.distance_rejected(D.distance_hops(m.tx, m.obs, m.nodes, edges(m), NOW), D.MAX_KM)
+
+
 @query("distance_category_stats", M.sql("best edges", _DIST + f""", r AS (SELECT type, dist, row_number() OVER (PARTITION BY type ORDER BY dist) AS rn, count(*) OVER (PARTITION BY type) AS n FROM dh),
 t AS (SELECT unnest(['R↔R', 'C↔R', 'C↔C']) AS type)
 SELECT t.type, count(dist)::BIGINT AS count, coalesce(floor(sum(round(dist * 100)::BIGINT) / count(dist) + 0.5e0) / 100, 0) AS avg, coalesce({M.half_away('max(dist) FILTER (rn = n // 2 + 1)', 2)}, 0) AS median,

@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from meshlake.operators import frames as X, ingest as I, observers as O, retention as T
+from meshlake.operators import distance as D, frames as X, ingest as I, observers as O, retention as T
 from meshlake.plans import rollups as U
 from meshlake.session import checkpoint_dir, cut_lineage
 from meshlake.streaming import jobs as J
@@ -318,6 +318,12 @@ def _(m):
 
 @query("rf_rollup_scatter", M.sql("obs", _RF + """
 SELECT hour, payload_type, observer_id, timestamp, id, snr, rssi, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY hour, payload_type, observer_id ORDER BY timestamp, id) AS rank FROM rr WHERE snr IS NOT NULL AND rssi IS NOT NULL) WHERE rank <= 8"""))
+def _(m):
+    return U.rf_rollup_scatter(m.tx, m.obs, points=8)
+
+
+@query("rf_rollup_scatter_all", M.sql("obs", _RF + """
+SELECT hour, payload_type, observer_id, timestamp, id, snr, rssi, row_number() OVER (PARTITION BY hour, payload_type, observer_id ORDER BY timestamp, id)::INTEGER AS rank FROM rr WHERE snr IS NOT NULL AND rssi IS NOT NULL"""))
 def _(m):
     return U.rf_rollup_scatter(m.tx, m.obs)
 
@@ -419,7 +425,7 @@ pst2 AS (SELECT *, '*' AS observer_id FROM sh UNION ALL SELECT sh.*, s.observer_
 
 
 def _sh(m):
-    return cut_lineage(U.stored_hops(m.tx, m.obs, m.nodes))
+    return cut_lineage(U.stored_hops(m.tx, m.obs, m.nodes, max_km=D.MAX_KM))
 
 
 @query("distance_rollup_hour", M.sql("obs nodes", _DS + "SELECT hour, type, observer_id, count(*)::BIGINT AS count, sum(round(dist * 100)::BIGINT)::BIGINT AS dist_sum_100, min(dist) AS dist_min, max(dist) AS dist_max FROM pst2 GROUP BY 1, 2, 3"))

@@ -122,8 +122,8 @@ def metrics_deltas(samples: DataFrame, bucket_secs: int = 300) -> DataFrame:
                     (usable & fell).alias("is_reboot"))
 
 
-def metrics_summary(metrics: DataFrame, observers: DataFrame, since) -> DataFrame:
-    m = metrics.filter(F.col("timestamp") >= ts_lit(since))
+def metrics_summary(metrics: DataFrame, observers: DataFrame, since=None) -> DataFrame:
+    m = metrics if since is None else metrics.filter(F.col("timestamp") >= ts_lit(since))
     order = F.struct("timestamp", *(["seq"] if "seq" in metrics.columns else []))
     g = m.groupBy(F.col("observer_id").alias("id")).agg(
         F.max_by(F.struct("noise_floor", "battery_mv"), order).alias("l"), F.avg("noise_floor").alias("avg_noise_floor"),
@@ -133,12 +133,12 @@ def metrics_summary(metrics: DataFrame, observers: DataFrame, since) -> DataFram
         F.col("l.noise_floor").alias("current_noise_floor"), "avg_noise_floor", "max_noise_floor", F.col("l.battery_mv").alias("battery_mv"), "sample_count")
 
 
-def metrics_sparkline(metrics: DataFrame, since) -> DataFrame:
+def metrics_sparkline(metrics: DataFrame, since=None) -> DataFrame:
     """Noise-floor series in time order per station and hour.
 
     One array per hour keeps a busy station's series in pieces; the pieces are ordered by hour.
     """
-    m = metrics.filter(F.col("timestamp") >= ts_lit(since))
+    m = metrics if since is None else metrics.filter(F.col("timestamp") >= ts_lit(since))
     return m.groupBy("observer_id", F.date_trunc("hour", "timestamp").alias("hour")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("timestamp", "noise_floor"))), lambda e: e["noise_floor"]).alias("noise_floor"))
 

@@ -12,6 +12,9 @@ SAMPLE = ["rf_summary", "rf_histogram_snr", "filter_packets", "dsl_predicates",
           "node_skew", "decode_adverts", "content_hash", "rf_from_rollup", "distance_from_rollup", "ingest_stream", "hourly_tumbling", "stream_dedup"]
 
 
+ALL_TIME = ["rf_snr_by_type_all", "rf_from_rollup_all", "channels_from_rollup_all", "distance_from_rollup_all", "metrics_summary_all", "metrics_sparkline_all", "subpath_top_all"]
+
+
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
@@ -33,11 +36,16 @@ def test_same_as_sql(spark, con, name):
     assert rows(entry.queries()[name](spark, SF).toPandas()) == rows(con.sql(entry.oracle_sql()[name]).df())
 
 
-@pytest.mark.parametrize("name", ["rf_rollup_scatter_all", "distance_rejected"])
+@pytest.mark.parametrize("name", ["rf_rollup_scatter_all", "distance_rejected", *ALL_TIME])
 def test_nothing_left_out_is_the_same_as_sql(spark, con, name):
     assert rows(entry.queries()[name](spark, SF).toPandas()) == rows(con.sql(entry.oracle_sql()[name]).df())
 
 
+def test_whole_forms_have_no_window():
+    sql = entry.oracle_sql()
+    assert all(sql[n] != sql[n.removesuffix("_all")] for n in ALL_TIME)
+
+
 def test_stored_hops_of_every_length(spark):
     from meshlake.plans import rollups
     from pyspark.sql import functions as F

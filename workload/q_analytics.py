@@ -8,7 +8,7 @@ from meshlake.session import cut_lineage
 from . import mesh_sql as M
 from .mesh_views import NOW, MeshTables
 from .q_topology import edges
-from .registry import query
+from .registry import ORACLE, query
 
 REGION = "EUR"
 
@@ -262,6 +262,11 @@ def _(m):
     return S.subpath_top(*_a(m), m.nodes, edges(m), NOW, 2, 4, 100)
 
 
+@query("subpath_top_all", ORACLE["subpath_top"].replace(" WHERE hops BETWEEN 2 AND 4", ""))
+def _(m):
+    return S.subpath_top(*_a(m), m.nodes, edges(m), NOW, 2, 8, 100)
+
+
 @query("subpath_top_bulk", M.sql("best edges", _NAMED + f"""
 , g AS (SELECT unnest([0, 1, 2]) AS grp, unnest([2, 3, 5]) AS lo, unnest([2, 4, 8]) AS hi, unnest([50, 30, 20]) AS k),
 r AS (SELECT grp, k, ng.*, row_number() OVER (PARTITION BY grp ORDER BY count DESC, path) AS rank FROM ng JOIN g ON hops BETWEEN lo AND hi)

@@ -13,7 +13,7 @@ from . import mesh_sql as M
 from .mesh_views import NOW, MeshTables
 from .q_nodes import _delta_sql
 from .q_rf import WEEK, WEEK_SINCE
-from .registry import query
+from .registry import ORACLE, query
 
 N0 = M.NOW
 AREA = [(40.0, -120.0), (42.5, -120.0), (44.0, -117.0), (40.5, -116.5)]
@@ -340,6 +340,11 @@ def _(m):
     return U.rf_from_rollup(U.rf_rollup_hour(m.tx, m.obs), U.rf_rollup_bins(m.tx, m.obs), window=WEEK).withColumns({"avg": F.round("avg", 6), "stddev": F.round("stddev", 6)})
 
 
+@query("rf_from_rollup_all", ORACLE["rf_from_rollup"].replace(f" WHERE hour >= {WEEK_SINCE}", ""))
+def _(m):
+    return U.rf_from_rollup(U.rf_rollup_hour(m.tx, m.obs), U.rf_rollup_bins(m.tx, m.obs)).withColumns({"avg": F.round("avg", 6), "stddev": F.round("stddev", 6)})
+
+
 @query("rf_bins_from_rollup", M.sql("obs", _BINS + "SELECT measure, bin, count(*)::BIGINT AS n FROM bb GROUP BY 1, 2"))
 def _(m):
     return U.rf_bins_from_rollup(U.rf_rollup_bins(m.tx, m.obs))
@@ -385,6 +390,11 @@ def _(m):
     return U.channels_from_rollup(U.channel_rollup_hour(m.tx, m.obs), U.channel_sender_rollup(m.tx, m.obs), U.channel_rollup_tx(m.tx, m.obs), window=WEEK).drop("name")
 
 
+@query("channels_from_rollup_all", ORACLE["channels_from_rollup"].replace(f" WHERE hour >= {WEEK_SINCE}", ""))
+def _(m):
+    return U.channels_from_rollup(U.channel_rollup_hour(m.tx, m.obs), U.channel_sender_rollup(m.tx, m.obs), U.channel_rollup_tx(m.tx, m.obs)).drop("name")
+
+
 @query("senders_from_rollup", M.sql("obs", _CR + "SELECT sender, count(*)::BIGINT AS count FROM cl WHERE sender <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15"))
 def _(m):
     return U.senders_from_rollup(U.channel_sender_rollup(m.tx, m.obs))
@@ -455,6 +465,12 @@ def _(m):
     return U.distance_from_rollup(U.distance_hourly(h, m.obs), U.distance_bins_hourly(h, m.obs), window=WEEK)
 
 
+@query("distance_from_rollup_all", ORACLE["distance_from_rollup"].replace(f" WHERE hour >= {WEEK_SINCE}", ""))
+def _(m):
+    h = _sh(m)
+    return U.distance_from_rollup(U.distance_hourly(h, m.obs), U.distance_bins_hourly(h, m.obs))
+
+
 @query("distance_pairs_from_rollup", M.sql("obs nodes", _DS + """
 SELECT pk_a, pk_b, type, count(*)::BIGINT AS count, max(dist) AS best_dist, max(snr) AS snr_max FROM (SELECT *, least(from_pk, to_pk) AS pk_a, greatest(from_pk, to_pk) AS pk_b FROM sh) GROUP BY 1, 2, 3 ORDER BY best_dist DESC, 1, 2, 3 LIMIT 20"""))
 def _(m):

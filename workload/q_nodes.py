@@ -302,12 +302,22 @@ def _(m):
     return _ints(_r(O.metrics_summary(m.metrics, m.observers, LATER), avg_noise_floor=6), "battery_mv")
 
 
+@query("metrics_summary_all", ORACLE["metrics_summary"].replace(f" WHERE timestamp >= {L0}", ""))
+def _(m):
+    return _ints(_r(O.metrics_summary(m.metrics, m.observers, None), avg_noise_floor=6), "battery_mv")
+
+
 @query("metrics_sparkline", M.sql("metrics", f"""
 SELECT observer_id, timestamp // 3600 * 3600 AS hour, string_agg(noise_floor::VARCHAR, ',' ORDER BY timestamp, noise_floor) AS noise_floor FROM metrics WHERE timestamp >= {L0} GROUP BY 1, 2"""))
 def _(m):
     return O.metrics_sparkline(m.metrics, LATER).withColumn("noise_floor", F.array_join(F.col("noise_floor").cast("array<string>"), ","))
 
 
+@query("metrics_sparkline_all", ORACLE["metrics_sparkline"].replace(f" WHERE timestamp >= {L0}", ""))
+def _(m):
+    return O.metrics_sparkline(m.metrics, None).withColumn("noise_floor", F.array_join(F.col("noise_floor").cast("array<string>"), ","))
+
+
 _CMP = f""", p AS (SELECT hash, bool_or(observer_id = '{OBS_A}') AS a, bool_or(observer_id = '{OBS_B}') AS b FROM obs JOIN tx ON tx.id = transmission_id WHERE observer_id IN ('{OBS_A}', '{OBS_B}') {{w}} GROUP BY 1)
 """
 

@@ -5,7 +5,7 @@ from meshlake.operators import rf
 
 from . import mesh_sql as M
 from .mesh_views import NOW, MeshTables
-from .registry import query
+from .registry import ORACLE, query
 
 REGION = "EUR, mid"
 WEEK = TimeWindow.parse(window="7d", now=NOW)
@@ -111,6 +111,11 @@ def _(m):
     return _rounded(rf.rf_snr_by_type(*_args(m), window=WEEK), "avg")
 
 
+@query("rf_snr_by_type_all", ORACLE["rf_snr_by_type"].replace(f" AND first_seen >= {WEEK_SINCE}", ""))
+def _(m):
+    return _rounded(rf.rf_snr_by_type(*_args(m)), "avg")
+
+
 @query("rf_signal_over_time", M.sql("obs", """
 SELECT (timestamp // 3600) * 3600 AS hour, count(snr)::BIGINT AS count, round(avg(snr), 6) AS avg_snr
 FROM obs WHERE snr IS NOT NULL GROUP BY 1"""))

@@ -239,7 +239,7 @@ WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, to_json(text)::VARCHAR AS
  lev AS (SELECT conv_id, turn, 0 AS level FROM ids i WHERE NOT EXISTS (SELECT 1 FROM ids p WHERE p.conv_id = i.conv_id AND p.turn = i.turn - 2)
          UNION ALL SELECT i.conv_id, i.turn, level + 1 FROM lev JOIN ids i ON i.conv_id = lev.conv_id AND i.turn = lev.turn + 2),
  c AS (SELECT c.conv_id, turn, level, content, a.turn IS NOT NULL AS answered, length(text) BETWEEN 1 AND 600 AS fine,
-              '{"arguments":{' || CASE WHEN turn >= 2 THEN '"follows":"' || prior || '",' ELSE '' END || '"prompt":' || j || ',"turn":"' || turn || '"},"faults":['
+              '{"arguments":{' || CASE WHEN turn >= 2 THEN '"follows":"' || prior || '",' ELSE '' END || '"prompt":' || j || ',"turn":' || turn || '},"faults":['
               || CASE WHEN length(text) BETWEEN 1 AND 600 THEN '' ELSE '"prompt"' END || '],"id":"' || id || '","name":"reply","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS m
        FROM call c LEFT JOIN lev USING (conv_id, turn) LEFT JOIN answer a USING (conv_id, turn)),
  o AS (SELECT a.conv_id, a.turn, '{"id":"call-' || a.turn || '","result":' || to_json(content) || '}' AS m FROM answer a ANTI JOIN ids USING (conv_id, turn)),

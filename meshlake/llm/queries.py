@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, mixing, pieces, quality, sharding, suffixes, tokenfile, toolcalls, topk
+from . import jaccard, licenses, mixing, pieces, quality, sharding, suffixes, tokenfile, toolcalls, topk, trie
 from .common import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,3 +260,32 @@ def op10_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     calls, results, others = toolcalls.calls_of_turns(turns)
     return toolcalls.conversations_json(toolcalls.linked_calls(calls, results, toolcalls.REPLY), others)
+
+
+# crc32 of an ASCII string: eight steps a byte, the byte coming in at the first of them
+_CRC_SQL = ("xor(list_reduce(flatten([[4294967295::BIGINT], flatten(list_transform(range(1, len({0}) + 1), lambda i: [ascii(substr({0}, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))]), "
+            "lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384)), 4294967295)")
+
+TRIE_SQL = rf"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, m) AS place, m, n
+           FROM (SELECT conv_id, turn, coalesce(role, '') AS role, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m, len({WORDS_SQL}) AS n
+                 FROM conversations WHERE conv_id IS NOT NULL)),
+ c AS (SELECT conv_id, {_CRC_SQL.format("conv_id::VARCHAR")} % 4 AS h, conv_id - conv_id % 20 AS b FROM (SELECT DISTINCT conv_id FROM t)),
+ r AS (SELECT c.conv_id, t.place, m, n FROM c JOIN t ON t.conv_id = c.b AND t.place <= h UNION ALL SELECT c.conv_id, t.place, m, n FROM c JOIN t ON t.conv_id = c.conv_id AND t.place > h),
+ p AS (SELECT conv_id, row_number() OVER w AS d, md5(string_agg(m, ',') OVER w) AS k, n FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING)),
+ a AS (SELECT conv_id, d, k, n FROM p UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+ v AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n FROM a GROUP BY d, k),
+ u AS (SELECT v.*, q.k AS pk, pv.conv_id AS parent FROM v LEFT JOIN a q ON q.conv_id = v.conv_id AND q.d = v.d - 1 LEFT JOIN v pv ON pv.d = q.d AND pv.k = q.k),
+ kids AS (SELECT d - 1 AS d, pk AS k, count(*) AS n_children FROM u WHERE d > 0 GROUP BY ALL),
+ sub AS (SELECT q.d, q.k, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((u.n_convs - 1) * u.n) AS saved
+         FROM u LEFT JOIN kids ON kids.d = u.d AND kids.k = u.k JOIN a q ON q.conv_id = u.conv_id AND q.d <= u.d GROUP BY ALL),
+ e AS (SELECT d, k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM (SELECT conv_id, max(d) AS d, arg_max(k, d) AS k FROM a GROUP BY conv_id) GROUP BY ALL)
+SELECT conv_id, d::BIGINT AS depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved::BIGINT AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM u LEFT JOIN kids USING (d, k) JOIN sub USING (d, k) LEFT JOIN e USING (d, k)"""
+
+
+@query("op11_conversation_prefix_trie", TRIE_SQL)
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversations that share their group's first turns."""
+    turns, convs = trie.shared_starts(trie.numbered_turns(table(spark, sf_dir, "conversations")), group=20, variants=4)
+    return trie.prefix_trie(turns, convs).drop("enter", "leave")

@@ -200,9 +200,10 @@ def tour(nodes: DataFrame) -> DataFrame:
 
 def _walker(sums: tuple[str, ...]):
     def walk(batches):
-        rows = pd.concat(list(batches), ignore_index=True)
-        if not len(rows):
+        found = [b for b in batches if len(b)]
+        if not found:
             return
+        rows = pd.concat(found, ignore_index=True)
         names = list(zip(*(rows[f"a{i}"] for i in range(3)), strict=True))
         on = [None if pd.isna(c) else (int(c), int(d), bool(o)) for c, d, o in zip(*(rows[f"n{i}"] for i in range(3)), strict=True)]
         at, weights = {x: i for i, x in enumerate(names)}, rows[list(sums)].to_numpy()

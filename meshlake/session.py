@@ -53,3 +53,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The partition folders (``name=value``) in a folder."""
+    fs, p = _file_system(spark, path)
+    return sorted(str(x.getPath()) for x in (fs.listStatus(p) if fs.exists(p) else []) if "=" in x.getPath().getName())
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    fs, p = _file_system(spark, path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(to)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(p, target):
+        raise OSError(f"cannot move {path} to {to}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from meshlake.operators import distance as D, frames as X, ingest as I, observers as O, retention as T
 from meshlake.plans import rollups as U
 from meshlake.session import checkpoint_dir, cut_lineage
-from meshlake.streaming import jobs as J
+from meshlake.streaming import jobs as J, merge as G
 
 from . import mesh_sql as M
 from .mesh_views import NOW, MeshTables
@@ -572,3 +572,76 @@ def _(m):
     J.run_available(_written(m, seen), lambda df, i: df.groupBy("k").agg(F.max("timestamp").alias("t")).write.mode("overwrite").parquet(f"{root}/batch={i}"), root + "-ck")
     t = m.spark.read.parquet(root).groupBy(F.col("k").alias("public_key")).agg(F.max("t").alias("t"))
     return m.nodes.join(t, "public_key", "left").select("public_key", F.greatest("last_seen", F.coalesce("t", "last_seen")).alias("last_seen"))
+
+
+# ---- merging ingest: all hearings as broker messages, in four files that mix early and late ones ----
+
+_MERGED = {}
+
+
+def _merged(m):
+    """Folder of the ingested tables; one run serves all queries of a session."""
+    key = (m.spark.sparkContext.applicationId, m.dir)
+    if key not in _MERGED:
+        root = _root(m)
+        raw = m.obs.join(m.tx.select(F.col("id").alias("transmission_id"), F.col("raw_hex").alias("raw")), "transmission_id")
+        number = lambda k, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f',"{k}":'), F.col(c).cast("string")))
+        value = F.concat(F.lit('{"raw":"'), "raw", F.lit('","timestamp":"'), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('"'),
+                         *[F.coalesce(number(k, c), F.lit("")) for k, c in (("SNR", "snr"), ("RSSI", "rssi"), ("score", "score"))], F.lit("}"))
+        heard = raw.select(F.md5(value).alias("k"), F.concat(F.lit("mesh/EUR/"), "observer_id", F.lit("/packets")).alias("topic"), value.alias("value"), F.lit("b").alias("source"),
+                           F.timestamp_seconds(F.unix_seconds("timestamp") + 5).alias("ingest_time"), F.col("id").alias("seq"))
+        told = m.messages.filter("topic LIKE '%/status' OR topic LIKE '%/packets'").select(F.md5("value").alias("k"), "topic", "value", "source", "ingest_time", "seq")
+        G.merge_stream(_written(m, heard.unionByName(told), per_trigger=2), f"{root}/tables", f"{root}/ck", area=AREA, grain="day")
+        _MERGED[key] = f"{root}/tables"
+    return _MERGED[key]
+
+
+def _ingested(m, name):
+    return G.read(m.spark, _merged(m), name)
+
+
+_HEARD = _CH + """, hd AS (SELECT o.*, o.timestamp AS rx, ch.hash, tx.raw_hex AS raw, d_pubkey, d_name, d_lat, d_lon, error IS NULL AND fr.payload_type = 4 AS adv, CASE WHEN error IS NULL THEN
+  array_to_string(list_transform(range(hc), lambda i: upper(substr(h, 3 + 2 * po + i * 2 * hs, 2 * hs))), ',') ELSE '' END AS frame_path FROM obs o JOIN ch ON ch.id = o.transmission_id JOIN fr ON fr.id = ch.id JOIN tx ON tx.id = ch.id)
+"""
+
+
+@query("ingest_merge_packets", M.sql("obs", _HEARD + "SELECT hash, min(rx) AS first_seen, arg_min(raw, (rx, raw)) AS raw_hex, count(*)::BIGINT AS copies FROM hd GROUP BY 1"))
+def _(m):
+    return _ingested(m, "packets")
+
+
+@query("ingest_merge_hearings", M.sql("obs", _HEARD + """SELECT hash, observer_id, frame_path AS path_key, min(rx) AS timestamp, count(*)::BIGINT AS copies, arg_max(snr, (rx, id)) FILTER (snr IS NOT NULL) AS snr,
+  arg_max(rssi, (rx, id)) FILTER (rssi IS NOT NULL) AS rssi, arg_max(score, (rx, id)) FILTER (score IS NOT NULL) AS score FROM hd GROUP BY 1, 2, 3"""))
+def _(m):
+    return _ingested(m, "hearings").drop("raw_hex", "direction")
+
+
+@query("ingest_merge_nodes", M.sql("obs", _HEARD + f"""SELECT d_pubkey AS public_key, arg_max(d_name, (rx, hash)) AS name, arg_max(round(d_lat, 6), (rx, hash)) AS lat, arg_max(round(d_lon, 6), (rx, hash)) AS lon,
+  arg_max(NOT (d_lat = 0 AND d_lon = 0 OR {_pip('d_lat', 'd_lon')}), (rx, hash)) AS foreign_advert, max(rx) AS last_seen, min(rx) AS first_seen, count(DISTINCT hash)::INTEGER AS advert_count FROM hd WHERE adv GROUP BY 1"""))
+def _(m):
+    return _ingested(m, "nodes").select("public_key", "name", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "foreign_advert", "last_seen", "first_seen", "advert_count")
+
+
+@query("ingest_merge_stations", f"""WITH o AS ({M.sql("obs", "SELECT observer_id, max(timestamp) AS t FROM obs GROUP BY 1")}), s AS ({_META}
+  SELECT observer_id AS id, arg_max(name, (ingest_time, seq)) AS name, arg_max(firmware, (ingest_time, seq)) FILTER (firmware IS NOT NULL) AS firmware, arg_max(region, (ingest_time, seq)) AS iata,
+  arg_max(battery_mv, (ingest_time, seq)) AS battery_mv, max(ingest_time) AS seen, min(ingest_time) AS first_seen, count(*)::BIGINT AS packet_count FROM mt GROUP BY 1)
+SELECT s.* EXCLUDE (seen), greatest(seen, t) AS last_seen, t AS last_packet_at FROM s LEFT JOIN o ON o.observer_id = s.id""")
+def _(m):
+    return _ingested(m, "stations").select("id", "name", "firmware", "iata", "battery_mv", "first_seen", "packet_count", "last_seen", "last_packet_at")
+
+
+@query("ingest_merge_metrics", _META + """SELECT observer_id, b AS timestamp, battery_mv, noise_floor, CASE WHEN uptime_secs >= 0 THEN uptime_secs END AS uptime_secs
+FROM (SELECT *, (ingest_time + 150) // 300 * 300 AS b, row_number() OVER (PARTITION BY observer_id, (ingest_time + 150) // 300 ORDER BY ingest_time DESC, seq DESC) AS r FROM mt) WHERE r = 1""")
+def _(m):
+    return _ingested(m, "metrics").select("observer_id", "timestamp", "battery_mv", "noise_floor", "uptime_secs")
+
+
+@query("ingest_merge_quarantine", _PK + "SELECT hash, observer_id, 'too short for advert' AS reason, min(rx_time) AS dropped_at FROM pk GROUP BY 1, 2")
+def _(m):
+    return _ingested(m, "quarantine").select("hash", "observer_id", "reason", "dropped_at")
+
+
+@query("ingest_late_corrections")
+def _(m):
+    """Per table: rows that late messages met and those whose first time they moved back."""
+    return G.applied(m.spark, _merged(m)).groupBy("table").agg(F.sum("added").alias("added"), F.sum("met").alias("met"), F.sum("corrected").alias("corrected"))

@@ -6,7 +6,9 @@ Histograms are kept as rows (cell, bin, count), so merging any set of hours is o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from datetime import datetime, timedelta, timezone
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from meshlake.functions import geo, names
 from meshlake.functions.numeric import half_away
@@ -29,14 +31,30 @@ def bin_of(value: Column, measure: str) -> Column:
     return F.when(value.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(count - 1), q))).cast("int")
 
 
-def _hours(df: DataFrame, time: str, hours: DataFrame | None) -> DataFrame:
-    """Restrict to given hours: an exact semi join, plus plain bounds that prune files."""
-    df = df.withColumn("hour", hour_of(F.col(time)))
+def at_utc(seconds: int) -> datetime:
+    return datetime.fromtimestamp(seconds, timezone.utc)
+
+
+def since_hour(df: DataFrame, time: str, first: datetime) -> DataFrame:
+    """Rows from an hour on, by day folders where the table has them."""
+    df = df.filter(F.col(time) >= F.lit(first))
+    return df.filter(F.col("day") >= F.lit(first.date())) if "day" in df.columns else df
+
+
+def _hours(df: DataFrame, time: str, hours: DataFrame | list[datetime] | None) -> DataFrame:
+    """Restrict to given hours: exactly, plus bounds that prune folders and files. A list of hours needs no join."""
     if hours is None:
-        return df
-    lo, hi = hours.agg(F.min("hour")).scalar(), hours.agg(F.max("hour")).scalar()
-    near = df.filter((F.col(time) >= lo) & (F.unix_seconds(time) < F.unix_seconds(hi) + 3600))
-    return near.join(hours.select("hour"), "hour", "left_semi")
+        return df.withColumn("hour", hour_of(F.col(time)))
+    listed = hours if isinstance(hours, list) else None
+    lo, hi = (min(listed, default=None), max(listed, default=None)) if listed is not None else (
+        None if s is None else at_utc(s) for s in hours.agg(F.min(F.unix_seconds("hour")), F.max(F.unix_seconds("hour"))).first())
+    if lo is None:
+        return df.withColumn("hour", hour_of(F.col(time))).filter(F.lit(False))
+    near = since_hour(df, time, lo).filter(F.col(time) < F.lit(hi + timedelta(hours=1)))
+    if "day" in df.columns:
+        near = near.filter(F.col("day") <= F.lit(hi.date()))
+    near = near.withColumn("hour", hour_of(F.col(time)))
+    return near.filter(F.col("hour").isin(listed)) if listed is not None else near.join(hours.select("hour"), "hour", "left_semi")
 
 
 # ---- radio -----------------------------------------------------------------------------
@@ -273,7 +291,8 @@ def distance_paths_rollup(hops: DataFrame) -> DataFrame:
 
 
 def distance_path_observers(hops: DataFrame, obs: DataFrame) -> DataFrame:
-    return obs.select(F.col("transmission_id").alias("id"), "observer_id").distinct().join(hops.select("id").distinct(), "id", "left_semi")
+    """(hour, packet, station): who heard the packets of the stored paths, for a region's paths."""
+    return obs.select(F.col("transmission_id").alias("id"), "observer_id").distinct().join(hops.select("hour", "id").distinct(), "id").select("hour", "id", "observer_id")
 
 
 def distance_from_rollup(hourly: DataFrame, bins: DataFrame, observers=None, region=None, window=None) -> DataFrame:
@@ -307,31 +326,10 @@ def touched_hours(tx: DataFrame, obs: DataFrame, watermark: int, by: str = "time
     return new.select(hour_of(F.col(by)).alias("hour")).distinct()
 
 
-def write_rollup(df: DataFrame, path: str) -> None:
-    """Replace exactly the hours present in ``df``; other partitions stay.
+def write_rollup(df: DataFrame, path: str, key: str = "yyyy-MM-dd-HH") -> None:
+    """Replace exactly the hours (or, with a shorter key, days) present in ``df``; other partitions stay.
 
-    Rows are rebalanced by hour so that an hour is one file, or several when it is large.
+    Rows are rebalanced by partition so that one is one file, or several when it is large.
     """
-    day = df.withColumn("hour_key", F.date_format("hour", "yyyy-MM-dd-HH")).hint("rebalance", "hour_key")
+    day = df.withColumn("hour_key", F.date_format("hour", key)).hint("rebalance", "hour_key")
     day.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour_key").parquet(path)
-
-
-def refresh(spark: SparkSession, tx: DataFrame, obs: DataFrame, nodes: DataFrame, root: str, watermark: int, max_km: float | None = None) -> int:
-    """Rebuild every rollup for the hours touched since the watermark; returns the new watermark."""
-    top = obs.agg(F.max("id")).first()[0]
-    if top is None or top <= watermark:
-        return watermark
-    by_obs, by_tx = touched_hours(tx, obs, watermark), touched_hours(tx, obs, watermark, "first_seen")
-    hops = stored_hops(tx, obs, nodes, by_tx, max_km)
-    built = {
-        "rf_rollup": rf_rollup_hour(tx, obs, by_obs), "rf_rollup_bins": rf_rollup_bins(tx, obs, by_obs), "rf_rollup_tx": rf_rollup_tx(tx, obs, by_obs),
-        "rf_rollup_scatter": rf_rollup_scatter(tx, obs, by_obs),
-        "channel_rollup": channel_rollup_hour(tx, obs, by_tx), "channel_rollup_bins": channel_rollup_bins(tx, obs, by_tx),
-        "channel_sender_rollup": channel_sender_rollup(tx, obs, by_tx), "channel_rollup_tx": channel_rollup_tx(tx, obs, by_tx),
-        "node_rollup": node_rollup_hour(tx, obs, by_tx), "node_rollup_total": node_rollup_total(tx, by_tx),
-        "distance_hourly": distance_hourly(hops, obs), "distance_bins": distance_bins_hourly(hops, obs),
-        "distance_pair_hourly": distance_pair_hourly(hops, obs), "distance_paths": distance_paths_rollup(hops),
-    }
-    for name, df in built.items():
-        write_rollup(df, f"{root.rstrip('/')}/{name}")
-    return top

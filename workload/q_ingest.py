@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from meshlake.operators import distance as D, frames as X, ingest as I, observers as O, retention as T
-from meshlake.plans import rollups as U
+from meshlake.plans import rollups as U, upkeep as K
 from meshlake.session import checkpoint_dir, cut_lineage
 from meshlake.streaming import jobs as J, merge as G
 
@@ -645,3 +645,50 @@ def _(m):
 def _(m):
     """Per table: rows that late messages met and those whose first time they moved back."""
     return G.applied(m.spark, _merged(m)).groupBy("table").agg(F.sum("added").alias("added"), F.sum("met").alias("met"), F.sum("corrected").alias("corrected"))
+
+
+# ---- rollups kept in two increments: each equals the one that is built at once ----
+
+_KEPT = {}
+_KEPT_TABLES = ("rf_rollup", "rf_rollup_tx", "channel_rollup", "node_rollup", "distance_hourly", "distance_path_observers")
+
+
+def _kept(m, name):
+    """A rollup kept for observations up to a watermark, then for the others; one run serves all queries of a session."""
+    key = (m.spark.sparkContext.applicationId, m.dir)
+    if key not in _KEPT:
+        root = f"{_root(m)}/rollups"
+        for obs in (m.obs.filter(F.col("id") <= _WM), m.obs):
+            K.refresh(m.spark, m.tx, obs, m.nodes, root, max_km=D.MAX_KM, grain="day", only=_KEPT_TABLES)
+        _KEPT[key] = root
+    return K.kept(m.spark, _KEPT[key], name).drop("hour_key")
+
+
+@query("upkeep_rf_cells", ORACLE["rf_rollup_hour"])
+def _(m):
+    return _kept(m, "rf_rollup")
+
+
+@query("upkeep_rf_packets", ORACLE["rf_rollup_tx"])
+def _(m):
+    return _kept(m, "rf_rollup_tx")
+
+
+@query("upkeep_channel_cells", ORACLE["channel_rollup_hour"])
+def _(m):
+    return _kept(m, "channel_rollup").withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("len_min", "len_max")})
+
+
+@query("upkeep_relays", ORACLE["node_rollup_hour"])
+def _(m):
+    return _kept(m, "node_rollup")
+
+
+@query("upkeep_distance_cells", ORACLE["distance_rollup_hour"])
+def _(m):
+    return _kept(m, "distance_hourly")
+
+
+@query("upkeep_distance_path_stations", M.sql("obs nodes", _DS + "SELECT DISTINCT sh.hour, sh.id, s.observer_id FROM sh JOIN obs s ON s.transmission_id = sh.id"))
+def _(m):
+    return _kept(m, "distance_path_observers")

@@ -185,17 +185,19 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def jaccard_scores(amb_edges: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(known, prefix, candidate, jaccard) from the neighbor sets of known node and candidate.
 
-    Overlaps are counted by joining through shared neighbors, so a candidate without a common
-    neighbor costs nothing; set sizes come from degrees.
+    Only pairs that are asked for meet, and of each pair the smaller neighbor set is looked up in the larger one: the work is
+    the sum of the smaller degrees, whatever the degree of a hub.
     """
     nb = both_ways(edges)
     deg = nb.groupBy("key").agg(F.count(F.lit(1)).alias("deg"))
     pairs = edge_candidates(amb_edges, nodes)
-    near = pairs.select("known").distinct().join(nb, F.col("known") == nb.key).select("known", "other")
-    via = nb.select(F.col("key").alias("candidate"), F.col("other").alias("mid"))
-    common = (near.join(via, near.other == via.mid).groupBy("known", "candidate").agg(F.count(F.lit(1)).alias("both")))
     dk = deg.select(F.col("key").alias("known"), F.col("deg").alias("dk"))
     dc = deg.select(F.col("key").alias("candidate"), F.col("deg").alias("dc"))
+    two = pairs.select("known", "candidate").distinct().join(dk, "known").join(dc, "candidate")
+    first = F.col("dk") <= F.col("dc")
+    two = two.select("known", "candidate", F.when(first, F.col("known")).otherwise(F.col("candidate")).alias("few"), F.when(first, F.col("candidate")).otherwise(F.col("known")).alias("many"))
+    seen = two.join(nb.select(F.col("key").alias("few"), F.col("other").alias("mid")), "few")
+    common = seen.join(nb.select(F.col("key").alias("many"), F.col("other").alias("mid")), ["many", "mid"]).groupBy("known", "candidate").agg(F.count(F.lit(1)).alias("both"))
     j = (pairs.join(common, ["known", "candidate"], "left").join(dk, "known", "left").join(dc, "candidate", "left"))
     both = F.coalesce("both", F.lit(0))
     union = F.coalesce("dk", F.lit(0)) + F.coalesce("dc", F.lit(0)) - both

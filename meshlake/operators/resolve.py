@@ -119,13 +119,26 @@ def shared_contexts(context: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # ---- tiers -----------------------------------------------------------------------------
 
+def near_candidates(pairs: DataFrame, context: DataFrame, candidates: DataFrame, edges: DataFrame, now, heavy: int = 128) -> DataFrame:
+    """(ctx, prefix, other, w): strongest edge between a context and each candidate of the hops asked for in it.
+
+    Edges are labelled with the prefixes of their far end, so a context's keys meet only neighbours that are candidates,
+    however many neighbours a hub has. A context of more than ``heavy`` keys meets its edges first and the hops asked
+    for then, so keys and hops are not multiplied there.
+    """
+    asked = pairs.select("ctx", F.lower("hop").alias("prefix")).distinct()
+    cand = candidates.select("prefix", F.col("key").alias("other")).join(asked.select("prefix").distinct(), "prefix", "left_semi")
+    edge = neighbor_list(edges, now).filter("weight > 0").join(cand, "other")
+    sized = context.distinct().join(context.groupBy("ctx").agg((F.count(F.lit(1)) > heavy).alias("_heavy")), "ctx")
+    light = sized.filter("NOT _heavy").join(asked, "ctx").join(edge, ["key", "prefix"])
+    large = sized.filter("_heavy").join(edge, "key").join(asked, ["ctx", "prefix"], "left_semi")
+    cols = ["ctx", "prefix", "other", "weight", "count"]
+    return light.select(*cols).union(large.select(*cols)).groupBy("ctx", "prefix", "other").agg(F.max(F.struct("weight", "count")).alias("w"))
+
+
 def affinity_choice(pairs: DataFrame, context: DataFrame, candidates: DataFrame, edges: DataFrame, now) -> DataFrame:
     """Candidates that are graph neighbours of the context: (hop, ctx, key, weight) where one clearly wins."""
-    near = context.join(neighbor_list(edges, now), "key").groupBy("ctx", "other").agg(
-        F.max(F.struct("weight", "count")).alias("w"))
-    cand = candidates.select("prefix", F.col("key").alias("other"))
-    scored = pairs.withColumn("prefix", F.lower("hop")).join(near.join(cand, "other"), ["ctx", "prefix"]).filter(
-        F.col("w.weight") > 0)
+    scored = pairs.withColumn("prefix", F.lower("hop")).join(near_candidates(pairs, context, candidates, edges, now), ["ctx", "prefix"])
     order = [F.col("w.weight").desc(), F.col("w.count").desc(), F.col("other")]
     top2 = top_per_group(scored, ["hop", "ctx"], order, 2, "r")
     g = top2.groupBy("hop", "ctx").agg(
@@ -198,9 +211,8 @@ def hop_report(hops: DataFrame, context: DataFrame, nodes: DataFrame, edges: Dat
     """All candidates of each (hop, ctx) with their affinity, the chosen one marked, and a confidence label."""
     cand = prefix_candidates(nodes)
     picked = resolve_hops(hops, context, nodes, edges, now, with_node=False)
-    near = context.join(neighbor_list(edges, now), "key").groupBy("ctx", F.col("other").alias("key")).agg(
-        F.max(F.struct("weight", "count")).alias("w"))
-    rows = (picked.withColumn("prefix", F.lower("hop")).join(cand, "prefix").join(near, ["ctx", "key"], "left"))
+    near = near_candidates(hops, context, cand, edges, now).withColumnRenamed("other", "key")
+    rows = (picked.withColumn("prefix", F.lower("hop")).join(cand, "prefix").join(near, ["ctx", "prefix", "key"], "left"))
     label = (F.when(F.col("method").isin("unique_prefix", "neighbor_affinity"), F.col("method"))
              .otherwise(F.lit("ambiguous")))
     return rows.select("hop", "ctx", F.col("key").alias("candidate"), "name", "role",

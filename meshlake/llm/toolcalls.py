@@ -157,7 +157,7 @@ def _rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def linked_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Schema]) -> DataFrame:
     """Every call with its result, level and faults, and every result without a call (tool null)."""
-    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
+    conv = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))  # a null id is not an empty one
     calls = stored(calls.select("conv_id", conv.alias("conv"), "call_id", "tool", "arguments", "refs", "seq"), "calls")
     answers = results.select("conv_id", conv.alias("conv"), "call_id", "content").groupBy("conv_id", "conv", "call_id").agg(F.min("content").alias("content"))
     faults = F.array(F.lit("?"))

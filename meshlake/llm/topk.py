@@ -11,7 +11,8 @@ the smaller id: a subtree whose best possible score equals the k-th one is searc
 
 Defined results: null vectors and vectors with a null, NaN or infinite component take no part; shorter vectors
 count as filled up with zeros; rows without an id take no part; fewer than k candidates give all; equal
-rows (same id and vector) count as one; scores beyond a 64-bit integer are set to its limit; no rows give no rows.
+rows (same id and vector) count as one, other rows of one id are candidates each, but not for their own id, and the smallest vector of an id
+is its query; columns of other names are not read; scores beyond a 64-bit integer are set to its limit; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, stored
 
 ship(__name__)
 
@@ -124,7 +125,6 @@ def _searcher(k: int):
     def run(shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        shard = shard.drop_duplicates("vec_id")
         width = max(shard["v"].map(len).max(), queries["wanted"].map(len).max())
         points, asked = _matrix(shard["v"], width, np.float64), _matrix(queries["wanted"], width, np.float64)
         if exact_dtype(points, asked) is object:
@@ -151,20 +151,21 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, id:
           shard_rows: int = 8192, block_rows: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score for every row for which `queries` holds, against all rows but itself."""
     rows = vectors.select(F.col(id).cast("long").alias("vec_id"), whole_numbers(F.col(vector), scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("asked"))
-    rows = rows.filter(F.col("v").isNotNull() & F.col("vec_id").isNotNull())
+    rows = rows.filter(F.col("v").isNotNull() & F.col("vec_id").isNotNull()).groupBy("vec_id", "v").agg(F.max("asked").alias("asked"))
+    rows = stored(rows, "vectors")
     n, asked = rows.select(F.count(F.lit(1)), F.count(F.when(F.col("asked"), 1))).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // block_rows))
     # dealt by different hashes, so that no block meets its own rows only
     shard = F.pmod(F.xxhash64(F.lit("shard"), "vec_id"), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int")
     kept = rows.select("vec_id", "v", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    q = rows.filter("asked").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("wanted"), block.alias("block"))
+    q = rows.filter("asked").groupBy("vec_id").agg(F.min("v").alias("v")).select(F.col("vec_id").alias("query_id"), F.col("v").alias("wanted"), block.alias("block"))
     home = F.pmod(F.xxhash64(F.lit("home"), "query_id"), F.lit(shards)).cast("int")
 
     def searched(some: DataFrame) -> DataFrame:
         return kept.groupBy("shard", "block").cogroup(some.groupBy("shard", "block")).applyInPandas(_searcher(k), RESULT)
 
-    first = searched(q.withColumns({"shard": home, "known": F.lit(None).cast("long")}))
+    first = stored(searched(q.withColumns({"shard": home, "known": F.lit(None).cast("long")})), "first")
     if shards > 1:
         bound = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("known"))
         others = q.join(bound, "query_id", "left").withColumn("shard", F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home)))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshlake.llm import negatives, pii, queries, tagger, trie
+from meshlake.llm import negatives, pii, queries, tagger, toolcalls, topk, trie
 from meshlake.llm.topk import LIMIT
 
 
@@ -298,3 +298,26 @@ def test_negatives_query_equals_brute_force(spark):
     rows = [(r.vec_id, str((r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label), r.embedding) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()]
     got = queries.QUERIES["op13_hard_negative_mining"](spark, d)
     assert sorted(tuple(r) for r in got.collect()) == brute_negatives(rows, every=100, k=5)
+
+
+# results that depended on the order of rows or mixed keys
+
+
+def test_top_k_does_not_depend_on_the_order_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 5.0]), (1, [2.0, 0.0]), (1, [0.0, 3.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0])]
+    want = None
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        got = topk.top_k(spark.createDataFrame(order, "vec_id long, embedding array<double>").coalesce(1), F.col("vec_id") == 0, k=5, scale=1, shard_rows=2)
+        got = sorted(map(tuple, got.collect()))
+        assert got == (want := want or got)
+    # the query is the smaller vector of id 0, [0, 5]
+    assert want == [(0, 1, 1, 15), (0, 2, 2, 5), (0, 3, 1, 0)]
+
+
+def test_null_and_empty_conversation_ids_link_apart(spark):
+    calls = spark.createDataFrame([(None, "a", "reply", "{}", [], 0), ("", "a", "reply", "{}", [], 0)], "conv_id string, call_id string, tool string, arguments string, refs array<string>, seq long")
+    results = spark.createDataFrame([(None, "a", "of null"), ("", "a", "of empty")], "conv_id string, call_id string, content string")
+    got = {r.conv_id: r.content for r in toolcalls.linked_calls(calls, results, toolcalls.REPLY).collect()}
+    assert got == {None: "of null", "": "of empty"}
+    out = toolcalls.conversations_json(toolcalls.linked_calls(calls, results, toolcalls.REPLY)).collect()
+    assert sorted((r.n_calls, r.n_linked) for r in out) == [(1, 1), (1, 1)]

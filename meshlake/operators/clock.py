@@ -189,7 +189,7 @@ def _fold_series(batches, points: int | None = None):
         yield pd.DataFrame(out, columns=["public_key", "points", "drift"])
 
 
-def node_drift(hashes: DataFrame, skew: DataFrame, points: int | None = 200) -> DataFrame:
+def node_drift(hashes: DataFrame, skew: DataFrame, points: int | None = None) -> DataFrame:
     """Seconds per day a node's clock gains, by the median of pairwise slopes of the last ``points`` (None: all).
 
     Clock corrections are removed by comparing with the last kept point, a fold no window

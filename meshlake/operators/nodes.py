@@ -11,6 +11,8 @@ from meshlake.functions.numeric import half_away, true_median, trunc_round
 from meshlake.functions.ranks import top_per_group, with_previous
 from meshlake.functions.time import TimeWindow, hour_of, ts_lit, utc
 
+from meshlake.session import cut_lineage
+
 from . import resolve as R
 from .clock import mean_tenths
 from .packets import best_observation, heard_ids, heard_in, node_links, obs_in_region, region_codes, seen_in
@@ -25,8 +27,9 @@ def hours_before(now: datetime | str, hours: float) -> Column:
     return F.timestamp_micros(F.unix_micros(ts_lit(now)) - F.lit(int(hours * 3_600_000_000)))
 
 
-def node_rows(tx: DataFrame, obs: DataFrame, now=None, days: int | None = None, pubkeys: DataFrame | None = None) -> DataFrame:
-    """(public_key, packet) rows with the packet's representative observation."""
+def node_rows(tx: DataFrame, obs: DataFrame, now=None, days: int | None = None, pubkeys: DataFrame | None = None,
+              best: DataFrame | None = None) -> DataFrame:
+    """(public_key, packet) rows with the packet's representative observation, from the kept table where there is one."""
     head = tx
     if days is not None:
         window = TimeWindow(utc(now) - timedelta(days=days), None)
@@ -35,7 +38,9 @@ def node_rows(tx: DataFrame, obs: DataFrame, now=None, days: int | None = None,
     links = node_links(head, obs)
     if pubkeys is not None:
         links = links.join(pubkeys.select("public_key"), "public_key", "left_semi")
-    best = best_observation(obs, ("path", "snr", "rssi", "observer_id")).withColumnRenamed("transmission_id", "id")
+        if best is None:  # the packets of some nodes only
+            obs = obs.join(links.select(F.col("id").alias("transmission_id")).distinct(), "transmission_id", "left_semi")
+    best = best_observation(obs if best is None else best, ("path", "snr", "rssi", "observer_id")).withColumnRenamed("transmission_id", "id")
     return links.join(head.select("id", "hash", "first_seen", "payload_type", "decoded"), "id").join(best, "id", "left").withColumn(
         "observation_count", F.coalesce("observation_count", F.lit(0)))
 
@@ -44,7 +49,7 @@ def _today(now) -> Column:
     return F.date_trunc("day", ts_lit(now))
 
 
-def bulk_health(tx, obs, nodes, observers, now, limit: int | None = 50, region: str | None = None) -> DataFrame:
+def bulk_health(tx, obs, nodes, observers, now, limit: int | None = 50, region: str | None = None, best: DataFrame | None = None) -> DataFrame:
     """Most recently seen nodes (all without ``limit``) with their packet totals."""
     base = nodes.select("public_key", "name", "role", "lat", "lon", "last_seen")
     if region_codes(region) is not None:
@@ -52,7 +57,7 @@ def bulk_health(tx, obs, nodes, observers, now, limit: int | None = 50, region:
         keys = node_links(tx, obs).join(near, F.col("id") == near.transmission_id, "left_semi").select("public_key").distinct()
         base = base.join(keys, "public_key", "left_semi")
     top = base if limit is None else base.orderBy(F.col("last_seen").desc(), "public_key").limit(limit)
-    rows = node_rows(tx, obs, pubkeys=None if limit is None and region_codes(region) is None else top)
+    rows = node_rows(tx, obs, pubkeys=None if limit is None and region_codes(region) is None else top, best=best)
     agg = rows.groupBy("public_key").agg(
         F.count(F.lit(1)).alias("packets"), F.sum("observation_count").alias("obs"),
         F.count_if(F.col("first_seen") > _today(now)).alias("today"), F.avg("snr").alias("avg_snr"), F.max("first_seen").alias("last_heard"))
@@ -75,10 +80,10 @@ def node_observer_stats(tx, obs, observers, now=None, days: int | None = None, p
 node_observer_coverage = node_observer_stats
 
 
-def node_health(tx, obs, now, pubkeys=None) -> DataFrame:
+def node_health(tx, obs, now, pubkeys=None, best=None) -> DataFrame:
     """Totals per node, with the rounded mean hop count of its relayed packets."""
     n = F.size("path")
-    return node_rows(tx, obs, pubkeys=pubkeys).groupBy("public_key").agg(
+    return node_rows(tx, obs, pubkeys=pubkeys, best=best).groupBy("public_key").agg(
         F.count(F.lit(1)).alias("total_transmissions"), F.sum("observation_count").alias("total_observations"),
         F.count_if(F.col("first_seen") > _today(now)).alias("packets_today"), F.avg("snr").alias("avg_snr"),
         F.coalesce(half_away(F.avg(F.when(n > 0, n)), 0), F.lit(0.0)).cast("int").alias("avg_hops"), F.max("first_seen").alias("last_heard"))
@@ -115,8 +120,8 @@ def _field(name: str, tx: DataFrame) -> Column:
     return F.col(f"decoded.{name}") if name in [f.name for f in tx.schema["decoded"].dataType.fields] else F.lit(None).cast("string")
 
 
-def peer_rows(tx, obs, now, days: int, pubkeys=None) -> DataFrame:
-    r = node_rows(tx, obs, now, days, pubkeys)
+def peer_rows(tx, obs, now, days: int, pubkeys=None, rows: DataFrame | None = None) -> DataFrame:
+    r = node_rows(tx, obs, now, days, pubkeys) if rows is None else rows
     f = lambda n: _field(n, tx)
     full = lambda a, b: F.coalesce(F.when(f(a) != "", f(a)), f(b))
     peers = F.array(F.struct(f("sender_key").alias("k"), full("sender_name", "sender_short_name").alias("n")),
@@ -140,9 +145,12 @@ def node_uptime_heatmap(tx, obs, now, days: int = 7, pubkeys=None) -> DataFrame:
         "public_key", (F.dayofweek("first_seen") - 1).alias("day_of_week"), F.hour("first_seen").alias("hour")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def node_computed_stats(tx, obs, now, days: int = 7, pubkeys=None) -> DataFrame:
-    """Availability, longest silence, signal grade, relay share and daily mean per node."""
-    r = node_rows(tx, obs, now, days, pubkeys)
+def node_computed_stats(tx, obs, now, days: int = 7, pubkeys=None, best=None) -> DataFrame:
+    """Availability, longest silence, signal grade, relay share and daily mean per node.
+
+    The window's rows are written once, as three aggregates read them.
+    """
+    r = cut_lineage(node_rows(tx, obs, now, days, pubkeys, best))
     hours = r.select("public_key", hour_of(F.col("first_seen")).alias("hour")).distinct()
     gaps = with_previous(hours, ["public_key"], ["hour"], F.to_date("hour"), ["hour"])
     gap = (F.unix_seconds("hour") - F.unix_seconds("prev_hour")) * 1000
@@ -151,7 +159,7 @@ def node_computed_stats(tx, obs, now, days: int = 7, pubkeys=None) -> DataFrame:
     g = r.groupBy("public_key").agg(
         F.count(F.lit(1)).alias("total_packets"), F.avg("snr").alias("mean"), F.coalesce(F.stddev_pop("snr"), F.lit(0.0)).alias("dev"),
         F.count_if(n > 0).alias("with_path"), F.count_if(n > 1).alias("relayed"), F.count_distinct("observer_id").alias("unique_observers"))
-    peers = peer_rows(tx, obs, now, days, pubkeys).groupBy("public_key").agg(F.count(F.lit(1)).alias("unique_peers"))
+    peers = peer_rows(tx, obs, now, days, rows=r).groupBy("public_key").agg(F.count(F.lit(1)).alias("unique_peers"))
     j = g.join(silence, "public_key").join(peers, "public_key", "left")
     mean, dev = F.coalesce("mean", F.lit(0.0)), F.col("dev")
     grade = (F.when((mean > 15) & (dev < 2), "A").when(mean > 15, "A-").when((mean > 12) & (dev < 3), "B+").when(mean > 8, "B")

@@ -92,13 +92,23 @@ def seen_in(tx: DataFrame, window: TimeWindow | None) -> DataFrame:
 # ---- representative observation --------------------------------------------------------
 
 def best_observation(obs: DataFrame, cols: tuple[str, ...] = ("path", "snr", "rssi", "observer_id", "timestamp")) -> DataFrame:
-    """One row per transmission: longest path, then newest, then smallest id."""
+    """One row per transmission: longest path, then newest, then smallest id.
+
+    ``obs`` may also be the table kept of these rows (`best_table`, `plans.upkeep`), which is read as it is.
+    """
+    if "observation_count" in obs.columns:
+        return obs.select("transmission_id", *cols, "observation_count")
     order = F.struct(F.coalesce(F.size("path"), F.lit(0)), F.col("timestamp"), (-F.col("id")))
     best = obs.groupBy("transmission_id").agg(
         F.max_by(F.struct(*cols), order).alias("_best"), F.count(F.lit(1)).alias("observation_count"))
     return best.select("transmission_id", *[F.col("_best")[c].alias(c) for c in cols], "observation_count")
 
 
+def best_table(obs: DataFrame) -> DataFrame:
+    """What reports read of each packet's best observation, to be kept."""
+    return best_observation(obs, ("path", "snr", "rssi", "observer_id", "timestamp", "resolved_path"))
+
+
 def with_best(tx: DataFrame, obs: DataFrame, cols: tuple[str, ...] = ("path", "snr", "rssi", "observer_id", "timestamp"),
               how: str = "inner") -> DataFrame:
     best = best_observation(obs, cols)

@@ -16,7 +16,7 @@ from meshlake.functions.ranks import top_per_group
 from meshlake.functions.time import TimeWindow, hour_of
 from meshlake.operators import channels as C, distance as D, resolve as R
 from meshlake.operators.nodes import hop_keys, hours_before
-from meshlake.operators.packets import region_codes, region_observers
+from meshlake.operators.packets import best_table, region_codes, region_observers
 
 # fixed values: first bin, width and number of bins per measure
 BINS = {"snr": (-30, 1, 50), "rssi": (-130, 1, 110), "size": (0, 4, 64), "length": (0, 16, 32), "dist": (0, 12, 25)}
@@ -57,6 +57,14 @@ def _hours(df: DataFrame, time: str, hours: DataFrame | list[datetime] | None) -
     return near.filter(F.col("hour").isin(listed)) if listed is not None else near.join(hours.select("hour"), "hour", "left_semi")
 
 
+# ---- packets ---------------------------------------------------------------------------
+
+def best_rows(tx: DataFrame, obs: DataFrame, hours=None) -> DataFrame:
+    """Best observation of each packet of the hours, under the packet's hour."""
+    head = _hours(tx, "first_seen", hours).select(F.col("id").alias("transmission_id"), "hour")
+    return best_table(obs.join(head, "transmission_id", "left_semi")).join(head, "transmission_id")
+
+
 # ---- radio -----------------------------------------------------------------------------
 
 def _rf_rows(tx, obs, hours=None) -> DataFrame:

@@ -81,6 +81,7 @@ def builders(tx: DataFrame, obs: DataFrame, nodes: DataFrame, touched: Touched,
         return hops[0]
 
     return {
+        "best_observation": (seen, lambda: U.best_rows(tx, after, seen)),
         "rf_rollup": (heard, lambda: U.rf_rollup_hour(tx, obs, heard)), "rf_rollup_bins": (heard, lambda: U.rf_rollup_bins(tx, obs, heard)),
         "rf_rollup_tx": (heard, lambda: U.rf_rollup_tx(tx, obs, heard)), "rf_rollup_scatter": (heard, lambda: U.rf_rollup_scatter(tx, obs, heard)),
         "channel_rollup": (seen, lambda: U.channel_rollup_hour(tx, after, seen)), "channel_rollup_bins": (seen, lambda: U.channel_rollup_bins(tx, after, seen)),

@@ -35,7 +35,7 @@ def facts(spark):
     full = F.transform("path", lambda h: F.concat(h, F.lit("0" * 62)))
     o = o.select("id", "transmission_id", "observer_id", F.lit("rx").alias("direction"), "snr", "rssi", F.lit(1).alias("score"), "path", full.alias("resolved_path"), F.col("t").cast("timestamp").alias("timestamp"),
                  F.lit(None).cast("string").alias("raw_hex"))
-    n = spark.createDataFrame([(k, f"n{i}", "repeater", 40.0 + i / 10, -118.0) for i, k in enumerate(NODES)], "public_key string, name string, role string, lat double, lon double")
+    n = spark.createDataFrame([(k, f"n{i}", "repeater", 40.0 + i / 10, -118.0, i) for i, k in enumerate(NODES)], "public_key string, name string, role string, lat double, lon double, advert_count int")
     return t, o, n
 
 
@@ -79,6 +79,23 @@ def test_kept_rollups_equal_a_rebuild(spark):
     assert not exists(spark, f"{root}/rf_rollup/hour_key=2024-01-01-03") and not exists(spark, f"{root}/_aside/rf_rollup")
 
 
+def test_reports_read_the_kept_best_observation(spark):
+    from meshlake.operators import distance as D, nodes as N, packets as P, topology as TO
+
+    tx, obs, nodes = facts(spark)
+    best = P.best_table(obs)
+    assert best.count() == tx.count()
+    same = lambda f: sorted(map(str, f(obs).collect())) == sorted(map(str, f(best).collect()))
+    edges = spark.createDataFrame([(NODES[0], NODES[1], 9, 3)], "node_a string, node_b string, count long, observer_count int").withColumn("last_seen", F.lit("2024-01-05").cast("timestamp"))
+    now = "2024-01-06T00:00:00Z"
+    assert same(lambda o: TO.topo_top_repeaters(tx, o, None, nodes, edges, now)) and same(lambda o: D.distance_hops(tx, o, nodes, edges, now))
+    for f in (N.node_health, N.node_computed_stats):
+        assert sorted(map(str, f(tx, obs, now).collect())) == sorted(map(str, f(tx, obs, now, best=best).collect()))
+    few = nodes.limit(1)
+    health = N.node_health(tx, obs, now)
+    assert sorted(map(str, N.node_health(tx, obs, now, pubkeys=few).collect())) == sorted(map(str, health.join(few, "public_key", "left_semi").collect()))
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

@@ -11,7 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from meshlake.operators import graph
+from meshlake.operators import distance, graph, packets
 from meshlake.session import cut_lineage
 
 BASE = 1704067200  # 2024-01-01T00:00:00Z, start of the 30-day capture
@@ -75,6 +75,8 @@ class MeshTables:
     obs = cached_property(lambda self: cut_lineage(self._obs_view))
     metrics = cached_property(lambda self: cut_lineage(self._metrics_view))
     messages = cached_property(lambda self: cut_lineage(self._messages_view))
+    best = cached_property(lambda self: cut_lineage(packets.best_table(self.obs)))
+    hops = cached_property(lambda self: cut_lineage(distance.distance_hops(self.tx, self.best, self.nodes, self.edges, NOW, max_km=distance.MAX_KM)))
     edges = cached_property(lambda self: cut_lineage(graph.neighbor_edges(self.tx, self.obs, self.nodes)))
 
     def table(self, name: str) -> DataFrame:

@@ -176,7 +176,8 @@ dh AS (SELECT p.id, hash, first_seen, b.snr, p.pos, from_pk, from_name, to_pk, t
 
 
 def _hops(m: MeshTables):
-    return cut_lineage(D.distance_hops(m.tx, m.obs, m.nodes, edges(m), NOW, max_km=D.MAX_KM))
+    """The hop table that all distance reports read."""
+    return m.hops
 
 
 @query("distance_hops", M.sql("best edges", _DIST + """

@@ -45,7 +45,7 @@ def _(m):
 SELECT public_key, count(*)::BIGINT AS total_transmissions, sum(oc)::BIGINT AS total_observations, count(*) FILTER (first_seen > {T} // 86400 * 86400)::BIGINT AS packets_today,
   round(avg(snr), 6) AS avg_snr, coalesce(floor(avg(len(path)) FILTER (len(path) > 0) + 0.5e0), 0)::INTEGER AS avg_hops, max(first_seen) AS last_heard FROM nr GROUP BY 1"""))
 def _(m):
-    return _r(N.node_health(m.tx, m.obs, NOW), avg_snr=6)
+    return _r(N.node_health(m.tx, m.obs, NOW, best=m.best), avg_snr=6)
 
 
 @query("node_recent_packets", M.sql("best", _NR + """
@@ -111,7 +111,7 @@ SELECT a.public_key, least({tr('hours * 100e0 / 168e0', 1)}, 100) AS availabilit
   {tr('me', 1)} AS snr_mean, {tr('dv', 1)} AS snr_stddev, CASE WHEN wp > 0 THEN {tr('re * 100e0 / wp', 1)} ELSE 0 END AS relay_pct, n AS total_packets, uo AS unique_observers, coalesce(up, 0) AS unique_peers, {tr('n / 7e0', 1)} AS avg_packets_per_day
 FROM ag a JOIN si ON si.public_key = a.public_key LEFT JOIN pc ON pc.public_key = a.public_key"""))
 def _(m):
-    return _ints(N.node_computed_stats(m.tx, m.obs, NOW), "longest_silence_start")
+    return _ints(N.node_computed_stats(m.tx, m.obs, NOW, best=m.best), "longest_silence_start")
 
 
 _RP = """, rp AS (SELECT DISTINCT hop, id, first_seen FROM (SELECT lower(unnest(path)) AS hop, transmission_id AS t FROM obs UNION ALL SELECT unnest(resolved_path), transmission_id FROM obs) JOIN tx ON tx.id = t WHERE hop <> '' AND payload_type <> 4)"""

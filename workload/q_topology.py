@@ -16,11 +16,11 @@ def edges(m: MeshTables):
 
 
 def _a(m):
-    return m.tx, m.obs, m.observers
+    return m.tx, m.best, m.observers
 
 
 def _full(m):
-    return m.tx, m.obs, m.observers, m.nodes, edges(m), NOW
+    return m.tx, m.best, m.observers, m.nodes, edges(m), NOW
 
 
 _P = ", p AS (SELECT tx.id, d_pubkey, observer_id, path, snr FROM tx JOIN best ON best.transmission_id = tx.id WHERE len(path) > 0)\n"

@@ -9,7 +9,7 @@ from tools.compare import TABLES, rows
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["rf_summary", "rf_histogram_snr", "filter_packets", "dsl_predicates", "type_samples", "topo_top_pairs", "resolve_hops", "jaccard_disambiguate",
           "distance_summary", "subpath_counts", "channel_analytics", "hash_collisions", "node_computed_stats", "repeater_liveness", "metrics_deltas",
-          "node_skew", "decode_adverts", "content_hash", "rf_from_rollup", "distance_from_rollup", "ingest_stream", "hourly_tumbling", "stream_dedup"]
+          "node_skew", "decode_adverts", "content_hash", "rf_from_rollup", "distance_from_rollup", "ingest_stream", "hourly_tumbling", "stream_dedup", "ingest_merge_hearings", "ingest_merge_nodes", "topo_hop_stats"]
 
 
 ALL_TIME = ["rf_snr_by_type_all", "rf_from_rollup_all", "channels_from_rollup_all", "distance_from_rollup_all", "metrics_summary_all", "metrics_sparkline_all", "subpath_top_all"]

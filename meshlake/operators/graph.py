@@ -158,20 +158,20 @@ def _merge(base: DataFrame, amb: DataFrame, found: DataFrame) -> tuple[DataFrame
     return base.select(*cols).unionByName(new.select(*cols)), rest
 
 
-def resolve_ambiguous(tx: DataFrame, obs: DataFrame, nodes: DataFrame, now) -> DataFrame:
+def resolve_ambiguous(tx: DataFrame, obs: DataFrame, nodes: DataFrame, now, max_km: float = MAX_EDGE_KM) -> DataFrame:
     """Edge table after context resolution of ambiguous edges."""
-    rows, amb, found = _context_stage(tx, obs, nodes, now)
+    rows, amb, found = _context_stage(tx, obs, nodes, now, max_km)
     return edge_table(_merge(rows, amb, found)[0])
 
 
-def _context_stage(tx, obs, nodes, now):
+def _context_stage(tx, obs, nodes, now, max_km=MAX_EDGE_KM):
     """Station rows of certain edges, ambiguous rows, and what context resolves; each a written table.
 
     The graph is small next to the packets (one row per pair and station), and later stages read
     these tables several times.
     """
     known = cut_lineage(classify(adjacency(tx, obs), nodes))
-    rows = cut_lineage(by_station(_far_apart(_oriented(known), nodes, MAX_EDGE_KM).filter(~F.col("far"))))
+    rows = cut_lineage(by_station(_far_apart(_oriented(known), nodes, max_km).filter(~F.col("far"))))
     amb = known.filter(F.col("other").isNull())
     found = cut_lineage(ambiguous_resolution(amb.withColumnRenamed("hop", "prefix"), nodes, cut_lineage(edge_table(rows)), now))
     return rows, amb, found
@@ -218,14 +218,14 @@ def jaccard_choice(amb_edges: DataFrame, nodes: DataFrame, edges: DataFrame) ->
     return g.filter(F.col("second").isNotNull() & clear).select("known", "prefix", "pubkey", "best", "second")
 
 
-def jaccard_disambiguate(tx: DataFrame, obs: DataFrame, nodes: DataFrame, now) -> DataFrame:
+def jaccard_disambiguate(tx: DataFrame, obs: DataFrame, nodes: DataFrame, now, max_km: float = MAX_EDGE_KM) -> DataFrame:
     """Full graph: certain edges, then context resolution, then neighborhood similarity."""
-    return full_graph(tx, obs, nodes, now).filter(~F.col("ambiguous")).drop("ambiguous", "prefix", "candidates")
+    return full_graph(tx, obs, nodes, now, max_km).filter(~F.col("ambiguous")).drop("ambiguous", "prefix", "candidates")
 
 
-def full_graph(tx: DataFrame, obs: DataFrame, nodes: DataFrame, now) -> DataFrame:
+def full_graph(tx: DataFrame, obs: DataFrame, nodes: DataFrame, now, max_km: float = MAX_EDGE_KM) -> DataFrame:
     """Edges of the finished graph, ambiguous ones included (``node_b`` null, ``prefix`` set)."""
-    rows, amb, found = _context_stage(tx, obs, nodes, now)
+    rows, amb, found = _context_stage(tx, obs, nodes, now, max_km)
     rows, rest = (cut_lineage(t) for t in _merge(rows, amb, found))
     rest_edges = rest.groupBy("known", F.col("hop").alias("prefix")).agg(
         *_sums(), F.count(F.lit(1)).alias("observer_count"), F.max("candidates").alias("candidates"))

@@ -128,12 +128,12 @@ def near_candidates(pairs: DataFrame, context: DataFrame, candidates: DataFrame,
     """
     asked = pairs.select("ctx", F.lower("hop").alias("prefix")).distinct()
     cand = candidates.select("prefix", F.col("key").alias("other")).join(asked.select("prefix").distinct(), "prefix", "left_semi")
-    edge = neighbor_list(edges, now).filter("weight > 0").join(cand, "other")
+    near = neighbor_list(edges, now).filter("weight > 0")
     sized = context.distinct().join(context.groupBy("ctx").agg((F.count(F.lit(1)) > heavy).alias("_heavy")), "ctx")
-    light = sized.filter("NOT _heavy").join(asked, "ctx").join(edge, ["key", "prefix"])
-    large = sized.filter("_heavy").join(edge, "key").join(asked, ["ctx", "prefix"], "left_semi")
-    cols = ["ctx", "prefix", "other", "weight", "count"]
-    return light.select(*cols).union(large.select(*cols)).groupBy("ctx", "prefix", "other").agg(F.max(F.struct("weight", "count")).alias("w"))
+    strongest = F.max(F.struct("weight", "count")).alias("w")
+    light = sized.filter("NOT _heavy").join(asked, "ctx").join(near.join(cand, "other"), ["key", "prefix"]).groupBy("ctx", "prefix", "other").agg(strongest)
+    large = sized.filter("_heavy").join(near, "key").groupBy("ctx", "other").agg(strongest).join(cand, "other").join(asked, ["ctx", "prefix"], "left_semi")
+    return light.unionByName(large)
 
 
 def affinity_choice(pairs: DataFrame, context: DataFrame, candidates: DataFrame, edges: DataFrame, now) -> DataFrame:

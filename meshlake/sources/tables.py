@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meshlake import schemas
 from meshlake.functions import geo
-from meshlake.functions.time import ts_lit
+from meshlake.functions.time import TimeWindow, ts_lit, utc
+from meshlake.operators.packets import heard_in, seen_in
 
 TABLES = {
     "transmissions": schemas.TRANSMISSIONS, "observations": schemas.OBSERVATIONS, "nodes": schemas.NODES,
@@ -46,19 +47,23 @@ def _joined(tx: DataFrame, obs: DataFrame, observers: DataFrame) -> DataFrame:
             .join(who, "observer_id", "left").drop("transmission_id"))
 
 
+def _from(tx: DataFrame, obs: DataFrame, window: TimeWindow) -> tuple[DataFrame, DataFrame]:
+    """Packets with a time in the window and the observations they can have, by day folders where there are."""
+    return seen_in(tx, window).filter(F.col("first_seen").isNotNull()), heard_in(obs, window)
+
+
 def load_packets(tx: DataFrame, obs: DataFrame, observers: DataFrame, since: datetime | str | None = None,
                  ordered: bool = False) -> DataFrame:
     """Packets with their observations and observers, optionally from a cutoff on."""
-    head = tx if since is None else tx.filter(F.col("first_seen") >= ts_lit(since))
-    out = _joined(head, obs, observers)
+    out = _joined(tx, obs, observers) if since is None else _joined(*_from(tx, obs, TimeWindow(utc(since), None)), observers)
     return out.orderBy("first_seen", F.col("timestamp").desc()) if ordered else out
 
 
 def load_packets_chunk(tx: DataFrame, obs: DataFrame, observers: DataFrame, since: datetime | str,
                        until: datetime | str) -> DataFrame:
     """Same for a half-open time range, for back-filling in pieces."""
-    head = tx.filter((F.col("first_seen") >= ts_lit(since)) & (F.col("first_seen") < ts_lit(until)))
-    return _joined(head, obs, observers)
+    head, heard = _from(tx, obs, TimeWindow(utc(since), utc(until)))
+    return _joined(head.filter(F.col("first_seen") < ts_lit(until)), heard, observers)
 
 
 def packets_view(tx: DataFrame, obs: DataFrame, observers: DataFrame) -> DataFrame:

@@ -135,7 +135,7 @@ def test_path_inspect_keeps_every_chain_step_and_answer(spark):
 
 # ---- clocks ----
 
-def brute_drift(points):
+def brute_drift(points, last=None):
     if points[-1][0] - points[0][0] < 3600:
         return 0.0
     kept = [points[0]]
@@ -144,7 +144,7 @@ def brute_drift(points):
             kept.append(p)
     if len(kept) < 2 or kept[-1][0] - kept[0][0] < 3600:
         kept = points
-    kept = kept[-200:]
+    kept = kept[-last:] if last else kept
     s = [(b[1] - a[1]) / (b[0] - a[0]) for i, a in enumerate(kept) for b in kept[i + 1:] if b[0] > a[0]]
     d = statistics.median(s) * 86400
     return 0.0 if abs(d) > 86400 else d
@@ -177,10 +177,11 @@ def test_drift_equals_brute_force(spark):
         rows += [(n, f"{n}{i:04d}", t, v) for i, (t, v) in enumerate(pts)]
     h = spark.createDataFrame(rows, "public_key string, hash string, last_observed_ts long, median_skew double")
     sk = spark.createDataFrame([(n, "ok") for n in series], "public_key string, severity string")
-    got = {r.public_key: r.drift_per_day for r in K.node_drift(h, sk).collect()}
-    assert set(got) == {"slow", "jumpy", "brief"}
-    for n, d in got.items():
-        assert d == pytest.approx(brute_drift(series[n]), abs=0.011)
+    for last in (None, 200):  # the whole series, as by default, or its end
+        got = {r.public_key: r.drift_per_day for r in (K.node_drift(h, sk) if last is None else K.node_drift(h, sk, points=last)).collect()}
+        assert set(got) == {"slow", "jumpy", "brief"}
+        for n, d in got.items():
+            assert d == pytest.approx(brute_drift(series[n], last), abs=0.011)
 
 
 @pytest.mark.parametrize("skew,label", [(0, "ok"), (-299.9, "ok"), (300, "warning"), (-3600, "critical"), (86400 * 30, "absurd"), (86400 * 365, "no_clock")])

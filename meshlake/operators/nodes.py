@@ -11,8 +11,6 @@ from meshlake.functions.numeric import half_away, true_median, trunc_round
 from meshlake.functions.ranks import top_per_group, with_previous
 from meshlake.functions.time import TimeWindow, hour_of, ts_lit, utc
 
-from meshlake.session import cut_lineage
-
 from . import resolve as R
 from .clock import mean_tenths
 from .packets import best_observation, heard_ids, heard_in, node_links, obs_in_region, region_codes, seen_in
@@ -146,11 +144,8 @@ def node_uptime_heatmap(tx, obs, now, days: int = 7, pubkeys=None) -> DataFrame:
 
 
 def node_computed_stats(tx, obs, now, days: int = 7, pubkeys=None, best=None) -> DataFrame:
-    """Availability, longest silence, signal grade, relay share and daily mean per node.
-
-    The window's rows are written once, as three aggregates read them.
-    """
-    r = cut_lineage(node_rows(tx, obs, now, days, pubkeys, best))
+    """Availability, longest silence, signal grade, relay share and daily mean per node."""
+    r = node_rows(tx, obs, now, days, pubkeys, best)
     hours = r.select("public_key", hour_of(F.col("first_seen")).alias("hour")).distinct()
     gaps = with_previous(hours, ["public_key"], ["hour"], F.to_date("hour"), ["hour"])
     gap = (F.unix_seconds("hour") - F.unix_seconds("prev_hour")) * 1000

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from meshlake.operators import distance as D, frames as X, ingest as I, observers as O, retention as T
 from meshlake.plans import rollups as U, upkeep as K
 from meshlake.session import checkpoint_dir, cut_lineage
-from meshlake.streaming import jobs as J, merge as G
+from meshlake.streaming import jobs as J, merge as G, watch as H
 
 from . import mesh_sql as M
 from .mesh_views import NOW, MeshTables
@@ -557,9 +557,30 @@ def _(m):
     return O.metrics_deltas(J.stored_samples(s, root), 43200).select("observer_id", "timestamp", "tx_airtime_pct", "rx_airtime_pct", "recv_error_rate", "is_reboot")
 
 
-@query("liveness_stream")
+# looks every 10 minutes; silent after 30, reminded every hour; broker9 is expected but never speaks
+_WATCH = """WITH ms AS (SELECT DISTINCT 'broker' || (user_id % 3) AS source, floor(epoch(ts))::BIGINT + 5 AS t FROM events),
+g AS (SELECT source, t, lead(t) OVER (PARTITION BY source ORDER BY t) AS nx, 'stalled' AS kind FROM ms UNION ALL SELECT 'broker9', (SELECT min(t) FROM ms), NULL, 'never_received'),
+s AS (SELECT g.*, (t + 1800 + 599) // 600 * 600 AS a, least(coalesce(nx, m), m) AS e FROM g, (SELECT max(t) AS m FROM ms))
+SELECT source, 'first_message' AS event, min(t) AS at, 0e0 AS idle_secs FROM ms GROUP BY 1
+UNION ALL SELECT source, kind, a, (a - t)::DOUBLE FROM s WHERE a < e
+UNION ALL SELECT source, 'heartbeat', h, (h - t)::DOUBLE FROM (SELECT source, t, unnest(range(a + 3600, e, 3600)) AS h FROM s WHERE a < e)
+UNION ALL SELECT source, 'recovered', (nx + 599) // 600 * 600, (nx - t)::DOUBLE FROM s WHERE a < nx"""
+
+
+@query("liveness_stream", _WATCH)
 def _(m):
-    return _drain(m, J.liveness_stream(_written(m, m.messages.select("ingest_time", "source")), 3600, "event")).select("source", "event")
+    """The messages in four files, one after the other in time, two a micro-batch."""
+    d = m.messages.select("source", "ingest_time")
+    lo, hi = d.agg(F.min("ingest_time"), F.max("ingest_time")).first()
+    root = _root(m)
+    part = F.floor((F.unix_seconds("ingest_time") - F.unix_seconds(F.lit(lo))) * 4 / (F.unix_seconds(F.lit(hi)) - F.unix_seconds(F.lit(lo)) + 1))
+    for i in range(4):
+        d.filter(part == i).coalesce(1).write.mode("append").parquet(root + "/in")
+    src = m.spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 2).parquet(root + "/in")
+    since = F.min("ingest_time").alias("since")
+    known = d.groupBy("source").agg(since).unionByName(d.agg(since).select(F.lit("broker9").alias("source"), "since"))
+    H.watch_sources(src, root, root + "-ck", known, threshold=1800, tick=600, heartbeat=3600)
+    return H.alerts(m.spark, root)
 
 
 @query("late_data", M.sql("nodes obs", f"""

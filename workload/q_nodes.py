@@ -395,7 +395,18 @@ def _(m):
     return _skew(m)
 
 
-@query("node_drift")
+_DRIFT = _NS + f""", us AS (SELECT hs.public_key, hs.last_observed_ts AS t, hash, hs.median_skew AS v FROM hs JOIN ns USING (public_key) WHERE ns.severity NOT IN ('no_clock', 'bimodal_clock')),
+se AS (SELECT public_key, list({{'t': t, 'v': v}} ORDER BY t, hash) AS raw FROM us GROUP BY 1 HAVING count(*) >= 5),
+kp AS (SELECT *, list_reduce(list_transform(raw, lambda x: [x]), lambda a, x: CASE WHEN abs(x[1].v - a[-1].v) <= 60 THEN list_concat(a, x) ELSE a END) AS kept FROM se),
+pt AS (SELECT public_key, unnest(CASE WHEN kept[-1].t - kept[1].t >= 3600 THEN kept ELSE raw END) AS p FROM kp),
+sl AS (SELECT a.public_key, (b.p.v - a.p.v) / (b.p.t - a.p.t) AS s FROM pt a JOIN pt b ON a.public_key = b.public_key AND b.p.t > a.p.t),
+sr AS (SELECT *, row_number() OVER (PARTITION BY public_key ORDER BY s) AS r, count(*) OVER (PARTITION BY public_key) AS n FROM sl),
+mi AS (SELECT public_key, (max(s) + min(s)) / 2 * 86400 AS d FROM sr WHERE r IN ((n + 1) // 2, n // 2 + 1) GROUP BY 1),
+dr AS (SELECT kp.public_key, len(raw)::BIGINT AS points, {tr("CASE WHEN raw[-1].t - raw[1].t < 3600 OR abs(coalesce(d, 0)) > 86400 THEN 0e0 ELSE coalesce(d, 0) END", 2)} AS drift_per_day FROM kp LEFT JOIN mi USING (public_key))
+"""
+
+
+@query("node_drift", M.sql("obs", _DRIFT + "SELECT * FROM dr"))
 def _(m):
     h = K.hash_skew(_corr(m))
     return K.node_drift(h, K.node_skew(h), points=None)
@@ -410,7 +421,7 @@ def _(m):
     return K.hash_evidence(_corr(m), m.observers)
 
 
-@query("fleet_skew")
+@query("fleet_skew", M.sql("obs nodes", _DRIFT + "SELECT ns.*, coalesce(drift_per_day, 0e0) AS drift_per_day, name, role FROM ns LEFT JOIN dr USING (public_key) LEFT JOIN nodes USING (public_key)"))
 def _(m):
     h = K.hash_skew(_corr(m))
     s = K.node_skew(h)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from meshlake.functions import names
 from meshlake.functions.time import TimeWindow, hour_of, in_window
 
-from .packets import best_observation, tx_in_region
+from .packets import best_observation, beyond, tx_in_region
 
 HASHTAG = r"(#[A-Za-z0-9_\-]+)"
 
@@ -86,8 +86,12 @@ def encrypted_channels(tx, obs, observers, region=None) -> DataFrame:
         "message_count", "last_activity")
 
 
-def channel_messages(tx, obs, observers, channel: str, limit: int = 100, offset: int = 0, region=None) -> DataFrame:
-    """Messages of a channel, one per (sender, packet), a page counted from the newest end."""
+def channel_messages(tx, obs, observers, channel: str, limit: int = 100, offset: int = 0, region=None,
+                     after=None) -> DataFrame:
+    """Messages of a channel, one per (sender, packet), a page counted from the newest end or from a cursor (time, id) on.
+
+    ``stations`` names all stations that heard any packet of the message.
+    """
     m = _decoded(tx, obs, observers, region).filter(_named(F.col("channel")) == channel)
     from_text, body = after_sender(F.col("text"), 50)
     m = m.withColumn("_who", F.when(F.col("sender") != "", F.col("sender")).otherwise(F.coalesce(from_text, F.lit("")))).withColumns(
@@ -95,12 +99,16 @@ def channel_messages(tx, obs, observers, channel: str, limit: int = 100, offset:
     # the page is cut first; stations and signal are looked up for its rows only
     one = m.groupBy("_who", "hash").agg(F.min(F.struct("first_seen", "id", "shown", "body", "sender_timestamp")).alias("f"),
                                         F.count(F.lit(1)).alias("repeats"))
-    pg = one.select("f.*", "hash", "repeats").orderBy(F.col("first_seen").desc(), F.col("id").desc()).offset(offset).limit(limit)
+    pg = one.select("_who", "f.*", "hash", "repeats").filter(beyond(after, "desc")).orderBy(F.col("first_seen").desc(), F.col("id").desc()).offset(offset).limit(limit)
     best = best_observation(obs.join(pg.select(F.col("id").alias("transmission_id")), "transmission_id", "left_semi"), ("path", "snr", "observer_id"))
     who = observers.select(F.col("id").alias("observer_id"), F.col("name").alias("_n"))
-    return (pg.join(best, pg.id == best.transmission_id, "left").join(who, "observer_id", "left")
+    label = F.coalesce(F.when(F.col("_n") != "", F.col("_n")), F.col("observer_id"))
+    packets = m.select("_who", "hash", F.col("id").alias("transmission_id")).join(pg.select("_who", "hash"), ["_who", "hash"], "left_semi")
+    heard = obs.select("transmission_id", "observer_id").join(packets, "transmission_id").select("_who", "hash", "observer_id").distinct()
+    stations = heard.join(who, "observer_id", "left").groupBy("_who", "hash").agg(F.array_sort(F.collect_set(label)).alias("stations"))
+    return (pg.join(stations, ["_who", "hash"], "left").join(best, pg.id == best.transmission_id, "left").join(who, "observer_id", "left")
             .select("id", "hash", F.col("shown").alias("sender"), F.col("body").alias("text"), F.col("first_seen").alias("timestamp"),
-                    "sender_timestamp", "repeats", F.coalesce(F.when(F.col("_n") != "", F.col("_n")), F.col("observer_id")).alias("observer"),
+                    "sender_timestamp", "repeats", label.alias("observer"), F.coalesce("stations", F.array().cast("array<string>")).alias("stations"),
                     F.coalesce(F.size("path"), F.lit(0)).alias("hops"), "snr"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -141,8 +141,8 @@ def node_packets(tx: DataFrame, obs: DataFrame, nodes: DataFrame, node: str) ->
 
 def multi_node_packets(tx: DataFrame, obs: DataFrame, keys: list[str], since: datetime | str | None = None,
                        until: datetime | str | None = None, limit: int = DEFAULT_PAGE, offset: int = 0,
-                       order: str = "desc") -> DataFrame:
-    """Union over several nodes, inclusive time bounds, one page."""
+                       order: str = "desc", after: Cursor | None = None) -> DataFrame:
+    """Union over several nodes, inclusive time bounds, one page, by offset or after a cursor."""
     d = F.col("decoded")
     named = tx.filter(d["pubKey"].isin(*keys) | d["destPubKey"].isin(*keys) | d["srcPubKey"].isin(*keys)).select(
         F.col("id").alias("transmission_id"))
@@ -150,7 +150,7 @@ def multi_node_packets(tx: DataFrame, obs: DataFrame, keys: list[str], since: da
     ids = named.union(relayed).distinct()
     hit = tx.join(ids, tx.id == ids.transmission_id, "left_semi")
     hit = hit.filter(TimeWindow(utc(since) if since else None, utc(until) if until else None).holds(F.col("first_seen")))
-    return page(hit, limit, offset, order)
+    return page(hit.filter(beyond(after, order)), limit, offset, order)
 
 
 # ---- filters ---------------------------------------------------------------------------
@@ -209,6 +209,59 @@ def page(tx: DataFrame, limit: int = DEFAULT_PAGE, offset: int = 0, order: str =
     return tx.orderBy(*[c.desc() if order == "desc" else c.asc() for c in cols]).offset(offset).limit(limit)
 
 
+Cursor = tuple[datetime | str | None, int]
+
+
+def beyond(after: Cursor | None, order: str = "asc", time: str = "first_seen", ident: str = "id") -> Column:
+    """Rows that come after the row of a cursor (its time and id) in the order of `page`; rows without a time come first in "asc", last in "desc"."""
+    if after is None:
+        return F.lit(True)
+    t, i = F.col(time), F.col(ident)
+    up = order != "desc"
+    same = i > after[1] if up else i < after[1]
+    if after[0] is None:
+        return (t.isNull() & same) | t.isNotNull() if up else t.isNull() & same
+    at = ts_lit(utc(after[0]))
+    # the plain bound is implied by the rest, and is what reaches the scan
+    return (t >= at) & ((t > at) | same) if up else ((t <= at) & ((t < at) | same)) | t.isNull()
+
+
+def _page_days(tx: DataFrame, after: Cursor | None, limit: int, up: bool) -> DataFrame:
+    """The days from the cursor on that hold a page: one day is looked at, then two, four and so on, until they do."""
+    first, last = tx.agg(F.min("day"), F.max("day")).first()
+    undated = tx.filter(F.col("day").isNull())
+    at = utc(after[0]).date() if after and after[0] is not None else None
+    got = undated if up and at is None else tx.filter(F.lit(False))
+    if first is not None and (up or after is None or at is not None):
+        as_date = lambda d: d if isinstance(d, date) else date.fromisoformat(str(d))
+        first, last = as_date(first), as_date(last)
+        edge, span = (max(at or first, first) if up else min(at or last, last)), 1
+        while first <= edge <= last:
+            lo, hi = (edge, edge + timedelta(days=span - 1)) if up else (edge - timedelta(days=span - 1), edge)
+            days = tx.filter((F.col("day") >= F.lit(lo)) & (F.col("day") <= F.lit(hi)))
+            with_undated = up and at is None
+            if days.limit(limit).count() >= limit:
+                return days.unionByName(undated) if with_undated else days
+            if (hi >= last) if up else (lo <= first):
+                return days.unionByName(undated) if with_undated or not up else days
+            span *= 2
+    return got if up else undated
+
+
+def seek(tx: DataFrame, limit: int = DEFAULT_PAGE, after: Cursor | None = None, order: str = "asc") -> DataFrame:
+    """The page after the row of a cursor (None: the first page), in the order of `page`.
+
+    Any page costs one page: no rows before it are brought together, and of a table stored by day only the days that the page
+    lies in are read, at most twice as many as needed. The cursor of the next page is first_seen and id of the last row.
+    """
+    if limit <= 0:
+        raise ValueError("a page needs a positive limit")
+    rest = tx.filter(beyond(after, order))
+    if "day" in tx.columns:
+        rest = _page_days(rest, after, limit, order != "desc")
+    return page(rest, limit, 0, order)
+
+
 def packet_total(tx: DataFrame) -> DataFrame:
     return tx.agg(F.count(F.lit(1)).alias("total"))
 
@@ -340,6 +393,12 @@ def list_nodes(nodes: DataFrame, *, limit: int = 50, offset: int = 0, sort_by: s
     return matching_nodes(nodes, **filters).orderBy(*order, "public_key").offset(offset).limit(limit)
 
 
+def node_totals(nodes: DataFrame, **filters) -> DataFrame:
+    """Nodes that the filters of `list_nodes` leave, by role and in all (role null): role, nodes."""
+    per = matching_nodes(nodes, **filters).groupBy(F.coalesce("role", F.lit("")).alias("role")).agg(F.count(F.lit(1)).alias("nodes"))
+    return per.unionByName(per.agg(F.coalesce(F.sum("nodes"), F.lit(0)).alias("nodes")).select(F.lit(None).cast("string").alias("role"), "nodes"))
+
+
 def region_node_keys(tx: DataFrame, obs: DataFrame, observers: DataFrame, region: str) -> DataFrame:
     """Keys of nodes whose adverts were heard by a region's observers."""
     adv = tx.filter((F.col("payload_type") == names.ADVERT) & F.col("from_pubkey").isNotNull())

@@ -356,12 +356,22 @@ def _(m):
 
 @query("channel_messages", M.sql("best observers", _CH + """, mm AS (SELECT *, CASE WHEN sep > 1 AND sep - 1 < 50 THEN substr(text, 1, sep - 1) END AS ft FROM cm WHERE name = 'talk3'),
 pg AS (SELECT id, hash, coalesce(ft, CASE WHEN sender <> '' THEN sender ELSE coalesce(ft, '') END) AS sender, CASE WHEN ft IS NOT NULL THEN substr(text, sep + 2) ELSE text END AS text, first_seen FROM mm ORDER BY first_seen DESC, id DESC LIMIT 40 OFFSET 5)
-SELECT pg.id, hash, pg.sender, pg.text, pg.first_seen AS timestamp, 1::BIGINT AS repeats, coalesce(nullif(ob.name, ''), b.observer_id) AS observer, coalesce(len(path), 0)::INTEGER AS hops, snr
-FROM pg LEFT JOIN best b ON b.transmission_id = pg.id LEFT JOIN observers ob ON ob.id = b.observer_id"""))
+SELECT pg.id, hash, pg.sender, pg.text, pg.first_seen AS timestamp, 1::BIGINT AS repeats, coalesce(nullif(ob.name, ''), b.observer_id) AS observer, coalesce(len(path), 0)::INTEGER AS hops, snr, coalesce(stations, '') AS stations
+FROM pg LEFT JOIN (SELECT transmission_id, array_to_string(list_sort(list(DISTINCT coalesce(nullif(o.name, ''), x.observer_id))), ',') AS stations FROM obs x LEFT JOIN observers o ON o.id = x.observer_id GROUP BY 1) st ON st.transmission_id = pg.id
+LEFT JOIN best b ON b.transmission_id = pg.id LEFT JOIN observers ob ON ob.id = b.observer_id"""))
 def _(m):
     return C.channel_messages(*_a(m), "talk3", 40, 5).drop("sender_timestamp")
 
 
+@query("channel_messages_after", M.sql("best observers", _CH + """, mm AS (SELECT *, CASE WHEN sep > 1 AND sep - 1 < 50 THEN substr(text, 1, sep - 1) END AS ft FROM cm WHERE name = 'talk3' AND first_seen < 1705276800),
+pg AS (SELECT id, hash, coalesce(ft, CASE WHEN sender <> '' THEN sender ELSE coalesce(ft, '') END) AS sender, CASE WHEN ft IS NOT NULL THEN substr(text, sep + 2) ELSE text END AS text, first_seen FROM mm ORDER BY first_seen DESC, id DESC LIMIT 40)
+SELECT pg.id, hash, pg.sender, pg.text, pg.first_seen AS timestamp, 1::BIGINT AS repeats, coalesce(nullif(ob.name, ''), b.observer_id) AS observer, coalesce(len(path), 0)::INTEGER AS hops, snr, coalesce(stations, '') AS stations
+FROM pg LEFT JOIN (SELECT transmission_id, array_to_string(list_sort(list(DISTINCT coalesce(nullif(o.name, ''), x.observer_id))), ',') AS stations FROM obs x LEFT JOIN observers o ON o.id = x.observer_id GROUP BY 1) st ON st.transmission_id = pg.id
+LEFT JOIN best b ON b.transmission_id = pg.id LEFT JOIN observers ob ON ob.id = b.observer_id"""))
+def _(m):
+    return C.channel_messages(*_a(m), "talk3", 40, after=("2024-01-15T00:00:00Z", -1)).drop("sender_timestamp")
+
+
 _CA = f""", cr AS (SELECT id, first_seen, ch, hold, wrong OR (text = '' AND sender = '') AS encrypted, CASE WHEN c = '' OR wrong THEN hold ELSE c END AS name, text, sender FROM (
   SELECT *, 'ch' || ch AS hold, c <> '' AND c <> 'ch' || ch AND NOT coalesce({M.channel_byte("CASE WHEN starts_with(c, '#') THEN c ELSE '#' || c END")} = ch, false) AS wrong FROM (
     SELECT id, first_seen, coalesce(nullif(d_channelhash, ''), '?') AS ch, coalesce(d_channel, '') AS c, coalesce(d_text, '') AS text, coalesce(d_sender, '') AS sender FROM tx WHERE payload_type = 5)))

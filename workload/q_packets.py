@@ -120,6 +120,16 @@ def _(m):
     return P.page(m.tx, 50, 100).select("id", "hash", "first_seen")
 
 
+@query("packet_page_after", M.sql("tx", "SELECT id, hash, first_seen FROM tx WHERE first_seen > 1704844800 OR first_seen = 1704844800 AND id > 100 ORDER BY first_seen, id LIMIT 500"))
+def _(m):
+    return P.seek(m.tx, 500, ("2024-01-10T00:00:00Z", 100)).select("id", "hash", "first_seen")
+
+
+@query("packet_page_before", M.sql("tx", "SELECT id, hash, first_seen FROM tx WHERE first_seen < 1704844800 OR first_seen = 1704844800 AND id < 100 ORDER BY first_seen DESC, id DESC LIMIT 500"))
+def _(m):
+    return P.seek(m.tx, 500, ("2024-01-10T00:00:00Z", 100), "desc").select("id", "hash", "first_seen")
+
+
 @query("packet_total", M.sql("tx", "SELECT count(*)::BIGINT AS total FROM tx"))
 def _(m):
     return P.packet_total(m.tx)
@@ -196,6 +206,11 @@ def _(m):
         "public_key", "name", "role", "last_seen")
 
 
+@query("node_totals", M.sql("nodes", "SELECT role, count(*)::BIGINT AS nodes FROM nodes WHERE contains(lower(name), 're') GROUP BY 1 UNION ALL SELECT NULL, count(*)::BIGINT FROM nodes WHERE contains(lower(name), 're')"))
+def _(m):
+    return P.node_totals(m.nodes, search="RE")
+
+
 @query("list_nodes_region", M.sql("nodes obs observers", """
 SELECT public_key, name, advert_count FROM nodes WHERE public_key IN (SELECT from_pubkey FROM tx WHERE payload_type = 4 AND id IN (
   SELECT transmission_id FROM obs JOIN observers ON observers.id = observer_id WHERE upper(trim(iata)) = 'AME'))

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from meshlake.functions import geo
 from meshlake.session import cut_lineage
-from meshlake.operators import graph as G, packets as P, resolve as R, topology as T
+from meshlake.operators import graph as G, packets as P, regional as X, resolve as R, topology as T
 
 from . import mesh_sql as M
 from .mesh_views import NOW, MeshTables
@@ -326,3 +327,17 @@ def _(m):
     best = P.best_observation(m.obs, ("path",)).filter(F.size("path") > 0).select("path").distinct()
     req = best.select(F.array_join("path", ",").alias("id"), F.col("path").alias("prefixes"))
     return G.path_inspect(req, m.nodes, edges(m), NOW, limit=3)
+
+
+@query("resolve_path_regional")
+def _(m):
+    """All ways of the packets' best observations; a region's centre is the mean position of its stations."""
+    place = m.nodes.filter(geo.has_gps(F.col("lat"), F.col("lon"))).select(F.lower("public_key").alias("_k"), "lat", "lon")
+    heads = R.packet_heads(m.tx, m.best)
+    for col, end in (("sender", "origin"), ("observer_id", "station")):
+        p = place.select(F.col("_k").alias(f"_{end}"), F.col("lat").alias(f"{end}_lat"), F.col("lon").alias(f"{end}_lon"))
+        heads = heads.join(p, F.lower(col) == F.col(f"_{end}"), "left").drop(f"_{end}")
+    at = m.observers.join(place, F.lower("id") == F.col("_k")).groupBy(F.upper(F.trim("iata")).alias("iata")).agg(
+        F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))
+    return X.resolve_path_regional(heads, m.nodes, edges(m), NOW, m.observers, at).select(
+        "path", "observer_id", "origin_lat", "origin_lon", "pos", "hop", "pubkey", "method", "candidates", "regional", "unreliable")

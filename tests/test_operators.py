@@ -167,6 +167,30 @@ def test_median_slope_of_a_long_series_is_exact(kind):
     assert K._theil_sen(K.np.array(t), K.np.array(v), small=10) == want
 
 
+@pytest.mark.parametrize("kind", ["noise", "ties", "flat", "steps"])
+def test_slopes_are_closed_in_by_counting(kind):
+    rnd = random.Random(kind)
+    t = [float(x) for x in sorted(rnd.randrange(0, 9000) for _ in range(400))]
+    v = [{"noise": round(rnd.gauss(x / 99, 5), 1), "ties": float(rnd.randrange(2)), "flat": 3.0, "steps": 0.1 * min(i, 200)}[kind] for i, x in enumerate(t)]
+    t, v = (K.np.array(x) for x in zip(*sorted(zip(t, v))))
+    ti, vi = K.np.rint(t - t[0]).astype("int64"), K.np.rint((v - v[0]) * 10).astype("int64")
+    want = sorted((b - a) / (y - x) for (x, a), (y, b) in itertools.combinations(zip(t, v), 2) if y > x)
+    for rank in (0, len(want) // 3, len(want) // 2, len(want) - 1):
+        assert K._slope_at(t, v, ti, vi, len(want), rank, few=300, sample=200) == pytest.approx(want[rank], abs=1e-12)
+
+
+def test_inversions_and_a_long_series():
+    rnd = random.Random(2)
+    x = K.np.array([rnd.randrange(30) for _ in range(77)])
+    want = {(p, q) for p, q in itertools.combinations(range(77), 2) if x[q] < x[p]}
+    n, p, q = K._inversions(x, K.np.arange(len(want)))
+    assert n == len(want) and set(zip(p.tolist(), q.tolist())) == want
+    t = 1_700_000_000.0 + 30 * K.np.arange(200_000)
+    assert K._theil_sen(t, K.np.round(1e-6 * (t - t[0]), 1)) * 86400 == pytest.approx(0.0864, abs=1e-4)
+    odd = K.np.array([0.0, 1.0, 2.5, 4.0] * 5)  # times that are no whole seconds list their slopes
+    assert K._theil_sen(odd, odd * 2, small=10) == 2.0
+
+
 def test_drift_equals_brute_force(spark):
     rnd = random.Random(11)
     series, rows = {}, []

@@ -168,6 +168,14 @@ def rf_hours_from_rollup(cells: DataFrame, per_tx: DataFrame, observers=None, re
     return c.drop("heard").join(p, "hour")
 
 
+def rf_types_from_rollup(cells: DataFrame, observers=None, region=None, window=None) -> DataFrame:
+    """Signal and frame sizes per payload type; sizes weigh a packet once per hour and station that heard it."""
+    return _scope(cells, observers, region, window).groupBy("payload_type").agg(
+        F.sum("n_obs").alias("count"), F.sum("n_snr").alias("n_snr"), F.try_divide(F.sum("snr_sum"), F.sum("n_snr")).alias("avg_snr"),
+        F.min("snr_min").alias("min_snr"), F.max("snr_max").alias("max_snr"), F.sum("n_tx").alias("sizes"),
+        F.try_divide(F.sum("pkt_sum") * 1.0, F.sum("n_tx")).alias("avg_size"), F.min("pkt_min").alias("min_size"), F.max("pkt_max").alias("max_size"))
+
+
 # ---- channels --------------------------------------------------------------------------
 
 def _channel_rows(tx, obs, hours=None) -> DataFrame:
@@ -217,6 +225,22 @@ def channels_from_rollup(cells: DataFrame, senders: DataFrame, per_tx: DataFrame
     return g.select("ch", "name", "messages", F.coalesce("senders", F.lit(0)).alias("senders"), "last_activity", (F.col("d") == 0).alias("encrypted"))
 
 
+def channel_timeline_from_rollup(cells: DataFrame, per_tx: DataFrame, observers=None, region=None, window=None) -> DataFrame:
+    """Messages per hour and channel: distinct packets, or hearings by a region's stations."""
+    if region_codes(region) is None:
+        return per_tx.filter(in_hours(window)).groupBy("hour", "ch").agg(F.sum("distinct_tx").alias("messages"))
+    return _scope(cells, observers, region, window).groupBy("hour", "ch").agg(F.sum("msg_count").alias("messages"))
+
+
+def channel_lengths_from_rollup(cells: DataFrame, bins: DataFrame, observers=None, region=None, window=None) -> DataFrame:
+    """Text lengths (bytes) per channel: how many, mean, extremes and the counts of the bins that have any (at most 32)."""
+    c = _scope(cells, observers, region, window).groupBy("ch").agg(
+        F.sum("len_count").alias("count"), F.try_divide(F.sum("len_sum") * 1.0, F.sum("len_count")).alias("avg"), F.min("len_min").alias("min"), F.max("len_max").alias("max"))
+    b = _scope(bins, observers, region, window).groupBy("ch", "bin").agg(F.sum("n").alias("n")).groupBy("ch").agg(
+        F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"))
+    return c.filter("count > 0").join(b, "ch", "left")
+
+
 def senders_from_rollup(senders: DataFrame, observers=None, region=None, window=None, limit: int = 15) -> DataFrame:
     return _scope(senders, observers, region, window).groupBy("sender").agg(F.sum("msg_count").alias("count")).orderBy(F.col("count").desc(), "sender").limit(limit)
 
@@ -303,27 +327,49 @@ def distance_path_observers(hops: DataFrame, obs: DataFrame) -> DataFrame:
     return obs.select(F.col("transmission_id").alias("id"), "observer_id").distinct().join(hops.select("hour", "id").distinct(), "id").select("hour", "id", "observer_id")
 
 
+def _stations(t: DataFrame, observers, region, window) -> DataFrame:
+    """Rows of all stations together, or those of a region's stations one by one."""
+    t = t.filter(in_hours(window))
+    return t.filter(F.col("observer_id") == ALL) if region_codes(region) is None else t.join(region_observers(observers, region), "observer_id", "left_semi")
+
+
+def _mean_dist() -> Column:
+    return F.floor(F.sum("dist_sum_100") / F.sum("count") + 0.5) / 100.0
+
+
 def distance_from_rollup(hourly: DataFrame, bins: DataFrame, observers=None, region=None, window=None) -> DataFrame:
     """Statistics per hop type of a window."""
-    def pick(t):
-        t = t.filter(in_hours(window))
-        return t.filter(F.col("observer_id") == ALL) if region_codes(region) is None else t.join(region_observers(observers, region), "observer_id", "left_semi")
-    g = pick(hourly).groupBy("type").agg(F.sum("count").alias("count"), (F.floor(F.sum("dist_sum_100") / F.sum("count") + 0.5) / 100.0).alias("avg"),
-                                         F.min("dist_min").alias("min"), F.max("dist_max").alias("max"))
-    return g.join(bin_median(pick(bins), ["type"], "dist"), "type", "left")
+    g = _stations(hourly, observers, region, window).groupBy("type").agg(
+        F.sum("count").alias("count"), _mean_dist().alias("avg"), F.min("dist_min").alias("min"), F.max("dist_max").alias("max"))
+    return g.join(bin_median(_stations(bins, observers, region, window), ["type"], "dist"), "type", "left")
+
 
+def distance_histogram_from_rollup(bins: DataFrame, observers=None, region=None, window=None) -> DataFrame:
+    """Hops per bin, with the bin's lower edge."""
+    lo, width, _ = BINS["dist"]
+    return _stations(bins, observers, region, window).groupBy("bin").agg(F.sum("n").alias("count")).withColumn("x", F.col("bin") * width + lo)
 
-def distance_hours_from_rollup(hourly: DataFrame, window=None) -> DataFrame:
-    return hourly.filter((F.col("observer_id") == ALL) & in_hours(window)).groupBy("hour").agg(
-        (F.floor(F.sum("dist_sum_100") / F.sum("count") + 0.5) / 100.0).alias("avg"), F.sum("count").alias("count"))
 
+def distance_hours_from_rollup(hourly: DataFrame, window=None, observers=None, region=None) -> DataFrame:
+    return _stations(hourly, observers, region, window).groupBy("hour").agg(_mean_dist().alias("avg"), F.sum("count").alias("count"))
 
-def distance_pairs_from_rollup(pairs: DataFrame, window=None, limit: int = 20) -> DataFrame:
-    p = pairs.filter((F.col("observer_id") == ALL) & in_hours(window)).groupBy("pk_a", "pk_b", "type").agg(
-        F.sum("count").alias("count"), F.max("best_dist").alias("best_dist"), F.min_by("best_hash", F.struct(-F.col("best_dist"), F.col("hour"))).alias("best_hash"), F.max("snr_max").alias("snr_max"))
+
+def distance_pairs_from_rollup(pairs: DataFrame, window=None, limit: int = 20, observers=None, region=None) -> DataFrame:
+    p = _stations(pairs, observers, region, window).groupBy("pk_a", "pk_b", "type").agg(
+        F.sum("count").alias("count"), F.max("best_dist").alias("best_dist"), F.min_by("best_hash", F.struct(-F.col("best_dist"), F.col("hour"), F.col("best_hash"))).alias("best_hash"),
+        F.max("snr_max").alias("snr_max"))
     return p.orderBy(F.col("best_dist").desc(), "pk_a", "pk_b", "type").limit(limit)
 
 
+def distance_paths_from_rollup(paths: DataFrame, path_observers: DataFrame | None = None, observers=None, region=None, window=None, limit: int = 20) -> DataFrame:
+    """Longest paths, each once; with a region those that one of its stations heard."""
+    p = paths.filter(in_hours(window))
+    if region_codes(region) is not None:
+        heard = path_observers.filter(in_hours(window)).join(region_observers(observers, region), "observer_id", "left_semi").select("hour", "id").distinct()
+        p = p.join(heard, ["hour", "id"], "left_semi")
+    return p.orderBy(F.col("total_dist").desc(), "id").limit(limit)
+
+
 # ---- upkeep ----------------------------------------------------------------------------
 
 def touched_hours(tx: DataFrame, obs: DataFrame, watermark: int, by: str = "timestamp") -> DataFrame:

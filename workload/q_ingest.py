@@ -477,6 +477,47 @@ def _(m):
     return U.distance_pairs_from_rollup(U.distance_pair_hourly(_sh(m), m.obs)).drop("best_hash")
 
 
+# ---- further answers, of all stations and of a region ----
+
+_IN = "observer_id IN (SELECT id FROM observers WHERE upper(trim(iata)) = 'EUR')"
+_TYPES = """, w AS (SELECT * FROM rr WHERE {w}), z AS (SELECT payload_type, count(*)::BIGINT AS sizes, avg(size) AS avg_size, min(size) AS min_size, max(size) AS max_size FROM (SELECT DISTINCT hour, payload_type, observer_id, transmission_id, size FROM w) GROUP BY 1)
+SELECT w.payload_type, count(*)::BIGINT AS count, count(snr)::BIGINT AS n_snr, round(avg(snr), 6) AS avg_snr, min(snr) AS min_snr, max(snr) AS max_snr, any_value(sizes) AS sizes, round(any_value(avg_size), 6) AS avg_size,
+  any_value(min_size)::BIGINT AS min_size, any_value(max_size)::BIGINT AS max_size FROM w JOIN z USING (payload_type) GROUP BY 1"""
+_LENGTHS = f""", w AS (SELECT * FROM cl WHERE text <> '' AND {{w}}), b AS (SELECT ch, string_agg(bin || ':' || n, ',' ORDER BY bin) AS bins FROM (SELECT ch, {_bin('strlen(text)', 'length')} AS bin, count(*) AS n FROM w GROUP BY 1, 2) GROUP BY 1)
+SELECT w.ch, count(*)::BIGINT AS count, round(avg(strlen(text)), 6) AS avg, min(strlen(text))::INTEGER AS min, max(strlen(text))::INTEGER AS max, any_value(bins) AS bins FROM w JOIN b USING (ch) GROUP BY 1"""
+_HISTOGRAM = f", w AS (SELECT {_bin('dist', 'dist')} AS bin FROM pst2 WHERE {{w}}) SELECT bin, bin * 12 AS x, count(*)::BIGINT AS count FROM w GROUP BY 1"
+_HOURS = "SELECT hour, floor(sum(round(dist * 100)::BIGINT) / count(*) + 0.5e0) / 100 AS avg, count(*)::BIGINT AS count FROM pst2 WHERE {w} GROUP BY 1"
+_PAIRS = """SELECT pk_a, pk_b, type, count(*)::BIGINT AS count, max(dist) AS best_dist, max(snr) AS snr_max FROM (SELECT *, least(from_pk, to_pk) AS pk_a, greatest(from_pk, to_pk) AS pk_b FROM pst2 WHERE {w}) GROUP BY 1, 2, 3 ORDER BY best_dist DESC, 1, 2, 3 LIMIT 20"""
+_PATHS = f"SELECT hour, id, hash, {M.half_away('round(sum(km), 9)', 2)} AS total_dist, count(*)::BIGINT AS hop_count FROM sh WHERE {{w}} GROUP BY 1, 2, 3 ORDER BY total_dist DESC, id LIMIT 20"
+
+
+def _answers(name, views, sql, all_rows, in_region, run):
+    """An answer from rollups, registered for all stations and for a region."""
+    query(name, M.sql(views, sql.replace("{w}", all_rows)))(lambda m: run(m, None))
+    query(name + "_region", M.sql(views + " observers", sql.replace("{w}", in_region)))(lambda m: run(m, "EUR"))
+
+
+_sixth = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
+_answers("rf_types_from_rollup", "obs", _RF + _TYPES, "true", _IN, lambda m, r: _sixth(
+    U.rf_types_from_rollup(U.rf_rollup_hour(m.tx, m.obs), m.observers, r), "avg_snr", "avg_size"))
+_answers("channel_lengths_from_rollup", "obs", _CR + _LENGTHS, "true", _IN, lambda m, r: _sixth(U.channel_lengths_from_rollup(
+    U.channel_rollup_hour(m.tx, m.obs), U.channel_rollup_bins(m.tx, m.obs), m.observers, r), "avg").withColumn(
+        "bins", F.array_join(F.transform("bins", lambda b: F.concat_ws(":", b["bin"], b["n"])), ",")))
+query("channel_timeline_from_rollup", M.sql("obs", _CR + "SELECT hour, ch, count(DISTINCT id)::BIGINT AS messages FROM cl GROUP BY 1, 2"))(
+    lambda m: U.channel_timeline_from_rollup(U.channel_rollup_hour(m.tx, m.obs), U.channel_rollup_tx(m.tx, m.obs)))
+query("channel_timeline_from_rollup_region", M.sql("obs observers", _CR + f"SELECT hour, ch, count(*)::BIGINT AS messages FROM cl WHERE {_IN} GROUP BY 1, 2"))(
+    lambda m: U.channel_timeline_from_rollup(U.channel_rollup_hour(m.tx, m.obs), U.channel_rollup_tx(m.tx, m.obs), m.observers, "EUR"))
+_ALL = "observer_id = '*'"
+_answers("distance_histogram_from_rollup", "obs nodes", _DS + _HISTOGRAM, _ALL, _IN, lambda m, r: U.distance_histogram_from_rollup(
+    U.distance_bins_hourly(_sh(m), m.obs), m.observers, r))
+_answers("distance_hours_from_rollup", "obs nodes", _DS + _HOURS, _ALL, _IN, lambda m, r: U.distance_hours_from_rollup(
+    U.distance_hourly(_sh(m), m.obs), None, m.observers, r))
+query("distance_pairs_from_rollup_region", M.sql("obs nodes observers", _DS + _PAIRS.replace("{w}", _IN)))(
+    lambda m: U.distance_pairs_from_rollup(U.distance_pair_hourly(_sh(m), m.obs), None, 20, m.observers, "EUR").drop("best_hash"))
+_answers("distance_top_paths_from_rollup", "obs nodes", _DS + _PATHS, "true", f"id IN (SELECT transmission_id FROM obs WHERE {_IN})", lambda m, r: U.distance_paths_from_rollup(
+    U.distance_paths_rollup(_sh(m)), U.distance_path_observers(_sh(m), m.obs), m.observers, r))
+
+
 _WM = 3_000_000_000_000_000  # a watermark inside the id range
 
 

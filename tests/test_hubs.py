@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from meshlake.operators import graph as G, resolve as R
@@ -74,3 +75,35 @@ def test_a_hub_is_looked_up_and_not_expanded(spark):
     nodes = nodes_of(spark, ["ff000000", *(f"{i:08x}" for i in range(5000))])
     amb = spark.createDataFrame([("ff000000", "0000", 5, 9)], "known string, prefix string, count long, candidates long")
     assert G.jaccard_scores(amb, nodes, edges).count() == 5000
+
+
+@pytest.mark.parametrize("direct, spread", [(64, 6.0), (4, 6.0), (4, 170.0), (4, 0.0)])
+def test_nearest_candidate_is_that_of_all_pairs(spark, direct, spread):
+    """Crowded prefixes: cells and the search of the whole prefix give the nearest of all, ties to the smallest key."""
+    import math
+    import random
+
+    from meshlake.functions import geo
+
+    rnd = random.Random(5)
+    nodes = [(f"{i % 3:02x}{i:06x}", rnd.choice([-1, 1]) * (rnd.randrange(1, 60) * 0.05 + (spread / 2 if i % 50 == 0 else 0.0)) + (40.0 if spread < 90 else 0.0),
+              rnd.randrange(1, 60) * 0.05 + (spread if i % 40 == 0 else 0.0)) for i in range(600)]
+    cand = spark.createDataFrame([(p, k, la, lo, True) for k, la, lo in nodes for p in (k[:2], k)], "prefix string, key string, lat double, lon double, gps boolean")
+    ctx = [(f"c{c}", nodes[rnd.randrange(600)][0]) for c in range(80) for _ in range(3)]
+    context = spark.createDataFrame(sorted(set(ctx)), "ctx string, key string")
+    pairs = spark.createDataFrame([(f"0{p}", f"c{c}") for c in range(80) for p in range(3)], "hop string, ctx string")
+    full = cand.filter(F.col("prefix") == F.col("key")).select("key", "lat", "lon")
+    mean = context.join(full, "key").groupBy("ctx").agg(F.round(F.avg("lat"), 9).alias("clat"), F.round(F.avg("lon"), 9).alias("clon"))
+    d = geo.equirect(F.col("clat"), F.col("clon"), F.col("lat"), F.col("lon"))
+    want = pairs.join(mean, "ctx").join(cand.withColumnRenamed("key", "ck"), F.col("prefix") == F.col("hop")).groupBy("hop", "ctx").agg(
+        F.min(F.struct(F.round(d, 12).alias("d"), "ck"))["ck"].alias("key"))
+    got = R.geo_choice(pairs, context, cand, direct)
+    assert got.count() == 240 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_pairs_do_not_meet_every_candidate_of_a_crowded_prefix(spark):
+    """Of 4,900 candidates on a grid, a hop meets those of nine cells."""
+    places = spark.range(4900).select(F.lit("aa").alias("prefix"), F.format_string("aa%06x", "id").alias("key"), (F.col("id") % 70 * 0.1 + 10).alias("lat"), (F.floor(F.col("id") / 70) * 0.1).alias("lon"))
+    width, around, whole = R._spots(places, 64)
+    assert around.agg(F.max(F.size("places"))).first()[0] <= 64
+    assert whole.select(F.size("places")).first()[0] == 4900

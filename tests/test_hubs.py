@@ -107,3 +107,17 @@ def test_pairs_do_not_meet_every_candidate_of_a_crowded_prefix(spark):
     width, around, whole = R._spots(places, 64)
     assert around.agg(F.max(F.size("places"))).first()[0] <= 64
     assert whole.select(F.size("places")).first()[0] == 4900
+
+
+def test_candidates_found_along_edges_are_those_of_all_pairs(spark):
+    """Random graph with hubs, crowded prefixes: every candidate of some similarity, and no other."""
+    rnd = random.Random(3)
+    keys = [f"{i % 4:02x}{i:06x}" for i in range(160)]
+    ends = {tuple(sorted(rnd.sample(keys, 2))) for _ in range(220)} | {(min(keys[0], k), max(keys[0], k)) for k in keys[1:140]}
+    e = spark.createDataFrame(sorted(ends), "node_a string, node_b string")
+    nodes = nodes_of(spark, keys)
+    asked = spark.createDataFrame([(k, f"0{p}") for k in keys[:40] for p in range(4)], "known string, prefix string")
+    every = G.jaccard_scores(asked, nodes, e)
+    got = G.alike_candidates(asked, nodes, e).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, every.filter("jaccard > 0").select("known", "prefix", "candidate", "jaccard").collect()))
+    assert 0 < len(got) < every.count() and {r.known for r in got} & {keys[0]}

@@ -57,3 +57,15 @@ def test_hops_of_a_long_way_are_resolved_once(spark, mesh):
         want |= {(r.id, i, a, place[a].name, b, place[b].name) for i, (a, b) in enumerate(zip(stops, stops[1:]))}
     got = D.distance_hops(tx, obs, nodes, edges, NOW).collect()
     assert len(got) == len(want) and {(r.id, r.pos, r.from_pk, r.from_name, r.to_pk, r.to_name) for r in got} == want
+
+
+def test_longest_paths_bring_only_their_hops_together(spark):
+    """The exchange of all hops holds sums, not lists of keys."""
+    rows = [(i, f"h{i}", p, f"a{i}", f"b{i}", float(i % 7 + p), float(i % 7 + p)) for i in range(60) for p in range(3)]
+    hops = spark.createDataFrame(rows, "id long, hash string, pos int, from_pk string, to_pk string, km double, dist double").withColumn(
+        "first_seen", F.lit("2024-01-30").cast("timestamp"))
+    want = sorted(D.distance_paths(hops).collect(), key=lambda r: (-r.total_dist, r.id))[:5]
+    top = D.distance_top_paths(hops, 5)
+    assert top.collect() == want
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1 and "LeftSemi" in plan

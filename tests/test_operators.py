@@ -133,6 +133,50 @@ def test_path_inspect_keeps_every_chain_step_and_answer(spark):
     assert got["long"] == {1: [far, bb] * 33}
 
 
+def test_path_inspect_leaves_out_only_chains_that_cannot_win(spark):
+    rnd = random.Random(11)
+    relays = [(key(f"{p}{i:02x}", i), *((0.0, 0.0) if rnd.random() < 0.3 else (40 + rnd.random() * 6, -100 + rnd.random() * 6)))
+              for p in ("aa", "bb", "cc") for i in range(9)]
+    pairs = rnd.sample(list(itertools.combinations(range(len(relays)), 2)), 12)
+    e = {frozenset((relays[i][0], relays[j][0])): (rnd.randrange(1, 150), rnd.randrange(0, 300)) for i, j in pairs}
+
+    def hop(a, b):
+        c, hours = e.get(frozenset((a[0], b[0])), (0, None))
+        d = haversine(a, b) if a[1] and b[1] else 0.0
+        rec = 0.0 if hours is None else 1.0 if hours <= 24 else max(0.1, 24 / hours)
+        w = 0.0 if hours is None else min(1, c / 100) * math.exp(-math.log(2) / 168 * hours)
+        return max(0.05, 0.35 * w + 0.20 * (max(0.1, 50 / d) if d > 50 else 1.0) + 0.15 * rec + 0.30 / 9)
+
+    nd = nodes_df(spark, [node(k, lat=la, lon=lo) for k, la, lo in relays])
+    ed = edges_df(spark, [(min(p), max(p), c, h, 1) for p, (c, h) in e.items()])
+    req = [(",".join(x), list(x)) for x in (("aa", "bb", "cc"), ("cc", "aa", "bb", "aa"), ("bb", "bb"), ("cc",))]
+    got = {}
+    for r in G.path_inspect(spark.createDataFrame(req, "id string, prefixes array<string>"), nd, ed, NOW, 3).collect():
+        got.setdefault(r.id, {})[r.rank] = r.path
+    for rid, prefixes in req:
+        every = []
+        for way in itertools.product(*[[r for r in relays if r[0].startswith(p)] for p in prefixes]):
+            s = math.log(0.7 + 0.30 / 9) + sum(math.log(hop(a, b)) for a, b in zip(way, way[1:]))
+            every.append((-round(s, 12), [r[0] for r in way]))
+        assert [got[rid][i] for i in (1, 2, 3)] == [w for _, w in sorted(every)[:3]]
+
+
+def test_path_inspect_moves_few_rows_under_a_crowded_prefix(spark):
+    relays = [(key(f"{p}{i:03x}", i), *((0.0, 0.0) if i % 6 == 5 else (40 + i / 50, -100.0))) for p in ("aa", "bb") for i in range(300)]
+    nd = nodes_df(spark, [node(k, lat=la, lon=lo) for k, la, lo in relays])
+    ed = edges_df(spark, [(relays[0][0], relays[300][0], 1, 1, 1)])
+    req = spark.createDataFrame([("r", ["aa", "bb", "aa"])], "id string, prefixes array<string>")
+    before = _rows_shuffled(spark)
+    assert G.path_inspect(req, nd, ed, NOW, 3).count() == 3
+    assert _rows_shuffled(spark) - before < 20_000  # 300 times 900 in each step if all chains met
+
+
+def _rows_shuffled(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
 # ---- clocks ----
 
 def brute_drift(points, last=None):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from meshlake.functions import names
 from meshlake.functions.numeric import half_away, true_median, trunc_round
@@ -191,23 +191,23 @@ def relay_packets(tx, obs, full_keys_only: bool = False) -> DataFrame:
 def repeater_liveness(tx, obs, nodes, now, window_hours: float = 24) -> DataFrame:
     """Relay activity of every relay, found by full key or by one-byte prefix.
 
-    Packets are reduced to hourly counts per hop first where that is exact: a packet found under
-    both spellings of a node must count once, so the two spellings of one packet are paired
-    before counting.
+    A packet found under both spellings of a node counts once: its short spellings are brought to its rows, which
+    lie together by packet already, and each hop is then counted in one shuffle of what is left of it per task.
     """
     who = R.relays(nodes).select("key")
     rp = relay_packets(tx, obs)
-    by_key = rp.join(who, rp.hop == who.key, "left_semi").select(F.col("hop").alias("key"), "id", "first_seen")
-    short = rp.filter(F.length("hop") == 2)
-    # packets under the prefix: counted per prefix once, minus those the key already covers
-    day, hour = hours_before(now, 24), hours_before(now, 1)
-    tally = lambda: [F.max("first_seen").alias("last"), F.count_if(F.col("first_seen") > day).alias("d"), F.count_if(F.col("first_seen") > hour).alias("h")]
-    k = by_key.groupBy("key").agg(*tally())
-    p = short.groupBy("hop").agg(*tally())
-    both = by_key.withColumn("hop", F.substring("key", 1, 2)).join(short.select("hop", "id"), ["hop", "id"], "left_semi").groupBy("key").agg(*tally())
-    sel = lambda df, pre, key: df.select(F.col(key).alias(key if key == "key" else "hop"), *[F.col(c).alias(pre + c) for c in ("last", "d", "h")])
-    j = (who.withColumn("hop", F.substring("key", 1, 2)).join(sel(k, "k_", "key"), "key", "left").join(sel(p, "p_", "hop"), "hop", "left")
-         .join(sel(both, "b_", "key"), "key", "left"))
+    # neither of these can be a relay's spelling; the rest finds its relay after counting
+    lens = who.agg(F.coalesce(F.min(F.length("key")), F.lit(2)).alias("lo"), F.coalesce(F.max(F.length("key")), F.lit(2)).alias("hi"))
+    n = F.length("hop")
+    rp = rp.filter((n == 2) | ((n >= lens.select("lo").scalar()) & (n <= lens.select("hi").scalar())))
+    shorts = F.collect_set(F.when(n == 2, F.col("hop"))).over(W.partitionBy("id"))
+    rp = rp.withColumn("both", F.array_contains(shorts, F.substring("hop", 1, 2)))
+    day, hour = F.col("first_seen") > hours_before(now, 24), F.col("first_seen") > hours_before(now, 1)
+    g = rp.groupBy("hop").agg(F.max("first_seen").alias("last"), F.count_if(day).alias("d"), F.count_if(hour).alias("h"),
+                              F.count_if(day & F.col("both")).alias("b_d"), F.count_if(hour & F.col("both")).alias("b_h"))
+    k = g.select(F.col("hop").alias("key"), F.col("last").alias("k_last"), F.col("d").alias("k_d"), F.col("h").alias("k_h"), "b_d", "b_h")
+    p = g.filter(n == 2).select("hop", F.col("last").alias("p_last"), F.col("d").alias("p_d"), F.col("h").alias("p_h"))
+    j = who.withColumn("hop", F.substring("key", 1, 2)).join(k, "key", "left").join(p, "hop", "left")
     z = lambda c: F.coalesce(c, F.lit(0))
     last = F.greatest("k_last", "p_last")
     return j.select(F.col("key").alias("public_key"), last.alias("last_relayed"), (z("k_h") + z("p_h") - z("b_h")).alias("relay_count_1h"),

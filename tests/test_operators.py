@@ -3,12 +3,13 @@
 import itertools
 import math
 import random
+import re
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from meshlake.operators import clock as K, frames as X, graph as G, hashes as H, ingest as I, resolve as R
+from meshlake.operators import clock as K, frames as X, graph as G, hashes as H, ingest as I, nodes as N, resolve as R
 
 NOW = "2024-01-31T00:00:00Z"
 
@@ -177,6 +178,26 @@ def _rows_shuffled(spark):
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
+
+# ---- relays ----
+
+def test_repeater_liveness_counts_both_spellings_once_and_never_shuffles_packets_by_hop(spark):
+    nd = nodes_df(spark, [node(A1), node(A2), node(B1), node(C1, role="companion")])
+    tx = spark.createDataFrame([(1, 2, 60), (2, 2, 7200), (3, 4, 60), (4, None, 3 * 86400), (5, 2, 100)], "id long, payload_type int, ago long").withColumn(
+        "first_seen", F.timestamp_seconds(F.lit(1706659200) - F.col("ago")))
+    obs = spark.createDataFrame([(1, ["AA", "BB33"], [A1, None]), (1, ["AA"], None), (2, ["CC"], [A2]), (3, ["AA"], [A1]), (4, None, [B1]), (5, ["aa"], [None])],
+                                "transmission_id long, path array<string>, resolved_path array<string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = N.repeater_liveness(tx, obs, nd, NOW)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = {r.public_key: (r.relay_count_1h, r.relay_count_24h, r.relay_active) for r in out.collect()}
+    assert got == {A1: (2, 2, True), A2: (2, 3, True), B1: (0, 0, False)}
+    assert not re.search(r"hashpartitioning\(hop#\d+, (id|transmission_id)#", plan)
+
+
 # ---- clocks ----
 
 def brute_drift(points, last=None):

@@ -94,11 +94,16 @@ def rf_rollup_bins(tx, obs, hours=None) -> DataFrame:
     """(hour, type, station, measure, bin): observations per signal bin, packets per size bin."""
     r = _rf_rows(tx, obs, hours)
     k = ["hour", "payload_type", "observer_id"]
-    m = F.explode(F.array(F.struct(F.lit("snr").alias("measure"), bin_of(F.col("snr"), "snr").alias("bin")),
-                          F.struct(F.lit("rssi").alias("measure"), bin_of(F.col("rssi"), "rssi").alias("bin")))).alias("e")
-    sig = r.select(*k, m).select(*k, "e.measure", "e.bin").filter(F.col("bin").isNotNull())
-    size = r.select(*k, "transmission_id", "size").distinct().select(*k, F.lit("size").alias("measure"), bin_of(F.col("size"), "size").alias("bin"))
-    return sig.unionByName(size).groupBy(*k, "measure", "bin").agg(F.count(F.lit(1)).alias("n"))
+    # a packet's rows lie together: its bins are one row, and only that row is brought to the cell and taken apart there
+    bins = r.groupBy(*k, "transmission_id", "size", bin_of(F.col("snr"), "snr").alias("snr"), bin_of(F.col("rssi"), "rssi").alias("rssi")).agg(
+        F.count(F.lit(1)).alias("n"))
+    per = bins.groupBy(*k, "transmission_id", "size").agg(F.collect_list(F.struct("snr", "rssi", "n")).alias("e"))
+    cell = per.select(*k, bin_of(F.col("size"), "size").alias("size"), "e").repartition(*k)
+    one = lambda measure, b, n: F.struct(F.lit(measure).alias("measure"), b.alias("bin"), n.alias("n"))
+    e = F.concat(F.array(one("size", F.col("size"), F.lit(1).cast("bigint"))), F.flatten(F.transform("e", lambda x: F.array(
+        one("snr", x["snr"], x["n"]), one("rssi", x["rssi"], x["n"])))))
+    rows = cell.select(*k, F.explode(e).alias("e")).select(*k, "e.*").filter((F.col("measure") == "size") | F.col("bin").isNotNull())
+    return rows.groupBy(*k, "measure", "bin").agg(F.sum("n").alias("n"))
 
 
 def rf_rollup_scatter(tx, obs, hours=None, points: int | None = None) -> DataFrame:

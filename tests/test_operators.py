@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshlake.operators import clock as K, frames as X, graph as G, hashes as H, ingest as I, nodes as N, resolve as R
+from meshlake.plans import rollups as U
 
 NOW = "2024-01-31T00:00:00Z"
 
@@ -198,6 +199,22 @@ def test_repeater_liveness_counts_both_spellings_once_and_never_shuffles_packets
     assert not re.search(r"hashpartitioning\(hop#\d+, (id|transmission_id)#", plan)
 
 
+def test_rf_rollup_bins_brings_one_row_a_packet_to_its_cell(spark):
+    rnd = random.Random(3)
+    tx = spark.createDataFrame([(i, i % 3 or None, "00" * (i + 1) if i else None) for i in range(6)], "id long, payload_type int, raw_hex string")
+    rows = [(i, rnd.randrange(6), rnd.choice("XY"), rnd.choice([None, 1.0, 5.5, -3.0]), rnd.choice([None, -90.0, -40.0]), rnd.randrange(2)) for i in range(80)]
+    obs = spark.createDataFrame(rows, "id long, transmission_id long, observer_id string, snr double, rssi double, h long").withColumn(
+        "timestamp", F.timestamp_seconds(F.lit(1706659200) + F.col("h") * 3600)).drop("h")
+    out = U.rf_rollup_bins(tx, obs)
+    r = U._rf_rows(tx, obs)
+    k = ["hour", "payload_type", "observer_id"]
+    parts = [r.select(*k, F.lit(m).alias("measure"), U.bin_of(F.col(m), m).alias("bin")).filter("bin IS NOT NULL") for m in ("snr", "rssi")]
+    parts.append(r.select(*k, "transmission_id", "size").distinct().select(*k, F.lit("size").alias("measure"), U.bin_of(F.col("size"), "size").alias("bin")))
+    want = parts[0].union(parts[1]).union(parts[2]).groupBy(*k, "measure", "bin").count()
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    assert not re.search(r"hashpartitioning\([^)]*measure#", out._jdf.queryExecution().executedPlan().toString())
+
+
 # ---- clocks ----
 
 def brute_drift(points, last=None):

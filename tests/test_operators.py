@@ -180,6 +180,28 @@ def _rows_shuffled(spark):
 
 
 
+def test_jaccard_choice_moves_numbers_and_picks_as_the_scores_say(spark):
+    rnd = random.Random(2)
+    far = [key(f"{i:02x}ff", i) for i in range(30)]
+    cands = [key(f"aa{i:02x}", i) for i in range(4)]
+    nd = nodes_df(spark, [node(k) for k in far + cands])
+    pairs = {(min(p), max(p)) for p in ((rnd.choice(far + cands), rnd.choice(far)) for _ in range(120)) if p[0] != p[1]}
+    ed = edges_df(spark, [(a, b, 1, 1, 1) for a, b in sorted(pairs)])
+    amb = spark.createDataFrame([(k, "aa", 5, 4) for k in far] + [(key("ee", 1), "aa", 5, 4)], "known string, prefix string, count long, candidates long")
+    near = {k: {b if a == k else a for a, b in pairs if k in (a, b)} for k in far + cands}
+    want = {}
+    for k in far:
+        s = sorted(((-len(near[k] & near[c]) / (len(near[k] | near[c]) or 1), c) for c in cands))
+        if s[0][0] < 0 and (s[1][0] == 0 or s[0][0] / s[1][0] >= 3):
+            want[k] = s[0][1]
+    picked = G.jaccard_choice(amb, nd, ed)
+    assert {r.known: r.pubkey for r in picked.collect()} == want and want
+    # the scores are ranked under numbers, not keys
+    window = next(x for x in picked._jdf.queryExecution().analyzed().toString().split("\n") if "row_number() windowspecdefinition" in x)
+    types = dict(re.findall(r"(known|candidate)#\d+(L?)", window))
+    assert types == {"known": "L", "candidate": "L"}
+
+
 # ---- relays ----
 
 def test_repeater_liveness_counts_both_spellings_once_and_never_shuffles_packets_by_hop(spark):

@@ -11,6 +11,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from meshlake.functions import geo, names
+from meshlake.functions.keys import grouped
 from meshlake.functions.numeric import half_away
 from meshlake.functions.ranks import top_per_group
 from meshlake.functions.time import TimeWindow, hour_of
@@ -256,7 +257,8 @@ def node_rollup_hour(tx, obs, hours=None) -> DataFrame:
     """(hour, relay key): distinct non-advert packets and the last one."""
     head = _hours(tx.filter(F.coalesce("payload_type", F.lit(-1)) != names.ADVERT), "first_seen", hours).select(F.col("id").alias("transmission_id"), "hour", "first_seen")
     keys = obs.filter(F.size("path") > 0).select("transmission_id", F.explode(hop_keys()).alias("hop_key")).distinct()
-    return keys.join(head, "transmission_id").groupBy("hour", "hop_key").agg(F.count(F.lit(1)).alias("relay_count"), F.max("first_seen").alias("last_relayed"))
+    return grouped(keys.join(head, "transmission_id"), ["hour", "hop_key"], ["hop_key"],
+                   F.count(F.lit(1)).alias("relay_count"), F.max("first_seen").alias("last_relayed"))
 
 
 def node_rollup_total(tx, hours=None) -> DataFrame:

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from meshlake.functions import names
+from meshlake.functions.keys import grouped, packed, unpacked
 from meshlake.functions.numeric import half_away, true_median, trunc_round
 from meshlake.functions.ranks import top_per_group, with_previous
 from meshlake.functions.time import TimeWindow, hour_of, ts_lit, utc
@@ -56,8 +57,8 @@ def bulk_health(tx, obs, nodes, observers, now, limit: int | None = 50, region:
         base = base.join(keys, "public_key", "left_semi")
     top = base if limit is None else base.orderBy(F.col("last_seen").desc(), "public_key").limit(limit)
     rows = node_rows(tx, obs, pubkeys=None if limit is None and region_codes(region) is None else top, best=best)
-    agg = rows.groupBy("public_key").agg(
-        F.count(F.lit(1)).alias("packets"), F.sum("observation_count").alias("obs"),
+    agg = grouped(
+        rows, ["public_key"], ["public_key"], F.count(F.lit(1)).alias("packets"), F.sum("observation_count").alias("obs"),
         F.count_if(F.col("first_seen") > _today(now)).alias("today"), F.avg("snr").alias("avg_snr"), F.max("first_seen").alias("last_heard"))
     z = lambda c: F.coalesce(c, F.lit(0))
     return top.join(agg, "public_key", "left").select(
@@ -70,8 +71,8 @@ def node_observer_stats(tx, obs, observers, now=None, days: int | None = None, p
     """Per node and representative station: packets, mean signal, first and last time."""
     r = node_rows(tx, obs, now, days, pubkeys).filter(F.col("observer_id") != "")
     who = observers.select(F.col("id").alias("observer_id"), F.col("name").alias("observer_name"))
-    return r.groupBy("public_key", "observer_id").agg(
-        F.count(F.lit(1)).alias("packet_count"), F.avg("snr").alias("avg_snr"), F.avg("rssi").alias("avg_rssi"),
+    return grouped(
+        r, ["public_key", "observer_id"], ["public_key", "observer_id"], F.count(F.lit(1)).alias("packet_count"), F.avg("snr").alias("avg_snr"), F.avg("rssi").alias("avg_rssi"),
         F.min("first_seen").alias("first_seen"), F.max("first_seen").alias("last_seen")).join(who, "observer_id", "left")
 
 
@@ -81,20 +82,23 @@ node_observer_coverage = node_observer_stats
 def node_health(tx, obs, now, pubkeys=None, best=None) -> DataFrame:
     """Totals per node, with the rounded mean hop count of its relayed packets."""
     n = F.size("path")
-    return node_rows(tx, obs, pubkeys=pubkeys, best=best).groupBy("public_key").agg(
-        F.count(F.lit(1)).alias("total_transmissions"), F.sum("observation_count").alias("total_observations"),
+    return grouped(
+        node_rows(tx, obs, pubkeys=pubkeys, best=best), ["public_key"], ["public_key"], F.count(F.lit(1)).alias("total_transmissions"), F.sum("observation_count").alias("total_observations"),
         F.count_if(F.col("first_seen") > _today(now)).alias("packets_today"), F.avg("snr").alias("avg_snr"),
         F.coalesce(half_away(F.avg(F.when(n > 0, n)), 0), F.lit(0.0)).cast("int").alias("avg_hops"), F.max("first_seen").alias("last_heard"))
 
 
 def node_recent_packets(tx, obs, limit: int = 20, pubkeys=None) -> DataFrame:
     r = node_rows(tx, obs, pubkeys=pubkeys).select("public_key", "id", "hash", "first_seen", "payload_type", "snr")
-    return top_per_group(r, ["public_key"], [F.col("first_seen").desc(), F.col("id").desc()], limit)
+    text = ("public_key", "hash")
+    r = r.withColumns({c: packed(F.col(c)) for c in text})
+    top = top_per_group(r, ["public_key"], [F.col("first_seen").desc(), F.col("id").desc()], limit)
+    return top.withColumns({c: unpacked(F.col(c)) for c in text})
 
 
 def node_activity_timeline(tx, obs, now, days: int = 7, pubkeys=None) -> DataFrame:
-    return node_rows(tx, obs, now, days, pubkeys).groupBy("public_key", hour_of(F.col("first_seen")).alias("hour")).agg(
-        F.count(F.lit(1)).alias("count"))
+    r = node_rows(tx, obs, now, days, pubkeys).withColumn("hour", hour_of(F.col("first_seen")))
+    return grouped(r, ["public_key", "hour"], ["public_key"], F.count(F.lit(1)).alias("count"))
 
 
 def node_snr_trend(tx, obs, now, days: int = 7, pubkeys=None) -> DataFrame:
@@ -103,14 +107,15 @@ def node_snr_trend(tx, obs, now, days: int = 7, pubkeys=None) -> DataFrame:
 
 
 def node_type_breakdown(tx, obs, now, days: int = 7, pubkeys=None) -> DataFrame:
-    return node_rows(tx, obs, now, days, pubkeys).filter(F.col("payload_type").isNotNull()).groupBy("public_key", "payload_type").agg(
-        F.count(F.lit(1)).alias("count"))
+    r = node_rows(tx, obs, now, days, pubkeys).filter(F.col("payload_type").isNotNull())
+    return grouped(r, ["public_key", "payload_type"], ["public_key"], F.count(F.lit(1)).alias("count"))
 
 
 def node_hop_distribution(tx, obs, now, days: int = 7, pubkeys=None) -> DataFrame:
     n = F.coalesce(F.size("path"), F.lit(0))
     label = F.when(n >= 4, "4+").otherwise(F.greatest(n, F.lit(0)).cast("string"))
-    return node_rows(tx, obs, now, days, pubkeys).groupBy("public_key", label.alias("hops")).agg(F.count(F.lit(1)).alias("count"))
+    r = node_rows(tx, obs, now, days, pubkeys).withColumn("hops", label)
+    return grouped(r, ["public_key", "hops"], ["public_key"], F.count(F.lit(1)).alias("count"))
 
 
 def _field(name: str, tx: DataFrame) -> Column:
@@ -139,8 +144,8 @@ def node_peers(tx, obs, now, days: int = 7, limit: int = 20, pubkeys=None) -> Da
 
 
 def node_uptime_heatmap(tx, obs, now, days: int = 7, pubkeys=None) -> DataFrame:
-    return node_rows(tx, obs, now, days, pubkeys).groupBy(
-        "public_key", (F.dayofweek("first_seen") - 1).alias("day_of_week"), F.hour("first_seen").alias("hour")).agg(F.count(F.lit(1)).alias("count"))
+    r = node_rows(tx, obs, now, days, pubkeys).withColumns({"day_of_week": F.dayofweek("first_seen") - 1, "hour": F.hour("first_seen")})
+    return grouped(r, ["public_key", "day_of_week", "hour"], ["public_key"], F.count(F.lit(1)).alias("count"))
 
 
 def node_computed_stats(tx, obs, now, days: int = 7, pubkeys=None, best=None) -> DataFrame:
@@ -203,7 +208,7 @@ def repeater_liveness(tx, obs, nodes, now, window_hours: float = 24) -> DataFram
     shorts = F.collect_set(F.when(n == 2, F.col("hop"))).over(W.partitionBy("id"))
     rp = rp.withColumn("both", F.array_contains(shorts, F.substring("hop", 1, 2)))
     day, hour = F.col("first_seen") > hours_before(now, 24), F.col("first_seen") > hours_before(now, 1)
-    g = rp.groupBy("hop").agg(F.max("first_seen").alias("last"), F.count_if(day).alias("d"), F.count_if(hour).alias("h"),
+    g = grouped(rp, ["hop"], ["hop"], F.max("first_seen").alias("last"), F.count_if(day).alias("d"), F.count_if(hour).alias("h"),
                               F.count_if(day & F.col("both")).alias("b_d"), F.count_if(hour & F.col("both")).alias("b_h"))
     k = g.select(F.col("hop").alias("key"), F.col("last").alias("k_last"), F.col("d").alias("k_d"), F.col("h").alias("k_h"), "b_d", "b_h")
     p = g.filter(n == 2).select("hop", F.col("last").alias("p_last"), F.col("d").alias("p_d"), F.col("h").alias("p_h"))
@@ -218,7 +223,7 @@ def repeater_liveness(tx, obs, nodes, now, window_hours: float = 24) -> DataFram
 def repeater_usefulness(tx, obs, nodes) -> DataFrame:
     """Share of all non-advert packets that a relay carried."""
     total = tx.filter(F.coalesce("payload_type", F.lit(-1)) != names.ADVERT).agg(F.count(F.lit(1))).scalar()
-    n = relay_packets(tx, obs, full_keys_only=True).groupBy(F.col("hop").alias("key")).agg(F.count(F.lit(1)).alias("relayed"))
+    n = grouped(relay_packets(tx, obs, full_keys_only=True).select(F.col("hop").alias("key")), ["key"], ["key"], F.count(F.lit(1)).alias("relayed"))
     return R.relays(nodes).select("key").join(n, "key", "left").select(
         F.col("key").alias("public_key"), F.coalesce("relayed", F.lit(0)).alias("relayed"),
         F.least(F.coalesce(F.try_divide(F.coalesce("relayed", F.lit(0)) * 1.0, total), F.lit(0.0)), F.lit(1.0)).alias("usefulness"))
@@ -252,8 +257,8 @@ def node_paths(tx, obs, nodes, edges, now, pubkeys: DataFrame, limit: int = 50)
 
 def relay_touch(nodes, obs, now, debounce_minutes: int = 5) -> DataFrame:
     """last_seen of nodes resolved as relays, raised to their newest hearing in 5-minute steps."""
-    seen = obs.select(F.explode(F.array_distinct(F.array_compact("resolved_path"))).alias("public_key"), "timestamp").groupBy("public_key").agg(
-        F.max("timestamp").alias("t"))
+    seen = grouped(obs.select(F.explode(F.array_distinct(F.array_compact("resolved_path"))).alias("public_key"), "timestamp"),
+                   ["public_key"], ["public_key"], F.max("timestamp").alias("t"))
     due = F.col("last_seen").isNull() | (F.unix_seconds("t") - F.unix_seconds("last_seen") >= debounce_minutes * 60)
     return nodes.join(seen, "public_key", "left").withColumn(
         "last_seen", F.when(F.col("t").isNotNull() & due & (F.col("t") <= ts_lit(now)), F.col("t")).otherwise(F.col("last_seen"))).drop("t")

@@ -58,3 +58,12 @@ def test_telemetry_after_zero_bytes_is_the_same_as_sql(spark, tmp_path):
     got = entry.queries()["decode_adverts"](spark, str(tmp_path)).toPandas()
     assert (got.battery_mv == -1).any() and (got.battery_mv > 0).any()
     assert rows(got) == rows(con.sql(entry.oracle_sql()["decode_adverts"]).df())
+
+
+def test_no_full_key_is_written_with_a_best_observation(spark, mesh):
+    stored = spark.read.parquet(*mesh.best.inputFiles())
+    longest = stored.select([F.max(F.length(F.col(c).cast("string"))).alias(c) for c in stored.columns if c != "path"]).first()
+    assert max(n for n in longest if n is not None) < 32
+    want = best_table(mesh.obs)
+    assert sorted(mesh.best.columns) == sorted(want.columns)
+    assert mesh.best.select(want.columns).exceptAll(want).isEmpty() and want.exceptAll(mesh.best.select(want.columns)).isEmpty()

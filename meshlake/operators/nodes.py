@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from meshlake.functions import names
 from meshlake.functions.keys import grouped, packed, unpacked
-from meshlake.functions.numeric import half_away, true_median, trunc_round
+from meshlake.functions.numeric import half_away, spread, true_median, trunc_round
 from meshlake.functions.ranks import top_per_group, with_previous
 from meshlake.functions.time import TimeWindow, hour_of, ts_lit, utc
 
@@ -157,7 +157,7 @@ def node_computed_stats(tx, obs, now, days: int = 7, pubkeys=None, best=None) ->
     silence = gaps.groupBy("public_key").agg(F.count(F.lit(1)).alias("hours"), F.max(F.struct(gap.alias("g"), (-F.unix_seconds("prev_hour")).alias("s"))).alias("m"))
     n = F.size("path")
     g = r.groupBy("public_key").agg(
-        F.count(F.lit(1)).alias("total_packets"), F.avg("snr").alias("mean"), F.coalesce(F.stddev_pop("snr"), F.lit(0.0)).alias("dev"),
+        F.count(F.lit(1)).alias("total_packets"), F.avg("snr").alias("mean"), spread("snr").alias("dev"),
         F.count_if(n > 0).alias("with_path"), F.count_if(n > 1).alias("relayed"), F.count_distinct("observer_id").alias("unique_observers"))
     peers = peer_rows(tx, obs, now, days, rows=r).groupBy("public_key").agg(F.count(F.lit(1)).alias("unique_peers"))
     j = g.join(silence, "public_key").join(peers, "public_key", "left")

@@ -121,3 +121,18 @@ def test_candidates_found_along_edges_are_those_of_all_pairs(spark):
     got = G.alike_candidates(asked, nodes, e).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, every.filter("jaccard > 0").select("known", "prefix", "candidate", "jaccard").collect()))
     assert 0 < len(got) < every.count() and {r.known for r in got} & {keys[0]}
+
+
+def test_candidates_of_ambiguous_edges_are_not_moved_in_pairs(spark):
+    from meshlake.operators import graph as G
+    keys = [f"{p}{i:02x}" + "0" * 60 for p in ("aa", "bb") for i in range(6)]
+    nodes = spark.createDataFrame([(k, k[:4], "repeater", None, None, 1) for k in keys], "public_key string, name string, role string, lat double, lon double, advert_count int")
+    rows = [(keys[0], keys[6]), (keys[0], keys[7]), (keys[1], keys[6]), (keys[1], keys[7]), (keys[2], keys[7]), (keys[2], keys[8]), (keys[9], keys[10])]
+    edges = spark.createDataFrame(rows, "node_a string, node_b string")
+    amb = spark.createDataFrame([(keys[0], "aa", 5), (keys[3], "bb", 6), (keys[6], "bb", 5), (keys[2], "aa", 1), ("ff" * 32, "aa", 6)], "known string, prefix string, candidates int")
+    got = G.affinity_candidates(amb, nodes, edges)
+    want = G.jaccard_scores(amb.filter("candidates >= 2"), nodes, edges)
+    told = lambda df: sorted((r.known, r.prefix, r.candidate, round(r.jaccard, 3)) for r in df.collect())
+    assert told(got) == told(want) and len(told(got)) == 5 + 6 + 5 + 6 and {r[3] for r in told(got)} > {0.0, 1.0}
+    # what comes after edges and candidates have met is no exchange by pairs
+    assert "candidate" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x)
